@@ -21,6 +21,8 @@ CLUSTER_CONF = {
     ),
 }
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def build_session(
     app_name: str = "tallyhouse",
@@ -60,9 +62,10 @@ def shared_root(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_ROOTS[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
