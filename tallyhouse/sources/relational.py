@@ -32,7 +32,7 @@ def _text(name: str) -> Column:
     return F.col(name).cast("string")
 
 
-def _when_lines(spark: SparkSession, root: str) -> DataFrame:
+def _lines_with_orders(spark: SparkSession, root: str) -> DataFrame:
     lines = table(spark, root, "lineitem").select(
         "l_orderkey",
         "l_partkey",
@@ -66,7 +66,7 @@ def order_events(spark: SparkSession, root: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "O", "created")
         .otherwise("processing")
     )
-    lines = _when_lines(spark, root).withColumns({"cents": cents, "q": quantity})
+    lines = _lines_with_orders(spark, root).withColumns({"cents": cents, "q": quantity})
     return to_unified(
         lines.select(
             _line_id("o").alias("event_id"),
@@ -93,7 +93,7 @@ def delivery_events(spark: SparkSession, root: str) -> DataFrame:
         .when(F.col("l_returnflag") == "A", "in_transit")
         .otherwise("pending")
     )
-    lines = _when_lines(spark, root)
+    lines = _lines_with_orders(spark, root)
     return to_unified(
         lines.select(
             _line_id("d").alias("event_id"),
@@ -113,8 +113,8 @@ def delivery_events(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _activity(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "events").select(
+def _activity(frame: DataFrame) -> DataFrame:
+    return frame.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         "user_id",
@@ -138,8 +138,20 @@ def _activity_common() -> list[Column]:
     ]
 
 
+def activity_stream(spark: SparkSession, root: str) -> DataFrame:
+    """The activity table as a file stream (batch and stream share the projection)."""
+    schema = table(spark, root, "events").schema
+    # a glob, so that a table kept as one single file can be streamed as well
+    frame = spark.readStream.schema(schema).parquet(f"{root}/events.parque[t]")
+    return activity_from(frame)
+
+
 def activity_events(spark: SparkSession, root: str) -> DataFrame:
     """All rows of the activity table as EVENT: clicks, carts and small orders."""
+    return activity_from(table(spark, root, "events"))
+
+
+def activity_from(frame: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     is_click = kind.isin("click", "view")
     is_cart = kind.isin("signup", "error")
@@ -152,7 +164,7 @@ def activity_events(spark: SparkSession, root: str) -> DataFrame:
     cart_action = F.when(kind == "signup", "created").otherwise("abandoned")
     value = _money(_cents("value"), MONEY)
     return to_unified(
-        _activity(spark, root).select(
+        _activity(frame).select(
             *_activity_common(),
             F.when(is_click, "click").when(is_cart, "cart").otherwise("order").alias("event_type"),
             F.concat(F.lit("p-"), _text("k")).alias("product_id"),
