@@ -55,8 +55,12 @@ def mean_money_2(value: Column | str) -> Column:
     return F.round(F.try_divide(F.sum(amount), F.count(amount)), 2).cast("double")
 
 
-def extreme_money(fn, value: Column | str) -> Column:
-    return fn(money(value)).cast("double")
+def min_money(value: Column | str) -> Column:
+    return F.min(money(value)).cast("double")
+
+
+def max_money(value: Column | str) -> Column:
+    return F.max(money(value)).cast("double")
 
 
 def count_when(condition: Column) -> Column:

@@ -19,7 +19,7 @@ def with_event_date(df: DataFrame) -> DataFrame:
 def summarise(
     df: DataFrame,
     by: Sequence[str],
-    measures: Sequence[tuple[str | None, Column]],
+    measures: Sequence[typed.Measure],
     order: Sequence[str | Column] = (),
     *,
     ordered: bool = True,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.basics import count_when, extreme_money, mean_money_2, require, sum_money
+from ...functions.basics import count_when, max_money, mean_money_2, require, sum_money
 from .. import typed
 from .common import summarise, with_event_date
 
@@ -40,9 +40,9 @@ def aggregate_sales_by_day(df: DataFrame, ordered: bool = True) -> DataFrame:
         [
             typed.rows("total_orders"),
             typed.total("quantity", "total_items_sold"),
-            ("total_amount", sum_money("total_amount").alias("total_sales")),
-            ("total_amount", mean_money_2("total_amount").alias("average_order_value")),
-            ("total_amount", extreme_money(F.max, "total_amount").alias("highest_order_value")),
+            typed.measure("total_amount", "total_sales", sum_money),
+            typed.measure("total_amount", "average_order_value", mean_money_2),
+            typed.measure("total_amount", "highest_order_value", max_money),
         ],
         ["event_date"],
         ordered=ordered,
@@ -84,8 +84,8 @@ def aggregate_deliveries_by_day(df: DataFrame, ordered: bool = True) -> DataFram
         [
             typed.rows("total_delivery_events"),
             typed.distinct("order_id", "unique_delivery_orders"),
-            ("status", count_when(F.col("status") == "delivered").alias("delivered_orders")),
-            ("status", count_when(F.col("status") == "failed").alias("failed_orders")),
+            typed.measure("status", "delivered_orders", lambda c: count_when(F.col(c) == "delivered")),
+            typed.measure("status", "failed_orders", lambda c: count_when(F.col(c) == "failed")),
         ],
         ["event_date"],
         ordered=ordered,
@@ -113,8 +113,8 @@ def daily_sales_summary(sales: DataFrame, ordered: bool = True) -> DataFrame:
             typed.distinct("order_id", "unique_orders"),
             typed.distinct("customer_id", "unique_customers"),
             typed.total("quantity", "total_items"),
-            ("total_amount", sum_money("total_amount").alias("total_sales")),
-            ("total_amount", mean_money_2("total_amount").alias("average_order_value")),
+            typed.measure("total_amount", "total_sales", sum_money),
+            typed.measure("total_amount", "average_order_value", mean_money_2),
         ],
         ["event_date"],
         ordered=ordered,

@@ -14,8 +14,8 @@ LATE_AFTER_HOURS = 24.0
 COUNT = typed.rows("delivery_event_count")
 DELIVERIES = typed.distinct("delivery_id", "unique_deliveries")
 ORDERS = typed.distinct("order_id", "unique_orders")
-MEAN_DELAY = ("delivery_delay_hours", F.avg("delivery_delay_hours").alias("average_delay_hours"))
-MAX_DELAY = ("delivery_delay_hours", F.max("delivery_delay_hours").alias("maximum_delay_hours"))
+MEAN_DELAY = typed.measure("delivery_delay_hours", "average_delay_hours", F.avg)
+MAX_DELAY = typed.measure("delivery_delay_hours", "maximum_delay_hours", F.max)
 
 
 def prepare(df: DataFrame, event_type: str = "delivery") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ...functions.basics import (
     MONEY,
     count_when,
-    extreme_money,
+    max_money,
+    min_money,
     lower_trim,
     mean_money,
     require,
@@ -23,12 +24,12 @@ HIGH_VALUE = 10000
 
 COUNT = typed.rows("order_count")
 REVENUE = [
-    ("total_amount", sum_money("total_amount").alias("total_revenue")),
-    ("total_amount", mean_money("total_amount").alias("average_order_value")),
+    typed.measure("total_amount", "total_revenue", sum_money),
+    typed.measure("total_amount", "average_order_value", mean_money),
 ]
 RANGE = [
-    ("total_amount", extreme_money(F.min, "total_amount").alias("minimum_order_value")),
-    ("total_amount", extreme_money(F.max, "total_amount").alias("maximum_order_value")),
+    typed.measure("total_amount", "minimum_order_value", min_money),
+    typed.measure("total_amount", "maximum_order_value", max_money),
 ]
 
 
@@ -73,7 +74,7 @@ def aggregate_by_status(df: DataFrame, ordered: bool = True, **options) -> DataF
 def aggregate_by_customer(
     df: DataFrame, ordered: bool = True, high_value: float = HIGH_VALUE, **options
 ) -> DataFrame:
-    highest = ("total_amount", extreme_money(F.max, "total_amount").alias("highest_order_value"))
+    highest = typed.measure("total_amount", "highest_order_value", max_money)
     out = summarise(
         prepare(df, **options),
         ["customer_id"],

@@ -117,9 +117,8 @@ def create_summary(df: DataFrame, config: DeliveryConfig = DEFAULT) -> DataFrame
             typed.rows("delivery_event_count"),
             typed.distinct("order_id", "unique_orders"),
             typed.distinct("customer_id", "unique_customers"),
-            (
-                "delivery_delay_hours",
-                F.round(F.avg("delivery_delay_hours"), 2).alias("average_delay_hours"),
+            typed.measure(
+                "delivery_delay_hours", "average_delay_hours", lambda c: F.round(F.avg(c), 2)
             ),
         ],
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,10 @@ from ..functions.basics import flag, lower_trim, present
 
 WEEKEND = (1, 7)
 
+#: (source column or None, function that builds the aggregate). Built late, so
+#: that measures can be listed at module level before a session exists.
+Measure = tuple[str | None, Callable[[], Column]]
+
 
 def only_type(df: DataFrame, event_type: str) -> DataFrame:
     return df.filter(F.col("event_type") == event_type)
@@ -54,7 +58,7 @@ def calendar(df: DataFrame, prefix: str, parts: Sequence[str]) -> DataFrame:
 def grouped(
     df: DataFrame,
     by: Sequence[str],
-    measures: Sequence[tuple[str | None, Column]],
+    measures: Sequence[Measure],
 ) -> DataFrame:
     """Group by the columns that are present; a measure needs its source column.
 
@@ -64,17 +68,22 @@ def grouped(
     keys = present(df, by)
     if by and not keys:
         raise ValueError(f"none of the group columns {list(by)} is present")
-    chosen = [m for source, m in measures if source is None or source in df.columns]
+    chosen = [make() for source, make in measures if source is None or source in df.columns]
     return df.groupBy(*keys).agg(*chosen) if keys else df.agg(*chosen)
 
 
-def rows(alias: str) -> tuple[None, Column]:
-    return None, F.count(F.lit(1)).alias(alias)
+def rows(alias: str) -> Measure:
+    return None, lambda: F.count(F.lit(1)).alias(alias)
+
+
+def distinct(column: str, alias: str) -> Measure:
+    return column, lambda: F.count_distinct(F.col(column)).alias(alias)
 
 
-def distinct(column: str, alias: str) -> tuple[str, Column]:
-    return column, F.count_distinct(F.col(column)).alias(alias)
+def total(column: str, alias: str) -> Measure:
+    return column, lambda: F.sum(F.col(column).cast("long")).alias(alias)
 
 
-def total(column: str, alias: str) -> tuple[str, Column]:
-    return column, F.sum(F.col(column).cast("long")).alias(alias)
+def measure(column: str, alias: str, build: Callable[[str], Column]) -> Measure:
+    """``build(column)`` under an alias, e.g. ``measure("total_amount", "sales", sum_money)``."""
+    return column, lambda: build(column).alias(alias)

@@ -8,6 +8,29 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {
+    "STRING": T.StringType(),
+    "TIMESTAMP": T.TimestampType(),
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(),
+    "MAP<STRING;STRING>": T.MapType(T.StringType(), T.StringType()),
+    "DECIMAL(12;2)": T.DecimalType(12, 2),
+    "DECIMAL(14;2)": T.DecimalType(14, 2),
+    "DECIMAL(24;2)": T.DecimalType(24, 2),
+}
+
+
+def struct(columns: str) -> T.StructType:
+    """Schema from ``name TYPE, ...`` text without a running session (imports need none)."""
+    flat = columns.replace("STRING,STRING", "STRING;STRING")
+    for scale in ("12", "14", "24"):
+        flat = flat.replace(f"({scale},2)", f"({scale};2)")
+    pairs = [part.split() for part in flat.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
 EVENT_DDL = (
     "event_id STRING, event_type STRING, event_timestamp TIMESTAMP, "
     "ingestion_timestamp TIMESTAMP, customer_id STRING, session_id STRING, "
@@ -16,7 +39,7 @@ EVENT_DDL = (
     "total_amount DECIMAL(14,2), status STRING, delivery_id STRING, carrier STRING, "
     "estimated_delivery TIMESTAMP, actual_delivery TIMESTAMP"
 )
-EVENT: T.StructType = T.StructType.fromDDL(EVENT_DDL)
+EVENT: T.StructType = struct(EVENT_DDL)
 EVENT_COLUMNS: list[str] = EVENT.fieldNames()
 
 #: Same fields, all text: keeps what the producer sent so rules can judge it.
@@ -27,17 +50,17 @@ RAW_EVENT: T.StructType = T.StructType(
     ]
 )
 
-WINDOW_RESULT = T.StructType.fromDDL(
+WINDOW_RESULT = struct(
     "window_start TIMESTAMP, window_end TIMESTAMP, event_type STRING, event_count BIGINT, "
     "unique_customers BIGINT, total_quantity BIGINT, total_amount DECIMAL(24,2), "
     "key STRING, metadata MAP<STRING,STRING>"
 )
-ALERT = T.StructType.fromDDL(
+ALERT = struct(
     "alert_id STRING, alert_type STRING, detected_at TIMESTAMP, event_timestamp TIMESTAMP, "
     "severity STRING, message STRING, event_type STRING, customer_id STRING, "
     "product_id STRING, metrics MAP<STRING,STRING>"
 )
-METRIC = T.StructType.fromDDL(
+METRIC = struct(
     "name STRING, value DOUBLE, timestamp TIMESTAMP, unit STRING, tags MAP<STRING,STRING>"
 )
 

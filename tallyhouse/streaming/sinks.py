@@ -6,19 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.jsontext import ISO_FORMAT, dump_row
 from ..functions.rowkeys import window_row
 from ..operators import alerts as A
+from ..schemas import struct
 from ..sinks.files import SINK_PARTITIONS, archive_rows
 from ..sinks.keyed import KeyedTable
 
 # --- fixed values ---
 WINDOW_TYPE = "WINDOW_AGGREGATION"
 WINDOW_SEVERITY = "INFO"
-ALERT_ROW = T.StructType.fromDDL(
+ALERT_ROW = struct(
     "row_key STRING, alert_id STRING, alert_type STRING, severity STRING, message STRING, "
     "event_type STRING, customer_id STRING, product_id STRING, detected_at STRING, "
     "event_timestamp STRING, metrics STRING"
