@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basics import MONEY, as_col, filled, require
 from ..functions.timestamps import floor_timestamp
+from ..schemas import EVENT_TYPES
 
 SIZE_SECONDS, SLIDE_SECONDS = 60, 10
 OUT_OF_ORDERNESS_SECONDS = 10
@@ -343,3 +344,39 @@ def label_lateness(
     return df.join(watermarks, "ingestion_timestamp", "left").withColumn(
         "lateness", lateness_label("event_timestamp", "watermark", lateness_seconds)
     )
+
+
+# ---- row filters ------------------------------------------------------------
+def filter_by_event_type(df: DataFrame, event_types: Sequence[str] | None = None) -> DataFrame:
+    """Rows of the given types; a type outside the contract is an error."""
+    wanted = set(EVENT_TYPES if event_types is None else event_types)
+    unknown = sorted(wanted - set(EVENT_TYPES))
+    if unknown:
+        raise ValueError(f"unsupported event types: {unknown}")
+    return df.filter(F.col("event_type").isin(*sorted(wanted)))
+
+
+def _filter_by_id(df: DataFrame, column: str, value: str) -> DataFrame:
+    wanted = value.strip()
+    if not wanted:
+        raise ValueError(f"{column} must not be blank")
+    return df.filter(F.col(column) == wanted)
+
+
+def filter_by_customer(df: DataFrame, customer_id: str) -> DataFrame:
+    return _filter_by_id(df, "customer_id", customer_id)
+
+
+def filter_by_product(df: DataFrame, product_id: str) -> DataFrame:
+    return _filter_by_id(df, "product_id", product_id)
+
+
+def filter_valid_events(df: DataFrame) -> DataFrame:
+    """Id, supported type, both times and a customer are all there."""
+    return df.filter(
+        filled("event_id")
+        & F.col("event_type").isin(*EVENT_TYPES)
+        & F.col("event_timestamp").isNotNull()
+        & F.col("ingestion_timestamp").isNotNull()
+        & filled("customer_id")
+    )

@@ -145,9 +145,13 @@ def clean_to_curated(
 def daily_marts(spark: SparkSession, input_path: str, output_path: str) -> dict[str, DataFrame]:
     """Five marts, each in its own folder by date. Every mart scans only its columns."""
     curated = readers.read_curated(spark, input_path)
+    stored = {}
     for name, build in MARTS.items():
-        files.write_mart(build(curated, ordered=False), f"{output_path}/{name}")
-    return {name: readers.read_parquet(spark, f"{output_path}/{name}") for name in MARTS}
+        mart, path = build(curated, ordered=False), f"{output_path}/{name}"
+        files.write_mart(mart, path)
+        # with its schema, so that a mart without rows can be read as well
+        stored[name] = readers.read_layer(spark, path, schema=mart.schema)
+    return stored
 
 
 def curated_to_features(spark: SparkSession, input_path: str, output_path: str) -> DataFrame:

@@ -1 +1,260 @@
-"""placeholder"""
+"""Sources and file sinks: every query writes or reads data derived from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import jsontext
+from ..functions.jsontext import dump_row
+from ..session import scratch
+from ..sinks import catalog, files
+from ..sources import readers
+from ..sources import relational as R
+from .base import amount, query, with_ctes
+
+CORE = (
+    "event_id, event_type, event_timestamp, ingestion_timestamp, customer_id, session_id, "
+    "product_id, page, action, cart_id, quantity, order_id, total_amount, status"
+)
+CORE_SQL = CORE.replace("total_amount", f"{amount('total_cents')} AS total_amount")
+ACTIVITY = with_ctes(f"SELECT {CORE_SQL} FROM activity_ev", "activity_ev")
+
+
+def core(df):
+    return df.select(*[c.strip() for c in CORE.split(",")])
+
+
+def rough_events(spark, root):
+    """The whole event feed as a careless producer would send it: text times, upper-case
+    and padded types and statuses, odd column names, some unreadable times, some
+    missing customers."""
+    df = R.all_events(spark, root)
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+    loud = lambda c: F.concat(F.lit(" "), F.upper(F.col(c)), F.lit(" "))
+    df = df.withColumns(
+        {
+            "event_type": F.when(F.col("quantity") > 25, loud("event_type")).otherwise(
+                F.col("event_type")
+            ),
+            "status": loud("status"),
+            "event_timestamp": F.when(F.col("quantity") == 7, F.lit("not a time")).otherwise(
+                F.date_format("event_timestamp", iso)
+            ),
+            "ingestion_timestamp": F.date_format("ingestion_timestamp", iso),
+            "customer_id": F.when(F.col("quantity") == 13, F.lit(None)).otherwise(
+                F.col("customer_id")
+            ),
+        }
+    )
+    return df.withColumnsRenamed({"event_id": " Event_ID ", "quantity": "QUANTITY", "page": "Page"})
+
+
+def event_lines(spark, root):
+    """Activity events as JSON lines, with blank and broken lines mixed in."""
+    df = R.activity_events(spark, root).drop("metadata")
+    good = df.select(F.concat(F.lit("  "), dump_row(df), F.lit(" ")).alias("value"))
+    noise = df.filter(F.col("event_type") == "cart").select(
+        F.when(F.col("quantity") > 6, F.lit("   ")).otherwise(
+            F.concat(F.lit("{broken "), F.col("event_id"))
+        ).alias("value")
+    )
+    return good.unionByName(noise)
+
+
+def written_lines(spark, root, lines=event_lines):
+    path = scratch(spark, "lines")
+    lines(spark, root).write.text(path)
+    return path
+
+
+@query("src1_read_json", ACTIVITY)
+def _(spark, root):
+    path = scratch(spark, "raw")
+    # one sub-folder per type: the scan is recursive
+    df = R.activity_events(spark, root).withColumn("kind", F.col("event_type"))
+    files.write_jsonl(df, path, partition_by=["kind"])
+    return core(readers.read_json(spark, path))
+
+
+@query("src2_read_parquet", with_ctes(
+    f"SELECT event_id, order_id, quantity, {amount('total_cents')} AS total_amount FROM order_ev", "order_ev"))
+def _(spark, root):
+    path = scratch(spark, "parquet")
+    files.write_parquet(R.order_events(spark, root), path)
+    return readers.read_parquet(spark, path).select("event_id", "order_id", "quantity", "total_amount")
+
+
+@query("src3_read_raw", ACTIVITY)
+def _(spark, root):
+    path = scratch(spark, "raw")
+    files.write_jsonl(R.activity_events(spark, root), path)
+    return core(readers.read_raw(spark, path))
+
+
+@query("src4_read_clean", ACTIVITY)
+def _(spark, root):
+    path = scratch(spark, "clean")
+    files.write_clean(R.activity_events(spark, root), path, ["event_type", "no_such_column", " "])
+    return core(readers.read_clean(spark, path))
+
+
+@query("src7_json_records", ACTIVITY)
+def _(spark, root):
+    path = scratch(spark, "lines")
+    df = R.activity_events(spark, root)
+    df.select(dump_row(df).alias("value")).unionByName(
+        df.select(F.lit("  ").alias("value"))
+    ).write.text(path)
+    return core(readers.read_json_records(spark, path))
+
+
+@query("src9_read_table", ACTIVITY)
+def _(spark, root):
+    name = "src9_" + scratch(spark, "t").rsplit("-", 1)[1]
+    path = scratch(spark, "table")
+    catalog.load(R.activity_events(spark, root), name, "overwrite", path=path)
+    return core(readers.read_table(spark, name))
+
+
+LINE_COUNT = (
+    "(SELECT count(*) FROM activity_ev) + "
+    "(SELECT count(*) FROM activity_ev WHERE event_type = 'cart' AND quantity <= 6)"
+)
+
+
+@query("src11_text_lines", with_ctes(f"SELECT {LINE_COUNT} AS line_count, 0::BIGINT AS untrimmed", "activity_ev"))
+def _(spark, root):
+    lines = readers.read_lines(spark, written_lines(spark, root))
+    return lines.agg(
+        F.count(F.lit(1)).alias("line_count"),
+        F.count(F.when(F.trim("value") != F.col("value"), 1)).alias("untrimmed"),
+    )
+
+
+@query("src12_parsed_events", ACTIVITY)
+def _(spark, root):
+    good, _bad = readers.read_events(spark, written_lines(spark, root))
+    return core(jsontext.typed(good))
+
+
+@query("src12_quarantined_lines", with_ctes(
+    "SELECT '{broken ' || event_id AS line FROM activity_ev WHERE event_type = 'cart' AND quantity <= 6",
+    "activity_ev"))
+def _(spark, root):
+    _good, bad = readers.read_events(spark, written_lines(spark, root))
+    return bad.select(F.col("_line").alias("line"))
+
+
+def contract_lines(spark, root):
+    """Activity events as JSON lines holding only the fields of their type; carts above
+    eight items carry an action outside the contract."""
+    df = R.activity_events(spark, root)
+    df = df.withColumn(
+        "action",
+        F.when((F.col("event_type") == "cart") & (F.col("quantity") > 8), F.lit("ADD")).otherwise(
+            F.col("action")
+        ),
+    )
+    base = ["event_id", "event_type", "event_timestamp", "ingestion_timestamp", "customer_id", "session_id"]
+    fields = {
+        "click": ["product_id", "page", "action"],
+        "cart": ["cart_id", "product_id", "quantity", "action"],
+        "order": ["order_id", "product_id", "quantity", "unit_price", "total_amount", "status"],
+    }
+    value = None
+    for kind, own in fields.items():
+        text = jsontext.dumps(*base, *own)
+        test = F.col("event_type") == kind
+        value = F.when(test, text) if value is None else value.when(test, text)
+    return df.select(value.alias("value"))
+
+
+CONTRACT_OK = "WHERE NOT (event_type = 'cart' AND quantity > 8)"
+
+
+@query("src13_validated_events", with_ctes(f"SELECT {CORE_SQL} FROM activity_ev {CONTRACT_OK}", "activity_ev"))
+def _(spark, root):
+    path = written_lines(spark, root, contract_lines)
+    return core(readers.read_validated_events(spark, path))
+
+
+@query("src14_unified_row", with_ctes(f"SELECT {CORE_SQL} FROM click_ev", "click_ev"))
+def _(spark, root):
+    narrow = R.click_events(spark, root).select(
+        "event_id", "event_type", "event_timestamp", "ingestion_timestamp", "customer_id",
+        "session_id", "product_id", "page", "action",
+    )
+    return core(readers.to_unified(narrow))
+
+
+@query("src15_event_count", with_ctes(
+    f"SELECT count(*) AS event_count FROM activity_ev {CONTRACT_OK}", "activity_ev"))
+def _(spark, root):
+    return readers.count_events(spark, written_lines(spark, root, contract_lines))
+
+
+# ---- sinks -------------------------------------------------------------------
+@query("snk1_partitioned_parquet", with_ctes(
+    "SELECT event_type, CAST(event_timestamp AS DATE) AS event_date, count(*) AS n FROM activity_ev "
+    "WHERE event_timestamp >= DATE '2024-01-10' GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "events")
+    df = R.activity_events(spark, root).withColumn("event_date", F.to_date("event_timestamp"))
+    files.write_parquet(df, path, partition_by=["event_date", " "])
+    back = readers.read_parquet(spark, path).filter(F.col("event_date") >= "2024-01-10")
+    return back.groupBy("event_type", "event_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+HOURS = (
+    "strftime(event_timestamp, '%Y') AS ano, strftime(event_timestamp, '%m') AS mes, "
+    "strftime(event_timestamp, '%d') AS dia, strftime(event_timestamp, '%H') AS hora"
+)
+
+
+@query("snk16_hourly_archive", with_ctes(
+    f"SELECT {HOURS}, count(*) AS events, {amount('CAST(sum(coalesce(total_cents, 0)) AS BIGINT)')} "
+    "AS amount FROM activity_ev GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "archive")
+    files.write_event_archive(R.activity_events(spark, root), path)
+    back = (
+        spark.read.schema("value STRING, ano STRING, mes STRING, dia STRING, hora STRING")
+        .format("text").load(path)
+    )
+    money = F.get_json_object("value", "$.total_amount").cast("decimal(14,2)")
+    return back.groupBy("ano", "mes", "dia", "hora").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.coalesce(F.sum(money), F.lit(0)).cast("double").alias("amount"),
+    )
+
+
+@query("snk21_archive_folder", with_ctes(
+    f"SELECT event_id, {HOURS} FROM all_ev", "all_ev"))
+def _(spark, root):
+    df = R.all_events(spark, root)
+    from ..functions.timestamps import sink_partitions
+
+    return df.select("event_id", *[c.alias(n) for n, c in sink_partitions("event_timestamp").items()])
+
+
+@query("snk22_event_json", with_ctes(
+    "SELECT '{\"event_id\":\"' || event_id || '\",\"quantity\":' || quantity || ',\"total_amount\":\"' || "
+    "(total_cents // 100) || '.' || lpad(CAST(total_cents % 100 AS VARCHAR), 2, '0') || '\",\"session_id\":null}' "
+    "AS payload FROM order_ev", "order_ev"))
+def _(spark, root):
+    df = R.order_events(spark, root).select("event_id", "quantity", "total_amount", "session_id")
+    return df.select(dump_row(df).alias("payload"))
+
+
+@query("js4_read_jsonl", ACTIVITY)
+def _(spark, root):
+    path = scratch(spark, "jsonl")
+    files.write_jsonl(R.activity_events(spark, root), path)
+    return core(readers.read_jsonl(spark, path))
+
+
+@query("js6_count_jsonl", with_ctes("SELECT count(*) AS record_count FROM activity_ev", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "jsonl")
+    files.write_jsonl(R.activity_events(spark, root), path)
+    return readers.count_jsonl(spark, path)

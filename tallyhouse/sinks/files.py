@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import dump_row
+from ..functions.jsontext import ISO_FORMAT, dump_row
 from ..functions.timestamps import sink_partitions
 
 SINK_PARTITIONS = ("ano", "mes", "dia", "hora")
@@ -78,8 +78,18 @@ def write_features(
     write_layer(df, path, fmt, mode, partition_by)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("ignoreNullFields", "false").json(_target(path))
+def write_jsonl(
+    df: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    partition_by: Sequence[str] | None = None,
+) -> None:
+    """One JSON object per line, times in ISO form with their microseconds."""
+    columns = existing_partitions(df, partition_by)
+    writer = gather_by_partition(df, columns).write.mode(mode)
+    if columns:
+        writer = writer.partitionBy(*columns)
+    writer.option("ignoreNullFields", "false").option("timestampFormat", ISO_FORMAT).json(_target(path))
 
 
 def archive_rows(df: DataFrame, moment: Column | str) -> DataFrame:
