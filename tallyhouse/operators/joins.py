@@ -66,7 +66,13 @@ def enrich(
         raise ValueError(f"join type {how!r} is not one of {sorted(allowed)}")
     require(left, left_key)
     require(right, right_key)
-    return balanced_join(left, _same_key(right, left_key, right_key), left_key, how, heavy, policy)
+    right = _same_key(right, left_key, right_key)
+    twice = sorted(set(left.columns) & set(right.columns) - {left_key})
+    if twice and how not in ("left_semi", "left_anti"):
+        raise ValueError(
+            f"columns on both sides: {twice}; narrow one side first, for instance with typed_view"
+        )
+    return balanced_join(left, right, left_key, how, heavy, policy)
 
 
 def orphans(
@@ -99,8 +105,12 @@ def filter_valid_customers(customers: DataFrame, key: str = "customer_id") -> Da
     return customers.filter(F.col(key).isNotNull())
 
 
-def prepare_customer_columns(customers: DataFrame, key: str = "customer_id") -> DataFrame:
-    return prefix_columns(customers, "customer_", key, lambda c: c in COLLIDING)
+def prepare_customer_columns(
+    customers: DataFrame, key: str = "customer_id", orders: DataFrame | None = None
+) -> DataFrame:
+    """Prefix the columns orders usually have, and those the given orders do have."""
+    taken = set(COLLIDING) | set(orders.columns if orders is not None else ())
+    return prefix_columns(customers, "customer_", key, lambda c: c in taken)
 
 
 def join_orders_customers(
@@ -114,7 +124,9 @@ def join_orders_customers(
     """Orders with their customer; rows without a key are left out on both sides."""
     return enrich(
         filter_valid_orders(orders, order_key),
-        prepare_customer_columns(filter_valid_customers(customers, customer_key), customer_key),
+        prepare_customer_columns(
+            filter_valid_customers(customers, customer_key), customer_key, orders
+        ),
         order_key,
         customer_key,
         how,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basics import flag, lower_trim, present
+from ..schemas import EVENT_COLUMNS, FIELDS_BY_TYPE
 
 WEEKEND = (1, 7)
 
@@ -20,6 +21,15 @@ def only_type(df: DataFrame, event_type: str) -> DataFrame:
     return df.filter(F.col("event_type") == event_type)
 
 
+def typed_view(df: DataFrame, event_type: str) -> DataFrame:
+    """Rows of one type without the columns that belong to other types.
+
+    Columns outside the unified event row (derived ones) are kept.
+    """
+    foreign = set(EVENT_COLUMNS) - set(FIELDS_BY_TYPE[event_type])
+    return only_type(df, event_type).select(*[c for c in df.columns if c not in foreign])
+
+
 def normalize(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, lower_trim(column)) if column in df.columns else df
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deliveries as D
 from ..operators import joins as J
+from ..operators.typed import typed_view
 from ..sources import relational as R
 from .base import amount, big, mean, mean_2, query, total, with_ctes
 
@@ -193,8 +194,9 @@ for kind, sql_kind in (("left", "LEFT"), ("inner", "INNER"), ("right", "RIGHT"),
         f"FROM (SELECT * FROM order_ev WHERE quantity > 10) s {sql_kind} JOIN {MOVED} d "
         "ON s.order_id = d.order_id", "order_ev", "delivery_ev"))
     def _(spark, root, kind=kind):
-        sales = R.order_events(spark, root).filter(F.col("quantity") > 10)
-        joined = J.join_sales_deliveries(sales, failed_or_moving(spark, root), kind)
+        sales = typed_view(R.order_events(spark, root).filter(F.col("quantity") > 10), "order")
+        moving = typed_view(failed_or_moving(spark, root), "delivery")
+        joined = J.join_sales_deliveries(sales, moving, kind)
         return joined.select("order_id", "event_id", "delivery_id", "delivery_status", "total_amount")
 
 

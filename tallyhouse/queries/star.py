@@ -1 +1,453 @@
-"""placeholder"""
+"""Star schema: dimensions, facts, views, reports, and catalog maintenance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import curate
+from ..plans import reports, views
+from ..plans import warehouse as WH
+from ..session import scratch
+from ..sinks import catalog
+from ..sources import relational as R
+from .base import amount, big, mean, mean_2, query, total, with_ctes
+from .marts import DAY
+
+DONE = "WHERE status IN ('completed', 'delivered')"
+
+
+def curated(spark, root):
+    return curate.curate(R.all_events(spark, root))
+
+
+def facts(spark, root):
+    events = curated(spark, root)
+    return {name: WH.fact_rows(events, name) for name in WH.FACTS}
+
+
+def fact(name):
+    return lambda spark, root: WH.fact_rows(curated(spark, root), name)
+
+
+SALES, CLICKS, CARTS, DELIVERIES = (fact(n) for n in WH.FACTS)
+FACT_SQL = {
+    "fact_sales": "(SELECT *, CAST(event_timestamp AS DATE) AS event_date FROM all_ev WHERE event_type = 'order' AND order_id IS NOT NULL)",
+    "fact_clicks": "(SELECT *, CAST(event_timestamp AS DATE) AS event_date FROM all_ev WHERE event_type = 'click')",
+    "fact_carts": "(SELECT *, CAST(event_timestamp AS DATE) AS event_date FROM all_ev WHERE event_type = 'cart')",
+    "fact_deliveries": "(SELECT *, CAST(event_timestamp AS DATE) AS event_date FROM all_ev WHERE event_type = 'delivery')",
+}
+FS, FC, FK, FD = FACT_SQL.values()
+
+# ---- fact rows -----------------------------------------------------------------
+for n, (table, columns) in enumerate(
+    {
+        "fact_sales": "event_id, order_id, customer_id, product_id, quantity, "
+        f"{amount('unit_cents')} AS unit_price, {amount('total_cents')} AS total_amount, status, "
+        "event_timestamp, ingestion_timestamp, session_id, event_date",
+        "fact_clicks": "event_id, customer_id, product_id, session_id, page, action, event_timestamp, "
+        "ingestion_timestamp, event_date",
+        "fact_carts": "event_id, cart_id, customer_id, product_id, session_id, quantity, action, "
+        "event_timestamp, ingestion_timestamp, event_date",
+        "fact_deliveries": "event_id, order_id, delivery_id, customer_id, status, carrier, "
+        "estimated_delivery, actual_delivery, event_timestamp, ingestion_timestamp, event_date",
+    }.items(),
+    start=1,
+):
+
+    @query(f"dml{n}_{table}_rows", with_ctes(f"SELECT {columns} FROM {FACT_SQL[table]}", "all_ev"))
+    def _(spark, root, table=table):
+        return WH.fact_rows(curated(spark, root), table)
+
+
+# ---- views -----------------------------------------------------------------------
+SOLD = "count(DISTINCT order_id) AS total_orders"
+ITEMS = f"{big('sum(quantity)')} AS total_items"
+
+
+@query("vw1_sales_daily", with_ctes(
+    f"SELECT event_date, count(*) AS total_sales, {SOLD}, count(DISTINCT customer_id) AS unique_customers, "
+    f"{ITEMS}, {total()} AS gross_revenue, {mean()} AS average_order_value FROM {FS} {DONE} GROUP BY ALL", "all_ev"))
+def _(spark, root):
+    return views.sales_daily(SALES(spark, root))
+
+
+NAMED = f"{FS} s LEFT JOIN dprod p ON s.product_id = p.product_id LEFT JOIN dcat c ON p.category_id = c.category_id"
+
+
+@query("vw2_sales_by_product", with_ctes(
+    "SELECT s.event_date, s.product_id, p.name AS product_name, p.category_id, c.name AS category_name, "
+    f"{big('sum(s.quantity)')} AS total_quantity, {total('s.total_cents')} AS total_revenue, "
+    f"count(DISTINCT s.order_id) AS total_orders FROM {NAMED} WHERE s.status IN ('completed', 'delivered') "
+    "GROUP BY ALL", "all_ev", "dprod", "dcat"))
+def _(spark, root):
+    return views.sales_by_product(
+        SALES(spark, root), R.dim_product(spark, root), R.dim_category(spark, root)
+    )
+
+
+@query("vw3_customer_sales", with_ctes(
+    f"SELECT s.customer_id, c.name AS customer_name, c.segment, count(DISTINCT s.order_id) AS total_orders, "
+    f"{big('sum(s.quantity)')} AS total_items, {total('s.total_cents')} AS total_spent, "
+    f"{mean('s.total_cents')} AS average_order_value, min(s.event_date) AS first_purchase_date, "
+    f"max(s.event_date) AS last_purchase_date FROM {FS} s LEFT JOIN dcust c ON s.customer_id = c.customer_id "
+    "WHERE s.status IN ('completed', 'delivered') GROUP BY ALL", "all_ev", "dcust"))
+def _(spark, root):
+    return views.customer_sales(SALES(spark, root), R.dim_customer(spark, root))
+
+
+@query("vw4_customer_behavior", with_ctes(
+    "SELECT customer_id, count(*) AS total_clicks, count(DISTINCT product_id) AS unique_products_clicked, "
+    f"count(DISTINCT session_id) AS total_sessions FROM {FC} GROUP BY ALL", "all_ev"))
+def _(spark, root):
+    return views.customer_behavior(CLICKS(spark, root))
+
+
+@query("vw5_cart_behavior", with_ctes(
+    f"SELECT customer_id, count(DISTINCT cart_id) AS total_carts, {big('sum(quantity)')} AS total_items_added, "
+    f"count(*) AS total_cart_events FROM {FK} GROUP BY ALL", "all_ev"))
+def _(spark, root):
+    return views.cart_behavior(CARTS(spark, root))
+
+
+@query("vw6_delivery_performance", with_ctes(
+    "SELECT event_date, carrier, count(*) AS total_deliveries, "
+    "count(*) FILTER (actual_delivery <= estimated_delivery) AS deliveries_on_time, "
+    f"count(*) FILTER (actual_delivery > estimated_delivery) AS deliveries_delayed FROM {FD} GROUP BY ALL", "all_ev"))
+def _(spark, root):
+    return views.delivery_performance(DELIVERIES(spark, root))
+
+
+@query("vw7_sales_delivery", with_ctes(
+    f"SELECT s.order_id, s.customer_id, s.product_id, s.event_date AS sale_date, {amount('s.total_cents')} AS "
+    "total_amount, d.delivery_id, d.status AS delivery_status, d.carrier, d.estimated_delivery, d.actual_delivery "
+    f"FROM {FS} s LEFT JOIN {FD} d ON s.order_id = d.order_id", "all_ev"))
+def _(spark, root):
+    return views.sales_delivery(SALES(spark, root), DELIVERIES(spark, root))
+
+
+# ---- reports ---------------------------------------------------------------------
+@query("rq1_overview", with_ctes(
+    f"SELECT count(*) AS total_sales, {SOLD}, count(DISTINCT customer_id) AS unique_customers, {ITEMS}, "
+    f"{total()} AS gross_revenue, {mean_2()} AS average_order_value FROM {FS} {DONE}", "all_ev"))
+def _(spark, root):
+    return reports.overview(SALES(spark, root))
+
+
+@query("rq2_daily_sales", with_ctes(
+    f"SELECT event_date, count(*) AS total_sales, {SOLD}, {ITEMS}, {total()} AS revenue FROM {FS} {DONE} GROUP BY ALL",
+    "all_ev"))
+def _(spark, root):
+    return reports.daily_sales(SALES(spark, root), ordered=False)
+
+
+PER_PRODUCT = (
+    f"SELECT s.product_id, p.name AS product_name, p.category_id, c.name AS category_name, "
+    f"{big('sum(s.quantity)')} AS total_quantity, count(DISTINCT s.order_id) AS total_orders, "
+    f"{total('s.total_cents')} AS total_revenue FROM {NAMED} WHERE s.status IN ('completed', 'delivered') GROUP BY ALL"
+)
+
+
+@query("rq3_top_products_by_revenue", with_ctes(
+    f"{PER_PRODUCT} ORDER BY total_revenue DESC, product_id LIMIT 20", "all_ev", "dprod", "dcat"))
+def _(spark, root):
+    return reports.top_products_by_revenue(
+        SALES(spark, root), R.dim_product(spark, root), R.dim_category(spark, root)
+    )
+
+
+@query("rq4_revenue_by_category", with_ctes(
+    f"SELECT c.category_id, c.name AS category_name, {big('sum(s.quantity)')} AS total_items, "
+    f"count(DISTINCT s.order_id) AS total_orders, {total('s.total_cents')} AS total_revenue FROM {NAMED} "
+    "WHERE s.status IN ('completed', 'delivered') GROUP BY ALL", "all_ev", "dprod", "dcat"))
+def _(spark, root):
+    return reports.revenue_by_category(
+        SALES(spark, root), R.dim_product(spark, root), R.dim_category(spark, root), ordered=False
+    )
+
+
+@query("rq5_top_customers_by_spend", with_ctes(
+    f"SELECT s.customer_id, c.name AS customer_name, c.segment, count(DISTINCT s.order_id) AS total_orders, "
+    f"{big('sum(s.quantity)')} AS total_items, {total('s.total_cents')} AS total_spent, "
+    f"{mean_2('s.total_cents')} AS average_order_value FROM {FS} s LEFT JOIN dcust c ON s.customer_id = c.customer_id "
+    "WHERE s.status IN ('completed', 'delivered') GROUP BY ALL ORDER BY total_spent DESC, s.customer_id LIMIT 20",
+    "all_ev", "dcust"))
+def _(spark, root):
+    return reports.top_customers_by_spend(SALES(spark, root), R.dim_customer(spark, root))
+
+
+@query("rq6_average_ticket", with_ctes(
+    f"SELECT event_date, {mean_2()} AS average_order_value, {SOLD} FROM {FS} {DONE} GROUP BY ALL", "all_ev"))
+def _(spark, root):
+    return reports.average_ticket_by_day(SALES(spark, root), ordered=False)
+
+
+@query("rq7_top_products_by_quantity", with_ctes(
+    f"SELECT s.product_id, p.name AS product_name, {big('sum(s.quantity)')} AS total_quantity, "
+    f"{total('s.total_cents')} AS total_revenue FROM {FS} s LEFT JOIN dprod p ON s.product_id = p.product_id "
+    "WHERE s.status IN ('completed', 'delivered') GROUP BY ALL ORDER BY total_quantity DESC, s.product_id LIMIT 20",
+    "all_ev", "dprod"))
+def _(spark, root):
+    return reports.top_products_by_quantity(SALES(spark, root), R.dim_product(spark, root))
+
+
+@query("rq8_events_by_type", with_ctes(
+    "SELECT event_type, count(*) AS total_events FROM all_ev GROUP BY ALL", "all_ev"))
+def _(spark, root):
+    return reports.events_by_type(R.all_events(spark, root), ordered=False)
+
+
+@query("rq9_events_by_hour", with_ctes(
+    f"SELECT {DAY}, hour(event_timestamp) AS event_hour, count(*) AS total_events FROM rough_ev "
+    "WHERE event_timestamp IS NOT NULL GROUP BY ALL", "rough_ev"))
+def _(spark, root):
+    from ..operators.refine import normalize_columns
+    from .scans import rough_events
+
+    return reports.events_by_date_and_hour(normalize_columns(rough_events(spark, root)), ordered=False)
+
+
+@query("rq10_required_field_gaps", with_ctes(
+    "SELECT f AS field, f = 'ingestion_timestamp' AS column_absent, "
+    "CASE f WHEN 'event_timestamp' THEN count(*) - count(event_timestamp) WHEN 'customer_id' THEN "
+    "count(*) - count(customer_id) WHEN 'ingestion_timestamp' THEN count(*) ELSE 0 END AS rows_without_value "
+    "FROM rough_ev, (SELECT unnest(['event_id', 'event_type', 'event_timestamp', 'ingestion_timestamp', "
+    "'customer_id']) AS f) GROUP BY f", "rough_ev"))
+def _(spark, root):
+    from ..operators.refine import cast_timestamp_columns, normalize_columns
+    from .scans import rough_events
+
+    df = cast_timestamp_columns(normalize_columns(rough_events(spark, root)))
+    return reports.required_field_gaps(df.drop("ingestion_timestamp"))
+
+
+@query("rq11_fact_row_counts", with_ctes(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS total_records FROM {s}" for t, s in FACT_SQL.items()), "all_ev"))
+def _(spark, root):
+    return reports.fact_row_counts(facts(spark, root))
+
+
+@query("rq12_count_by_type", with_ctes("SELECT event_type, count(*) AS total FROM all_ev GROUP BY ALL", "all_ev"))
+def _(spark, root):
+    return reports.count_by_event_type(R.all_events(spark, root))
+
+
+# ---- dimensions -------------------------------------------------------------------
+@query("ddl2_dim_date", with_ctes(
+    "SELECT CAST(strftime(d, '%Y%m%d') AS BIGINT) AS date_sk, CAST(d AS DATE) AS calendar_date, year(d) AS year, "
+    "quarter(d) AS quarter, month(d) AS month, strftime(d, '%B') AS month_name, weekofyear(d) AS week_of_year, "
+    "day(d) AS day_of_month, dayofweek(d) + 1 AS day_of_week, strftime(d, '%A') AS day_name, "
+    "dayofweek(d) IN (0, 6) AS is_weekend, day(d) = 1 AS is_month_start, "
+    "CAST(d AS DATE) = last_day(d) AS is_month_end FROM (SELECT unnest(generate_series("
+    "(SELECT date_trunc('day', min(event_timestamp)) FROM order_ev), "
+    "(SELECT date_trunc('day', max(event_timestamp)) FROM order_ev), INTERVAL 1 DAY)) AS d)", "order_ev"))
+def _(spark, root):
+    return WH.dim_date(WH.date_span(R.order_events(spark, root)))
+
+
+@query("ddl2_dim_product", with_ctes(
+    f"SELECT product_sk, product_id, name, category_id, brand, {amount('price_cents')} AS price, "
+    f"{big('stock_quantity')} AS stock_quantity FROM dprod", "dprod"))
+def _(spark, root):
+    return R.dim_product(spark, root)
+
+
+@query("ddl2_dim_customer", with_ctes(
+    "SELECT customer_sk, customer_id, name, replace(lower(name), '#', '.') || '@example.com' AS email, "
+    "TIMESTAMP '1995-01-01' AS registration_date, segment FROM dcust", "dcust"))
+def _(spark, root):
+    return R.dim_customer(spark, root)
+
+
+# ---- catalog: each query builds its own tables from the data and reads them back ----
+def warehouse(spark, root, events=None):
+    """Databases, tables, dimensions and facts of the activity events, freshly named."""
+    path = scratch(spark, "warehouse")
+    tag = path.rsplit("-", 1)[1]
+    names = WH.Databases(f"core_{tag}", f"staging_{tag}", f"analytics_{tag}")
+    WH.create_databases(spark, names, path)
+    WH.create_dimensions(spark, names)
+    WH.create_facts(spark, names)
+    for table, df in (
+        ("dim_customer", R.dim_customer(spark, root)),
+        ("dim_product", R.dim_product(spark, root)),
+        ("dim_category", R.dim_category(spark, root)),
+    ):
+        WH.load_dimension(df, table, names)
+    source = curate.curate(R.activity_events(spark, root)) if events is None else events
+    WH.backfill_all(source, names)
+    return names, path
+
+
+ACT = {k: v.replace("all_ev", "activity_ev") for k, v in FACT_SQL.items()}
+
+
+@query("ddl3_warehouse_counts", with_ctes(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS total_records FROM {s}" for t, s in ACT.items())
+    + " UNION ALL SELECT 'dim_customer', count(*) FROM dcust UNION ALL SELECT 'dim_product', count(*) FROM dprod "
+    "UNION ALL SELECT 'dim_category', count(*) FROM dcat UNION ALL SELECT 'dim_date', "
+    "CAST(0 AS BIGINT)", "activity_ev", "dcust", "dprod", "dcat"))
+def _(spark, root):
+    names, _ = warehouse(spark, root)
+    WH.refresh_statistics(spark, names)
+    tables = {t: spark.table(f"{names.core}.{t}") for t in (*WH.FACTS, *WH.DIMENSIONS)}
+    return reports.fact_row_counts(tables)
+
+
+@query("ddl4_staging_repair", with_ctes(
+    "SELECT CAST(event_timestamp AS DATE) AS event_date, count(*) AS n FROM activity_ev GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "staging")
+    tag = path.rsplit("-", 1)[1]
+    names = WH.Databases(f"core_{tag}", f"staging_{tag}", f"analytics_{tag}")
+    WH.create_databases(spark, names)
+    WH.create_staging(spark, names, path)
+    df = R.activity_events(spark, root).withColumns({
+        "event_date": F.to_date("event_timestamp"),
+        "unit_price": F.col("unit_price").cast("decimal(18,2)"),
+        "total_amount": F.col("total_amount").cast("decimal(18,2)")})
+    df.write.partitionBy("event_date").parquet(f"{path}/raw/events", mode="append")
+    WH.repair_table(spark, "external_raw_events", names.staging)
+    return spark.table(f"{names.staging}.external_raw_events").groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("ddl5_catalog_views", with_ctes(
+    f"SELECT event_date, count(*) AS total_sales, {SOLD}, count(DISTINCT customer_id) AS unique_customers, {ITEMS}, "
+    f"{total()} AS gross_revenue, {mean()} AS average_order_value FROM {ACT['fact_sales']} "
+    "WHERE status = 'confirmed' GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    names, _ = warehouse(spark, root)
+    views.create_views(spark, names, ["confirmed"])
+    WH.probe_views(spark, names, views.VIEW_NAMES)
+    return spark.table(f"{names.analytics}.vw_sales_daily")
+
+
+@query("pm3_show_partitions", with_ctes(
+    f"SELECT DISTINCT 'event_date=' || CAST(event_date AS VARCHAR) AS partition FROM {ACT['fact_clicks']}", "activity_ev"))
+def _(spark, root):
+    names, _ = warehouse(spark, root)
+    return WH.show_partitions(spark, "fact_clicks", names.core)
+
+
+@query("pm7_drop_partition", with_ctes(
+    f"SELECT event_date, count(*) AS n, true AS existed FROM {ACT['fact_carts']} WHERE event_date <> DATE '2024-01-05' "
+    "GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    names, _ = warehouse(spark, root)
+    day = {"event_date": "2024-01-05"}
+    existed = WH.drop_partition_if_exists(spark, "fact_carts", day, names.core)
+    again = WH.drop_partition_if_exists(spark, "fact_carts", day, names.core)
+    return spark.table(f"{names.core}.fact_carts").groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("n"), F.lit(existed and not again).alias("existed"))
+
+
+@query("pm1_add_partition", with_ctes(
+    f"SELECT event_date, count(*) AS n FROM {ACT['fact_clicks']} WHERE event_date IN (DATE '2024-01-03', DATE '2024-01-04') "
+    "GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "parts")
+    table = "clicks_" + path.rsplit("-", 1)[1]
+    rows = CLICKS(spark, root)
+    rows.write.partitionBy("event_date").parquet(f"{path}/all")
+    WH.create_external_table(spark, table, f"{WH.FACTS['fact_clicks']}, event_date DATE", f"{path}/table", ["event_date"])
+    for day in ("2024-01-03", "2024-01-04"):
+        WH.add_partition(spark, table, {"event_date": day}, location=f"{path}/all/event_date={day}")
+    return spark.table(table).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tm5_describe_table",
+       "SELECT CAST(i AS BIGINT) AS position, c AS col_name, t AS data_type FROM (SELECT unnest(range(12)) AS i, "
+       "unnest(['event_id','order_id','customer_id','product_id','quantity','unit_price','total_amount','status',"
+       "'event_timestamp','ingestion_timestamp','session_id','event_date']) AS c, unnest(['string','string','string',"
+       "'string','int','decimal(18,2)','decimal(18,2)','string','timestamp','timestamp','string','date']) AS t)")
+def _(spark, root):
+    names, _ = warehouse(spark, root)
+    return WH.describe_table(spark, "fact_sales", names.core)
+
+
+@query("tm7_truncate_rename", with_ctes(
+    "SELECT 'renamed' AS table_name, count(*) AS total_records FROM activity_ev UNION ALL SELECT 'truncated', "
+    "CAST(0 AS BIGINT)", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "tables")
+    database = "tm_" + path.rsplit("-", 1)[1]
+    df = R.activity_events(spark, root)
+    for table in ("first_copy", "second_copy", "third_copy"):
+        catalog.load(df, table, "overwrite", database=database, path=f"{path}/{table}")
+    WH.rename_table(spark, "first_copy", "renamed", database)
+    catalog.load(df, "truncated", "overwrite", database=database)
+    WH.truncate_table(spark, "truncated", database)
+    catalog.drop_table(spark, "second_copy", database)
+    catalog.drop_table(spark, "third_copy", database, purge=True)
+    listed = [r.table_name for r in WH.show_tables(spark, database).collect()]
+    return reports.fact_row_counts({t: spark.table(f"{database}.{t}") for t in sorted(listed)})
+
+
+@query("snk11_insert_by_name", with_ctes(
+    "SELECT event_type, count(*) * 2 AS n FROM activity_ev GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "insert")
+    table = "insert_" + path.rsplit("-", 1)[1]
+    df = R.activity_events(spark, root).select("event_id", "event_type", "quantity")
+    catalog.load(df, table, "overwrite", path=path)
+    catalog.insert_sql(df.select("event_type", "quantity", "event_id"), table)
+    return spark.table(table).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("snk9_load_partitioned", with_ctes(
+    f"SELECT {DAY}, count(*) AS n FROM activity_ev GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "load")
+    table = "load_" + path.rsplit("-", 1)[1]
+    df = R.activity_events(spark, root).withColumn("event_date", F.to_date("event_timestamp"))
+    catalog.load_partitioned(df, table, path=path)
+    catalog.load_overwrite(df, table, ["event_date"], path=path)
+    return spark.table(table).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dml1_backfill_keeps_other_dates", with_ctes(
+    f"SELECT event_date, CASE WHEN event_date >= DATE '2024-01-20' THEN count(*) FILTER (total_cents >= 1000) "
+    f"ELSE count(*) END AS n FROM {ACT['fact_sales']} GROUP BY event_date", "activity_ev"))
+def _(spark, root):
+    names, _ = warehouse(spark, root)
+    late = curate.curate(R.activity_events(spark, root)).filter(
+        (F.col("event_date") >= "2024-01-20") & (F.col("total_amount") >= 10))
+    WH.backfill(late, "fact_sales", names)
+    return spark.table(f"{names.core}.fact_sales").groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- partition columns ---------------------------------------------------------------
+@query("pt1_partition_columns", with_ctes(
+    "SELECT event_id, year(event_timestamp) AS year, month(event_timestamp) AS month, day(event_timestamp) AS day, "
+    "hour(event_timestamp) AS hour, strftime(event_timestamp, '/base/year=%Y/month=%m/day=%d') AS path, "
+    "'year=' || year(event_timestamp) || ', month=' || month(event_timestamp) || ', day=' || day(event_timestamp) "
+    "|| ', hour=' || hour(event_timestamp) AS spec FROM all_ev", "all_ev"))
+def _(spark, root):
+    from ..functions.timestamps import partition_path, partition_spec, partition_values
+
+    df = R.all_events(spark, root)
+    return df.select(
+        "event_id", *[c.alias(n) for n, c in partition_values("event_timestamp").items()],
+        partition_path("/base/", "event_timestamp").alias("path"),
+        partition_spec("event_timestamp", include_hour=True).alias("spec"),
+    )
+
+
+@query("pt2_date_range", with_ctes(
+    "SELECT CAST(unnest(generate_series((SELECT date_trunc('day', min(event_timestamp)) FROM activity_ev), "
+    "(SELECT date_trunc('day', max(event_timestamp)) FROM activity_ev), INTERVAL 1 DAY)) AS DATE) AS day", "activity_ev"))
+def _(spark, root):
+    span = WH.date_span(R.activity_events(spark, root))
+    return span.select(WH.create_range(F.col("start"), F.col("end")).alias("day"))
+
+
+@query("pt5_type_partitions", with_ctes("SELECT event_type, count(*) AS n FROM activity_ev GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    from ..sinks import files
+    from ..sources import readers
+
+    path = scratch(spark, "by_type")
+    files.write_parquet(R.activity_events(spark, root), path, partition_by=["event_type"])
+    return readers.read_parquet(spark, path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
