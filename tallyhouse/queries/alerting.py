@@ -1 +1,233 @@
-"""placeholder"""
+"""Alert rules, questions on alert tables, and metric tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import alerts as A
+from ..operators import metrics as M
+from ..operators import windows as W
+from ..sources import relational as R
+from .base import amount, query, with_ctes
+from .activity import window_sql
+
+ALERT_OUT = ["alert_id", "alert_type", "event_timestamp", "severity", "message", "event_type", "customer_id", "product_id"]
+MONEY_TEXT = "(total_cents // 100) || '.' || lpad(CAST(total_cents % 100 AS VARCHAR), 2, '0')"
+LARGE = (
+    "SELECT 'alert-order-' || event_id AS alert_id, 'LARGE_ORDER_VALUE' AS alert_type, event_timestamp, 'HIGH' AS severity, "
+    f"'Pedido com valor acima do limite: ' || {MONEY_TEXT} || '.' AS message, event_type, customer_id, product_id, "
+    "event_id FROM all_ev WHERE event_type = 'order' AND total_cents >= 1000000"
+)
+LATE = (
+    "SELECT 'alert-delivery-' || event_id AS alert_id, 'LATE_DELIVERY' AS alert_type, event_timestamp, 'WARNING' AS severity, "
+    "'Entrega apresenta atraso superior a 24 horas.' AS message, event_type, customer_id, CAST(NULL AS VARCHAR) AS product_id, "
+    "event_id FROM all_ev WHERE event_type = 'delivery' AND status NOT IN ('delivered', 'failed') "
+    "AND ingestion_timestamp - event_timestamp > INTERVAL 24 HOUR"
+)
+ALERTS = f"({LARGE} UNION ALL {LATE})"
+SHOWN = ", ".join(ALERT_OUT)
+
+
+def alerts(spark, root):
+    return A.detect(R.all_events(spark, root))
+
+
+def orders_per_window(spark, root):
+    """Hourly windows over the order lines: those of a day share its midnight."""
+    return W.process(R.order_events(spark, root), 3600, 3600, ordered=False)
+
+
+WINDOWS = window_sql("order_ev", None, 3600, 3600)
+
+
+@query("al1_sales_volume_alerts", WINDOWS.replace(
+    "SELECT * EXCLUDE (kind), kind AS event_type FROM",
+    "SELECT 'alert-sales-' || (epoch_us(window_end) // 1000000) || '.0' AS alert_id, 'HIGH_SALES_VOLUME' AS alert_type, "
+    "window_end AS event_timestamp, 'WARNING' AS severity, 'Volume de vendas acima do limite: ' || event_count || "
+    "' eventos.' AS message, 'order' AS event_type, CAST(NULL AS VARCHAR) AS customer_id, CAST(NULL AS VARCHAR) AS product_id FROM")
+    + " WHERE event_count >= 30 AND kind IN ('order', 'mixed')")
+def _(spark, root):
+    return A.detect_window(orders_per_window(spark, root), A.window_rules(30)).select(*ALERT_OUT)
+
+
+@query("al2_large_order_alerts", with_ctes(f"SELECT {SHOWN} FROM ({LARGE})", "all_ev"))
+def _(spark, root):
+    return A.detect(R.all_events(spark, root), [A.large_order_value()]).select(*ALERT_OUT)
+
+
+@query("al3_late_delivery_alerts", with_ctes(f"SELECT {SHOWN} FROM ({LATE})", "all_ev"))
+def _(spark, root):
+    return A.detect(R.all_events(spark, root), [A.late_delivery()]).select(*ALERT_OUT)
+
+
+@query("al5_all_event_alerts", with_ctes(f"SELECT {SHOWN} FROM {ALERTS}", "all_ev"))
+def _(spark, root):
+    rules = A.register_rule(A.register_rule([], A.large_order_value()), A.late_delivery())
+    return A.detect_batch(R.all_events(spark, root), rules).select(*ALERT_OUT)
+
+
+@query("al8_has_alerts", with_ctes(
+    "SELECT event_id, (event_type = 'order' AND coalesce(total_cents >= 1000000, false)) OR (event_type = 'delivery' AND "
+    "status NOT IN ('delivered', 'failed') AND ingestion_timestamp - event_timestamp > INTERVAL 24 HOUR) AS has_alerts "
+    "FROM all_ev", "all_ev"))
+def _(spark, root):
+    return A.has_alerts(R.all_events(spark, root), A.event_rules()).select("event_id", "has_alerts")
+
+
+@query("al9_alert_count", with_ctes(f"SELECT count(*) AS alert_count FROM {ALERTS}", "all_ev"))
+def _(spark, root):
+    return A.count_alerts(R.all_events(spark, root))
+
+
+# ---- questions on the alert table -----------------------------------------------------
+def graded(spark, root):
+    """The alerts with monitoring severities: large orders are critical."""
+    level = F.when(F.col("alert_type") == A.LARGE_ORDER_VALUE, "CRITICAL").otherwise(F.col("severity"))
+    return alerts(spark, root).withColumn("severity", level)
+
+
+GRADED = f"(SELECT * REPLACE (CASE WHEN alert_type = 'LARGE_ORDER_VALUE' THEN 'CRITICAL' ELSE severity END AS severity) FROM {ALERTS})"
+
+
+@query("aq1_alerts_of_type", with_ctes(f"SELECT alert_id FROM {GRADED} WHERE alert_type = 'LATE_DELIVERY'", "all_ev"))
+def _(spark, root):
+    return A.filter_by_type(graded(spark, root), A.LATE_DELIVERY).select("alert_id")
+
+
+@query("aq3_critical_alerts", with_ctes(f"SELECT alert_id FROM {GRADED} WHERE severity = 'CRITICAL'", "all_ev"))
+def _(spark, root):
+    return A.critical_alerts(graded(spark, root)).select("alert_id")
+
+
+@query("aq4_warning_alerts", with_ctes(f"SELECT alert_id FROM {GRADED} WHERE severity = 'WARNING'", "all_ev"))
+def _(spark, root):
+    return A.warning_alerts(graded(spark, root)).select("alert_id")
+
+
+@query("aq5_alert_total", with_ctes(f"SELECT count(*) AS alert_count FROM {GRADED}", "all_ev"))
+def _(spark, root):
+    return A.count(graded(spark, root))
+
+
+@query("aq6_alerts_by_severity", with_ctes(
+    f"SELECT s AS severity, count(*) FILTER (lower(severity) = s) AS alert_count FROM {GRADED}, "
+    "(SELECT unnest(['info', 'warning', 'critical']) AS s) GROUP BY s", "all_ev"))
+def _(spark, root):
+    return A.count_by_severity(graded(spark, root))
+
+
+@query("aq7_new_alerts", with_ctes(
+    f"SELECT DISTINCT alert_id FROM {GRADED} WHERE alert_id NOT IN (SELECT alert_id FROM {GRADED} "
+    "WHERE event_timestamp < TIMESTAMP '1998-01-01')", "all_ev"))
+def _(spark, root):
+    found = graded(spark, root)
+    return A.new_alerts(found, found.filter(F.col("event_timestamp") < "1998-01-01")).select("alert_id")
+
+
+@query("aq8_alerts_summary", with_ctes(
+    "SELECT count(*) AS total, count(*) FILTER (severity = 'INFO') AS info, count(*) FILTER (severity = 'WARNING') AS warning, "
+    "count(*) FILTER (severity = 'CRITICAL') AS critical, string_agg(DISTINCT alert_type, ',' ORDER BY alert_type) AS types "
+    f"FROM {GRADED}", "all_ev"))
+def _(spark, root):
+    return A.alerts_summary(graded(spark, root))
+
+
+@query("aq9_recent_alerts", with_ctes(
+    f"SELECT alert_id, event_timestamp FROM {GRADED} ORDER BY event_timestamp DESC, alert_id LIMIT 10", "all_ev"))
+def _(spark, root):
+    return A.recent_alerts(graded(spark, root)).select("alert_id", "event_timestamp")
+
+
+@query("snk15_serialized_alerts", with_ctes(
+    "SELECT (epoch_us(event_timestamp) // 1000000) || '.000000#' || alert_type || '#' || alert_id AS row_key, alert_id, alert_type, "
+    "severity, message, event_type, customer_id, coalesce(product_id, '') AS product_id, "
+    f"strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S.000000Z') AS event_timestamp FROM {ALERTS}", "all_ev"))
+def _(spark, root):
+    return A.serialize(alerts(spark, root)).drop("detected_at", "metrics")
+
+
+# ---- metrics ------------------------------------------------------------------------------
+def feed_metrics(spark, root):
+    """Deltas of the feed's counters, one row per event."""
+    events = R.activity_events(spark, root)
+    name = F.concat(F.lit("batch_"), F.col("event_type"))
+    tags = F.create_map(F.lit("page"), F.coalesce("page", F.lit("")))
+    return M.record(events, name, F.coalesce("quantity", F.lit(1)), "ingestion_timestamp", tags=tags)
+
+
+METRICS = (
+    "(SELECT 'batch_' || event_type AS name, CAST(coalesce(quantity, 1) AS DOUBLE) AS value, "
+    "ingestion_timestamp AS timestamp, coalesce(page, '') AS page FROM activity_ev)"
+)
+
+
+@query("mt1_recorded_metrics", with_ctes(f"SELECT name, value, timestamp, 'count' AS unit, page FROM {METRICS}", "activity_ev"))
+def _(spark, root):
+    return feed_metrics(spark, root).withColumn("page", F.col("tags")["page"])
+
+
+@query("mt2_counters", with_ctes(
+    f"SELECT name, sum(value) AS value, max(timestamp) AS timestamp FROM {METRICS} GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    return M.increment(feed_metrics(spark, root))
+
+
+@query("mt3_latency", with_ctes(
+    "SELECT event_type AS name, count(*) AS samples, avg(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp)) / 1000 AS mean_ms, "
+    "CAST(max(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp)) AS DOUBLE) / 1000 AS max_ms FROM activity_ev GROUP BY ALL",
+    "activity_ev"))
+def _(spark, root):
+    ms = (F.unix_micros("ingestion_timestamp") - F.unix_micros("event_timestamp")) / 1000
+    samples = M.observe_latency(
+        R.activity_events(spark, root), F.col("event_type"), ms, "ingestion_timestamp")
+    return M.latency_summary(samples).drop("percentiles")
+
+
+SNAPSHOT = (
+    f"SELECT name, value, timestamp, 'count' AS unit FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY timestamp DESC, "
+    f"value DESC) AS rn FROM {METRICS}) WHERE rn = 1"
+)
+
+
+@query("mt5_latest_metrics", with_ctes(SNAPSHOT, "activity_ev"))
+def _(spark, root):
+    return M.snapshot(feed_metrics(spark, root))
+
+
+@query("mt4_one_metric", with_ctes(f"SELECT name, value FROM ({SNAPSHOT}) WHERE name = 'batch_cart'", "activity_ev"))
+def _(spark, root):
+    return M.get_value(feed_metrics(spark, root), "batch_cart")
+
+
+def counted(prefix_of: dict[str, str]):
+    """Counters named after a summary's fields, from the rows of the activity feed."""
+
+    def build(spark, root):
+        kind = F.col("event_type")
+        name = None
+        for event_type, metric in prefix_of.items():
+            name = F.when(kind == event_type, metric) if name is None else name.when(kind == event_type, metric)
+        events = R.activity_events(spark, root)
+        counters = M.increment(M.record(events, name, F.lit(1), "event_timestamp").filter("name IS NOT NULL"))
+        empty = F.create_map().cast("map<string,string>")
+        return counters.withColumns({"unit": F.lit("count"), "tags": empty})
+
+    return build
+
+
+for number, kind, names, chosen in (
+    (6, "processing", M.PROCESSING, {"order": "events_processed", "click": "events_received", "cart": "events_filtered"}),
+    (7, "streaming", M.STREAMING, {"order": "streaming_alerts_generated", "click": "streaming_windows_processed"}),
+    (8, "batch", M.BATCH, {"order": "batch_jobs_completed", "click": "batch_records_processed"}),
+    (9, "storage", M.STORAGE, {"order": "hdfs_written_records", "cart": "hive_read_records"}),
+):
+    by_metric = {metric: event_type for event_type, metric in chosen.items()}
+    columns = ", ".join(
+        f"CAST(count(*) FILTER (event_type = '{by_metric[n]}') AS DOUBLE) AS {n}" if n in by_metric
+        else f"CAST(NULL AS DOUBLE) AS {n}"
+        for n in names
+    )
+
+    @query(f"mt{number}_{kind}_summary", with_ctes(f"SELECT {columns} FROM activity_ev", "activity_ev"))
+    def _(spark, root, names=names, chosen=chosen):
+        return M.summary(counted(chosen)(spark, root), names)

@@ -1 +1,393 @@
-"""placeholder"""
+"""Contract rules, model rules, dimension rules and business predicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import jsontext, rules
+from ..functions import predicates as P
+from ..sources import relational as R
+from .base import amount, query, step, with_ctes
+from .scans import contract_lines
+
+
+def spoiled(spark, root):
+    """All events with values outside the contract, chosen by the data itself."""
+    df = R.all_events(spark, root)
+    quantity = F.coalesce(F.col("quantity"), F.lit(0))
+    return df.withColumns(
+        {
+            "event_type": F.when(quantity == 50, "refund").otherwise(F.col("event_type")),
+            "quantity": F.col("quantity") * F.when(quantity > 40, 25).otherwise(1) - F.when(quantity == 1, 1).otherwise(0),
+            "customer_id": F.when(quantity == 13, F.lit("  ")).otherwise(F.col("customer_id")),
+            "unit_price": F.when(quantity == 5, F.lit(0)).otherwise(F.col("unit_price")).cast("decimal(12,2)"),
+            "total_amount": F.when(quantity == 6, -F.col("total_amount")).otherwise(F.col("total_amount")),
+            "status": F.when(F.col("status") == "processing", "PROCESSING").otherwise(F.col("status")),
+            "carrier": F.when(F.col("status") == "failed", F.repeat(F.lit("x"), 101)).otherwise(F.col("carrier")),
+            "page": F.when(F.col("page") == "click", F.lit(" ")).otherwise(F.col("page")),
+        }
+    )
+
+
+SPOILED = """(SELECT * REPLACE (
+  CASE WHEN coalesce(quantity, 0) = 50 THEN 'refund' ELSE event_type END AS event_type,
+  quantity * CASE WHEN coalesce(quantity, 0) > 40 THEN 25 ELSE 1 END - CASE WHEN quantity = 1 THEN 1 ELSE 0 END AS quantity,
+  CASE WHEN quantity = 13 THEN '  ' ELSE customer_id END AS customer_id,
+  CASE WHEN quantity = 5 THEN 0 ELSE unit_cents END AS unit_cents,
+  CASE WHEN quantity = 6 THEN -total_cents ELSE total_cents END AS total_cents,
+  CASE WHEN status = 'processing' THEN 'PROCESSING' ELSE status END AS status,
+  CASE WHEN status = 'failed' THEN repeat('x', 101) ELSE carrier END AS carrier,
+  CASE WHEN page = 'click' THEN ' ' ELSE page END AS page) FROM all_ev)"""
+
+
+def named(*pairs: tuple[str, str]) -> str:
+    """Comma list of the names whose condition (rule broken) is true, in order."""
+    cases = ", ".join(f"CASE WHEN {broken} THEN '{name}' END" for name, broken in pairs)
+    return f"concat_ws(',', {cases})"
+
+
+def bad_id(c: str) -> str:
+    return f"NOT coalesce(length(trim({c})) BETWEEN 1 AND 100, false)"
+
+
+def not_in(c: str, *values: str) -> str:
+    return f"NOT coalesce({c} IN ({', '.join(repr(v) for v in values)}), false)"
+
+
+def when_type(kind: str, *pairs: tuple[str, str]) -> list[tuple[str, str]]:
+    return [(n, f"(coalesce(event_type = '{kind}', false) AND {b})") for n, b in pairs]
+
+
+COMMON = [
+    ("event_type", not_in("event_type", "click", "cart", "order", "delivery")),
+    ("event_id", bad_id("event_id")),
+    ("event_timestamp", "event_timestamp IS NULL"),
+    ("ingestion_timestamp", "ingestion_timestamp IS NULL"),
+    ("customer_id", bad_id("customer_id")),
+    ("session_id", f"session_id IS NOT NULL AND {bad_id('session_id')}"),
+]
+BAD_QUANTITY = "NOT coalesce(quantity BETWEEN 1 AND 1000, false)"
+CLICK = when_type("click", ("product_id", bad_id("product_id")), ("page", bad_id("page")),
+                  ("action", not_in("action", "view", "search", "product_view", "add_to_cart")))
+CART = when_type("cart", ("cart_id", bad_id("cart_id")), ("product_id", bad_id("product_id")),
+                 ("quantity", BAD_QUANTITY), ("action", not_in("action", "created", "updated", "removed", "abandoned")))
+ORDER = when_type("order", ("order_id", bad_id("order_id")), ("product_id", bad_id("product_id")),
+                  ("quantity", BAD_QUANTITY), ("unit_price", "NOT coalesce(unit_cents >= 1, false)"),
+                  ("total_amount", "NOT coalesce(total_cents >= 1, false)"),
+                  ("status", not_in("status", "created", "confirmed", "processing", "shipped", "delivered", "cancelled")))
+DELIVERY = when_type("delivery", ("order_id", bad_id("order_id")), ("delivery_id", bad_id("delivery_id")),
+                     ("status", not_in("status", "pending", "in_transit", "out_for_delivery", "delivered", "failed")),
+                     ("carrier", bad_id("carrier")))
+ALL_RULES = named(*COMMON, *CLICK, *CART, *ORDER, *DELIVERY)
+
+
+@query("qc1_contract_reasons", with_ctes(f"SELECT event_id, {ALL_RULES} AS reasons FROM {SPOILED}", "all_ev"))
+def _(spark, root):
+    return rules.judge(spoiled(spark, root)).select("event_id", "reasons")
+
+
+@query("qc3_valid_and_quarantined", with_ctes(
+    f"SELECT coalesce(event_type, '') AS event_type, r = '' AS valid, count(*) AS n FROM (SELECT event_type, "
+    f"{ALL_RULES} AS r FROM {SPOILED}) GROUP BY ALL", "all_ev"))
+def _(spark, root):
+    valid, quarantined = rules.split(rules.judge(spoiled(spark, root)))
+    both = valid.select("event_type", F.lit(True).alias("valid")).unionByName(
+        quarantined.select("event_type", F.lit(False).alias("valid")))
+    return both.groupBy("event_type", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+for number, kind, pairs, make in (
+    (11, "click", CLICK, rules.click_rules),
+    (12, "cart", CART, rules.cart_rules),
+    (13, "order", ORDER, rules.order_rules),
+    (14, "delivery", DELIVERY, rules.delivery_rules),
+):
+
+    @query(f"qc{number}_{kind}_rules", with_ctes(
+        f"SELECT event_id, {named(*pairs)} AS reasons FROM {SPOILED} WHERE event_type = '{kind}'", "all_ev"))
+    def _(spark, root, kind=kind, make=make):
+        df = spoiled(spark, root).filter(F.col("event_type") == kind)
+        return rules.judge(df, make()).select("event_id", "reasons")
+
+
+@query("qc10_common_rules", with_ctes(f"SELECT event_id, {named(*COMMON)} AS reasons FROM {SPOILED}", "all_ev"))
+def _(spark, root):
+    return rules.judge(spoiled(spark, root), rules.common_rules()).select("event_id", "reasons")
+
+
+# ---- JSON text -----------------------------------------------------------------------
+def dirty_lines(spark, root):
+    """Contract lines, some with an extra field, some cut in half."""
+    lines = contract_lines(spark, root)
+    kind = F.get_json_object("value", "$.event_type")
+    action = F.get_json_object("value", "$.action")
+    value = (
+        F.when(action == "view", F.concat(F.lit('{"coupon":"none",'), F.expr("substring(value, 2)")))
+        .when(kind == "order", F.expr("substring(value, 1, 60)"))
+        .otherwise(F.col("value"))
+    )
+    return lines.select(value.alias("value"))
+
+
+@query("qc2_json_reasons", with_ctes(
+    "SELECT CASE WHEN event_type = 'order' THEN NULL ELSE event_id END AS event_id, CASE WHEN event_type = 'order' "
+    "THEN 'json' WHEN action = 'view' THEN 'extra_field' WHEN event_type = 'cart' AND quantity > 8 THEN 'action' "
+    "ELSE '' END AS reasons FROM activity_ev", "activity_ev"))
+def _(spark, root):
+    judged = rules.judge_json(dirty_lines(spark, root))
+    broken = F.array_contains("reasons", "json")
+    return judged.select(F.when(~broken, F.col("event_id")).alias("event_id"), "reasons")
+
+
+@query("qc4_valid_json_count", with_ctes(
+    "SELECT NOT (event_type = 'order' OR action = 'view' OR (event_type = 'cart' AND quantity > 8)) AS valid, "
+    "count(*) AS n FROM (SELECT event_type, coalesce(action, '') AS action, coalesce(quantity, 0) AS quantity "
+    "FROM activity_ev) GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    judged = rules.judge_json(dirty_lines(spark, root))
+    return judged.groupBy(rules.is_valid().alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("qc9_canonical_json", with_ctes(
+    "SELECT '{\"event_id\":\"' || event_id || '\",\"event_type\":\"' || event_type || '\",\"customer_id\":\"' || "
+    "customer_id || '\",\"quantity\":' || coalesce(CAST(quantity AS VARCHAR), 'null') || '}' AS payload "
+    "FROM activity_ev WHERE NOT (event_type = 'cart' AND quantity > 8)", "activity_ev"))
+def _(spark, root):
+    judged = rules.judge_json(contract_lines(spark, root))
+    good = jsontext.typed(judged.filter(rules.is_valid()))
+    return good.select(jsontext.dumps("event_id", "event_type", "customer_id", "quantity").alias("payload"))
+
+
+# ---- times ---------------------------------------------------------------------------
+def raw_times(spark, root):
+    """Times as text: some without a zone, deliveries with both times swapped."""
+    df = R.all_events(spark, root)
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    swap = F.col("event_type") == "delivery"
+    first = F.when(swap, F.col("ingestion_timestamp")).otherwise(F.col("event_timestamp"))
+    second = F.when(swap, F.col("event_timestamp")).otherwise(F.col("ingestion_timestamp"))
+    zone = F.when(F.col("quantity") > 30, F.lit("")).when(F.col("quantity") > 20, F.lit("+00:00")).otherwise(F.lit("Z"))
+    return df.select(
+        "event_id",
+        F.concat(F.date_format(first, iso), zone).alias("event_timestamp"),
+        F.concat(F.date_format(second, iso), F.lit("Z")).alias("ingestion_timestamp"),
+    )
+
+
+ZONED = "NOT coalesce(quantity > 30, false)"
+ORDERED = "event_type <> 'delivery'"
+step("qc5_temporal_rules", raw_times,
+     lambda df: df.withColumns({
+         "ordered": rules.temporal_order(F.try_to_timestamp("event_timestamp"), F.try_to_timestamp("ingestion_timestamp")),
+         "zoned": rules.zoned("event_timestamp") & rules.zoned("ingestion_timestamp"),
+         "consistent": rules.zoned("event_timestamp") & rules.zoned("ingestion_timestamp") & rules.temporal_order(
+             F.try_to_timestamp("event_timestamp"), F.try_to_timestamp("ingestion_timestamp"))}),
+     {"ordered": ORDERED, "zoned": ZONED, "consistent": f"{ZONED} AND {ORDERED}"}, "all_ev")
+
+# ---- model rules -----------------------------------------------------------------------
+BLANK = "NOT coalesce(length(trim({0})) > 0, false)"
+
+
+def blank(c: str) -> str:
+    return BLANK.format(c)
+
+
+for number, name, kind, make, pairs in (
+    (15, "base_model", None, rules.base_event_rules,
+     [("event_id", blank("event_id")), ("event_type", blank("event_type")), ("customer_id", blank("customer_id")),
+      ("session_id", f"session_id IS NOT NULL AND {blank('session_id')}"),
+      ("ingestion_before_event", "ingestion_timestamp < event_timestamp")]),
+    (16, "order_model", "order", rules.order_model_rules,
+     [("order_id", blank("order_id")), ("product_id", blank("product_id")), ("quantity", "NOT coalesce(quantity > 0, false)"),
+      ("unit_price", "NOT coalesce(unit_cents >= 0, false)"), ("total_amount", "NOT coalesce(total_cents >= 0, false)"),
+      ("total_mismatch", "abs(total_cents - quantity * unit_cents) > 1"), ("status", blank("status"))]),
+    (17, "delivery_model", "delivery", rules.delivery_model_rules,
+     [("order_id", blank("order_id")), ("delivery_id", blank("delivery_id")), ("status", blank("status")),
+      ("carrier", blank("carrier"))]),
+    (18, "cart_model", "cart", rules.cart_model_rules,
+     [("cart_id", blank("cart_id")), ("product_id", blank("product_id")), ("quantity", "NOT coalesce(quantity > 0, false)"),
+      ("action", blank("action"))]),
+    (19, "click_model", "click", rules.click_model_rules,
+     [("product_id", blank("product_id")), ("page", blank("page")), ("action", blank("action"))]),
+):
+    where = f"WHERE event_type = '{kind}'" if kind else ""
+
+    @query(f"qc{number}_{name}_rules", with_ctes(
+        f"SELECT event_id, {named(*pairs)} AS reasons FROM {SPOILED} {where}", "all_ev"))
+    def _(spark, root, kind=kind, make=make):
+        df = spoiled(spark, root)
+        if kind:
+            df = df.filter(F.col("event_type") == kind)
+        return rules.judge(df, make()).select("event_id", "reasons")
+
+
+# ---- dimension rules -------------------------------------------------------------------
+@query("qc20_customer_rules", with_ctes(
+    f"SELECT customer_id, {named(('name', 'customer_sk % 7 = 0'), ('email', 'customer_sk % 3 = 0'), ('segment', blank('segment')))} "
+    "AS reasons, customer_sk % 3 <> 0 AS email_ok FROM dcust", "dcust"))
+def _(spark, root):
+    df = R.dim_customer(spark, root).withColumns({
+        "name": F.when(F.col("customer_sk") % 7 == 0, F.lit(" ")).otherwise(F.col("name")),
+        "email": F.when(F.col("customer_sk") % 3 == 0, F.lit("nobody")).otherwise(F.col("email"))})
+    return rules.judge(df, rules.customer_rules()).select("customer_id", "reasons", rules.email("email").alias("email_ok"))
+
+
+@query("qc21_product_rules", with_ctes(
+    f"SELECT product_id, {named(('price', 'price_cents < 100000'), ('stock_quantity', 'stock_quantity < 10'), ('brand', 'product_sk % 5 = 0'))} "
+    "AS reasons FROM dprod", "dprod"))
+def _(spark, root):
+    df = R.dim_product(spark, root).withColumns({
+        "price": F.col("price") - 1000, "stock_quantity": F.col("stock_quantity") - 10,
+        "brand": F.when(F.col("product_sk") % 5 == 0, F.lit("")).otherwise(F.col("brand"))})
+    return rules.judge(df, rules.product_rules()).select("product_id", "reasons")
+
+
+@query("qc22_order_entity_rules", with_ctes(
+    f"SELECT event_id, {named(('customer_id', blank('customer_id')), ('quantity', 'NOT coalesce(quantity > 0, false)'), ('created_at', 'total_cents < 0'))} "
+    f"AS reasons FROM {SPOILED} WHERE event_type = 'order'", "all_ev"))
+def _(spark, root):
+    df = spoiled(spark, root).filter(F.col("event_type") == "order").withColumn(
+        "created_at", F.when(F.col("total_amount") > 0, F.col("event_timestamp")))
+    return rules.judge(df, rules.order_entity_rules()).select("event_id", "reasons")
+
+
+@query("qc23_cart_entity_rules", with_ctes(
+    f"SELECT event_id, {named(('quantity', 'NOT coalesce(quantity > 0, false)'), ('updated_at', 'quantity > 6'))} "
+    f"AS reasons FROM {SPOILED} WHERE event_type = 'cart'", "all_ev"))
+def _(spark, root):
+    df = spoiled(spark, root).filter(F.col("event_type") == "cart").withColumns({
+        "status": F.col("action"), "created_at": F.col("event_timestamp"),
+        "updated_at": F.when(F.col("quantity") > 6, F.col("event_timestamp") - F.expr("INTERVAL 1 HOUR"))})
+    return rules.judge(df, rules.cart_entity_rules()).select("event_id", "reasons")
+
+
+@query("qc24_delivery_entity_rules", with_ctes(
+    "SELECT event_id, concat_ws(',', CASE WHEN estimated_delivery < event_timestamp THEN 'estimated_delivery' END, "
+    "CASE WHEN actual_delivery - INTERVAL 1 DAY < event_timestamp THEN 'actual_delivery' END) AS reasons "
+    "FROM delivery_ev", "delivery_ev"))
+def _(spark, root):
+    df = R.delivery_events(spark, root).withColumns({
+        "created_at": F.col("event_timestamp"),
+        "actual_delivery": F.col("actual_delivery") - F.expr("INTERVAL 1 DAY")})
+    return rules.judge(df, rules.delivery_entity_rules()).select("event_id", "reasons")
+
+
+step("qc25_value_rules", R.all_events,
+     lambda df: df.withColumns({
+         "known_status": rules.one_of("status", ["delivered", "failed"]),
+         "usual_quantity": rules.in_range("quantity", 2, 10),
+         "close": rules.approximately_equal("total_amount", F.col("quantity") * F.col("unit_price"), "0.05"),
+         "late_start": rules.temporal_order("estimated_delivery", "event_timestamp")}),
+     {"known_status": "coalesce(status IN ('delivered', 'failed'), false)",
+      "usual_quantity": "coalesce(quantity BETWEEN 2 AND 10, false)",
+      "close": "coalesce(abs(total_cents - quantity * unit_cents) <= 5, false)",
+      "late_start": "coalesce(estimated_delivery <= event_timestamp, false)"}, "all_ev")
+
+# ---- predicates ---------------------------------------------------------------------------
+step("dp1_event_predicates", R.all_events,
+     lambda df: df.withColumns({"delay": P.event_delay_seconds(), "late": P.is_late_event(),
+                                "kept": P.with_metadata(F.create_map(F.lit("a"), F.col("event_type")),
+                                                        F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.col("event_id")))["a"]}),
+     {"delay": "CAST(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp) AS DOUBLE) / 1000000",
+      "late": "ingestion_timestamp > event_timestamp", "kept": "event_type"}, "all_ev")
+
+SPELLINGS = {
+    "click": ["View", "CLICK", "select", "details", "open", "buy", "checkout", "ADD_TO_CART", "purchase", "search"],
+    "cart": ["add", "Add_To_Cart", "insert", "remove", "REMOVE_FROM_CART", "delete", "update", "change_quantity",
+             "quantity_update", "abandon", "Abandoned", "timeout", "created"],
+    "order": ["confirmed", "Confirmado", "processing", "PROCESSANDO", "completed", "complete", "concluido", "concluído",
+              "delivered", "Entregue", "cancelled", "canceled", "cancelado", "created"],
+    "delivery": ["delivered", "entregue", "Completed", "complete", "in_transit", "in-transit", "transit", "em_transito",
+                 "em trânsito", "pending", "aguardando", "preparing", "PREPARANDO", "cancelled", "canceled", "cancelado",
+                 "shipped", "out_for_delivery", "delayed", "failed", "returned"],
+    "basket": ["active", "Open", "aberto", "ativo", "abandoned", "abandonado", "expired", "converted", "convertido",
+               "completed", "concluido", "concluído", "other"],
+    "alert": ["high_sales_volume", "large_order_value", "late_delivery", "delivery_failure", "cart_abandonment",
+              "event_lag", "out_of_order_event", "pipeline_health"],
+}
+
+
+def spelled(kind: str):
+    """Order lines with a word of the list, picked by quantity."""
+    words = SPELLINGS[kind]
+
+    def read(spark, root):
+        listed = F.array(*[F.lit(w) for w in words])
+        return R.order_events(spark, root).withColumn("word", listed[F.col("quantity") % len(words)])
+
+    return read
+
+
+def word_step(name: str, kind: str, groups: dict[str, tuple[str, ...]]):
+    listed = "[" + ", ".join(f"'{w}'" for w in SPELLINGS[kind]) + "]"
+    picked = f"lower({listed}[quantity % {len(SPELLINGS[kind])} + 1])"
+    columns = {
+        col: f"{picked} IN ({', '.join(repr(w) for w in words)})" for col, (_g, words) in groups.items()
+    }
+    step(name, spelled(kind),
+         lambda df: df.withColumns({col: P.word(group, "word") for col, (group, _w) in groups.items()}),
+         columns, "order_ev")
+
+
+word_step("dp4_click_predicates", "click", {
+    "interaction": ("click_product_interaction", ("view", "click", "select", "details", "open")),
+    "intent": ("click_conversion_intent", ("buy", "checkout", "add_to_cart", "purchase"))})
+word_step("dp6_cart_predicates", "cart", {
+    "addition": ("cart_addition", ("add", "add_to_cart", "insert")),
+    "removal": ("cart_removal", ("remove", "remove_from_cart", "delete")),
+    "changed": ("cart_update", ("update", "change_quantity", "quantity_update")),
+    "abandonment": ("cart_abandonment", ("abandon", "abandoned", "timeout"))})
+word_step("dp10_order_predicates", "order", {
+    "confirmed": ("order_confirmed", ("confirmed", "confirmado")),
+    "processing": ("order_processing", ("processing", "processando")),
+    "completed": ("order_completed", ("completed", "complete", "concluido", "concluído", "delivered", "entregue")),
+    "cancelled": ("order_cancelled", ("cancelled", "canceled", "cancelado")),
+    "final": ("order_status_final", ("completed", "delivered", "cancelled")),
+    "successful": ("order_status_successful", ("completed", "delivered"))})
+word_step("dp15_delivery_predicates", "delivery", {
+    "delivered": ("delivery_delivered", ("delivered", "entregue", "completed", "complete")),
+    "moving": ("delivery_in_transit", ("in_transit", "in-transit", "transit", "em_transito", "em trânsito")),
+    "pending": ("delivery_pending", ("pending", "aguardando", "preparing", "preparando")),
+    "cancelled": ("delivery_cancelled", ("cancelled", "canceled", "cancelado")),
+    "final": ("delivery_status_final", ("delivered", "failed", "returned", "cancelled")),
+    "successful": ("delivery_status_successful", ("delivered",)),
+    "problematic": ("delivery_status_problematic", ("delayed", "failed", "returned", "cancelled")),
+    "on_the_way": ("delivery_status_in_transit", ("shipped", "in_transit", "out_for_delivery"))})
+word_step("dp23_cart_state_predicates", "basket", {
+    "active": ("cart_active", ("active", "open", "aberto", "ativo")),
+    "abandoned": ("cart_abandoned", ("abandoned", "abandonado", "expired")),
+    "converted": ("cart_converted", ("converted", "convertido", "completed", "concluido", "concluído"))})
+word_step("dp37_alert_families", "alert", {
+    "commercial": ("alert_commercial", ("high_sales_volume", "large_order_value")),
+    "logistics": ("alert_logistics", ("late_delivery", "delivery_failure")),
+    "behavioral": ("alert_behavioral", ("cart_abandonment",)),
+    "about_feed": ("alert_pipeline", ("event_lag", "out_of_order_event", "pipeline_health"))})
+step("dp14_order_amounts", R.all_events,
+     lambda df: df.withColumns({"high_value": P.is_high_value_order(), "computed_total": P.order_total()}),
+     {"high_value": "coalesce(total_cents >= 1000000, false)", "computed_total": amount("(quantity * unit_cents)")},
+     "all_ev")
+step("dp19_delivery_times", R.delivery_events,
+     lambda df: df.withColumns({"late": P.is_delivered_late(), "delay": P.delivery_delay_seconds(),
+                                "duration": P.delivery_duration_seconds("event_timestamp", "estimated_delivery")}),
+     {"late": "coalesce(actual_delivery > estimated_delivery, false)",
+      "delay": "coalesce(epoch(actual_delivery) - epoch(estimated_delivery), 0.0)",
+      "duration": "coalesce(epoch(estimated_delivery) - epoch(event_timestamp), 0.0)"}, "delivery_ev")
+
+
+@query("dp26_customer_predicates", with_ctes(
+    "SELECT customer_id, replace(lower(name), '#', '.') || '@example.com' AS email, customer_sk % 4 = 0 AS premium "
+    "FROM dcust", "dcust"))
+def _(spark, root):
+    df = R.dim_customer(spark, root).withColumns({
+        "segment": F.when(F.col("customer_sk") % 4 == 0, F.lit("VIP")).otherwise(F.col("segment")),
+        "email": F.concat(F.lit(" "), F.upper("email"))})
+    return df.select("customer_id", P.normalized_email().alias("email"), P.word("customer_premium", "segment").alias("premium"))
+
+
+@query("dp28_product_predicates", with_ctes(
+    "SELECT product_id, stock_quantity > 25 AS in_stock, stock_quantity = 25 AS out_of_stock, "
+    "price_cents >= 100000 AS high_value FROM dprod", "dprod"))
+def _(spark, root):
+    df = R.dim_product(spark, root).withColumn("stock_quantity", F.col("stock_quantity") - 25)
+    return df.select("product_id", P.is_in_stock().alias("in_stock"), P.is_out_of_stock().alias("out_of_stock"),
+                     P.is_high_value_product().alias("high_value"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import curate, features, refine
 from ..plans import batch
 from ..session import scratch
-from ..sinks import files
+from ..sinks import catalog, files
 from ..sources import relational as R
 from .base import COLUMNS, amount, big, flag, mean_2, query, step, total, with_ctes
 from .marts import DAY
@@ -213,6 +213,7 @@ def _(spark, root):
     raw, out = scratch(spark, "raw"), scratch(spark, "batch")
     database = "batch_" + out.rsplit("-", 1)[1]
     files.write_jsonl(R.activity_events(spark, root), raw)
+    catalog.ensure_database(spark, database, f"{out}/db")
     batch.run_batch(spark, raw, out, database)
     return spark.table(f"{database}.daily_sales_summary")
 

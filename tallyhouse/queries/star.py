@@ -301,7 +301,7 @@ def _(spark, root):
     path = scratch(spark, "staging")
     tag = path.rsplit("-", 1)[1]
     names = WH.Databases(f"core_{tag}", f"staging_{tag}", f"analytics_{tag}")
-    WH.create_databases(spark, names)
+    WH.create_databases(spark, names, path)
     WH.create_staging(spark, names, path)
     df = R.activity_events(spark, root).withColumns({
         "event_date": F.to_date("event_timestamp"),
@@ -374,6 +374,7 @@ def _(spark, root):
     path = scratch(spark, "tables")
     database = "tm_" + path.rsplit("-", 1)[1]
     df = R.activity_events(spark, root)
+    catalog.ensure_database(spark, database, f"{path}/db")
     for table in ("first_copy", "second_copy", "third_copy"):
         catalog.load(df, table, "overwrite", database=database, path=f"{path}/{table}")
     WH.rename_table(spark, "first_copy", "renamed", database)

@@ -1 +1,146 @@
-"""placeholder"""
+"""Structured Streaming queries: the activity feed is streamed from its files, run with
+``availableNow`` into the shared scratch folder, and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.jsontext import dump_row
+from ..operators import alerts as A
+from ..session import scratch
+from ..sources import relational as R
+from ..streaming import job, late, sinks, sources
+from .activity import shuffled_arrivals, window_sql
+from .base import amount, query, with_ctes
+from .scans import CORE_SQL, core
+
+CLOSED = "window_end <= (SELECT max(event_timestamp) - INTERVAL 10 SECOND FROM activity_ev)"
+
+
+def finish(query_handle):
+    query_handle.awaitTermination()
+    if query_handle.exception() is not None:
+        raise query_handle.exception()
+
+
+def to_parquet(spark, frame, name):
+    """Run a stream to its end into a Parquet folder and read the folder back."""
+    path = scratch(spark, name)
+    finish(sinks.start_parquet(frame, f"{path}/out", f"{path}/checkpoint"))
+    return spark.read.schema(frame.schema).parquet(f"{path}/out")
+
+
+def json_folder(spark, root, files=4, source=R.activity_events):
+    """The feed as JSON lines in several files, in arrival order."""
+    path = scratch(spark, "feed")
+    df = source(spark, root)
+    ordered = df.repartitionByRange(files, "ingestion_timestamp").sortWithinPartitions("ingestion_timestamp")
+    ordered.select(dump_row(df.drop("metadata")).alias("value")).write.text(path)
+    return path
+
+
+@query("st1_stream_parsed_lines", with_ctes(f"SELECT {CORE_SQL} FROM activity_ev", "activity_ev"))
+def _(spark, root):
+    lines = sources.read_lines(spark, json_folder(spark, root), max_files_per_trigger=2)
+    return to_parquet(spark, core(sources.parse(lines)), "parsed")
+
+
+@query("st2_stream_valid_events", with_ctes(
+    f"SELECT {CORE_SQL} FROM activity_ev WHERE NOT (event_type = 'cart' AND quantity > 8)", "activity_ev"))
+def _(spark, root):
+    events = R.activity_stream(spark, root)
+    holes = events.withColumn(
+        "customer_id",
+        F.when((F.col("event_type") == "cart") & (F.col("quantity") > 8), F.lit(" ")).otherwise(F.col("customer_id")))
+    return to_parquet(spark, core(sources.valid(holes)), "valid")
+
+
+@query("src10_stream_of_files", with_ctes(f"SELECT {CORE_SQL} FROM activity_ev", "activity_ev"))
+def _(spark, root):
+    events = sources.read_stream(spark, json_folder(spark, root), max_files_per_trigger=1)
+    return to_parquet(spark, core(sources.stamp_ingestion(events)), "files")
+
+
+@query("src17_stream_validated", with_ctes(
+    f"SELECT {CORE_SQL} FROM activity_ev WHERE NOT (event_type = 'cart' AND quantity > 8)", "activity_ev"))
+def _(spark, root):
+    from .scans import contract_lines, written_lines
+
+    good, _bad = sources.read_validated(spark, written_lines(spark, root, contract_lines))
+    return to_parquet(spark, core(good), "validated")
+
+
+SLIDING = window_sql("activity_ev", "customer_id")
+
+
+@query("st7_stream_customer_windows", SLIDING.replace(
+    "SELECT * EXCLUDE (kind), kind AS event_type FROM", "SELECT window_start, window_end, key AS customer_id, event_count, "
+    "unique_customers, total_quantity, total_amount FROM") + f" WHERE {CLOSED}")
+def _(spark, root):
+    windows = job.customer_windows(R.activity_stream(spark, root))
+    return to_parquet(spark, windows, "windows").drop("event_types")
+
+
+@query("st6_stream_overall_windows", window_sql("activity_ev").replace(
+    "SELECT * EXCLUDE (kind), kind AS event_type FROM", "SELECT window_start, window_end, kind AS event_type, event_count, "
+    "unique_customers, total_quantity, total_amount FROM") + f" WHERE {CLOSED}")
+def _(spark, root):
+    windows = job.as_window_result(job.overall_windows(R.activity_stream(spark, root)))
+    return to_parquet(spark, windows, "overall").drop("key", "metadata")
+
+
+@query("st6_stream_type_windows", window_sql("activity_ev", "event_type").replace(
+    "SELECT * EXCLUDE (kind), kind AS event_type FROM", "SELECT window_start, window_end, key AS event_type, event_count, "
+    "unique_customers, total_quantity, total_amount FROM") + f" WHERE {CLOSED}")
+def _(spark, root):
+    windows = job.overall_windows(R.activity_stream(spark, root), by="event_type")
+    return to_parquet(spark, windows, "by_type").drop("event_types")
+
+
+@query("snk14_stream_keyed_windows", SLIDING.replace(
+    "SELECT * EXCLUDE (kind), kind AS event_type FROM", "SELECT 'window#' || (epoch_us(window_start) // 1000000) || '.000000#' || kind "
+    "|| '#' || key AS row_key, 'WINDOW_AGGREGATION' AS alert_type, 'INFO' AS severity, kind AS event_type FROM") + f" WHERE {CLOSED}")
+def _(spark, root):
+    path = scratch(spark, "keyed_windows")
+    table = sinks.alert_table(spark, f"{path}/table")
+    windows = job.as_window_result(job.customer_windows(R.activity_stream(spark, root)), F.col("customer_id"))
+    finish(sinks.start_keyed(windows, table, sinks.window_rows, f"{path}/checkpoint"))
+    return table.read().select("row_key", "alert_type", "severity", "event_type")
+
+
+@query("snk12_stream_alerts", with_ctes(
+    "SELECT 'alert-order-' || event_id AS alert_id, customer_id, product_id FROM activity_ev "
+    "WHERE event_type = 'order' AND total_cents >= 5000", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "keyed_alerts")
+    table = sinks.alert_table(spark, f"{path}/table")
+    found = A.detect(R.activity_stream(spark, root), [A.large_order_value("50.00"), A.late_delivery()])
+    finish(sinks.start_keyed(found, table, A.serialize, f"{path}/checkpoint"))
+    return table.read().select("alert_id", "customer_id", "product_id")
+
+
+@query("snk18_stream_archive", with_ctes(
+    "SELECT strftime(event_timestamp, '%Y-%m-%d') AS day, count(*) AS events, "
+    f"{amount('CAST(sum(coalesce(total_cents, 0)) AS BIGINT)')} AS amount FROM activity_ev GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "archive")
+    # day precision here keeps the number of folders small; hours work the same way
+    day = F.date_trunc("day", "event_timestamp")
+    finish(sinks.start_archive(
+        R.activity_stream(spark, root), f"{path}/out", day, f"{path}/checkpoint", availableNow=True))
+    back = spark.read.schema("value STRING, ano STRING, mes STRING, dia STRING, hora STRING").text(f"{path}/out")
+    money = F.get_json_object("value", "$.total_amount").cast("decimal(14,2)")
+    return back.groupBy(F.concat_ws("-", "ano", "mes", "dia").alias("day")).agg(
+        F.count(F.lit(1)).alias("events"), F.coalesce(F.sum(money), F.lit(0)).cast("double").alias("amount"))
+
+
+@query("wn14_stream_lateness", with_ctes("SELECT count(*) AS n, true AS labelled FROM activity_ev", "activity_ev"))
+def _(spark, root):
+    """Labels depend on how files fall into micro-batches; every row must get exactly one."""
+    path = scratch(spark, "late")
+    feed = json_folder(spark, root, 5, shuffled_arrivals)
+    router = late.LateRouter(spark, f"{path}/out")
+    events = sources.parse(sources.read_lines(spark, feed, max_files_per_trigger=1))
+    finish(late.route_late_rows(events, router, f"{path}/checkpoint"))
+    known = F.col("lateness").isin("on_time", "allowed", "dropped")
+    return router.rows().agg(F.count(F.lit(1)).alias("n"), F.every(known).alias("labelled"))
