@@ -44,6 +44,10 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
 
     ``_corrupt_record`` holds the line where it is not a JSON object, so a bad
     line can be routed to quarantine instead of failing the job or vanishing.
+
+    The parsed struct passes through ``inline``: a later filter on its fields
+    then stays above the parser. As a plain projection the optimizer would copy
+    the parser into the filter once per field it mentions.
     """
     schema = T.StructType(RAW_EVENT.fields + [T.StructField("_corrupt_record", T.StringType())])
     parsed = F.from_json(
@@ -51,10 +55,8 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
         schema,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
     )
-    return (
-        lines.filter(F.length(F.trim(F.col(column))) > 0)
-        .select(F.trim(F.col(column)).alias("_line"), parsed.alias("_event"))
-        .select("_line", "_event.*")
+    return lines.filter(F.length(F.trim(F.col(column))) > 0).select(
+        F.trim(F.col(column)).alias("_line"), F.inline(F.array(parsed))
     )
 
 

@@ -173,7 +173,7 @@ def _(spark, root):
 
 
 @query("mt3_latency", with_ctes(
-    "SELECT event_type AS name, count(*) AS samples, avg(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp)) / 1000 AS mean_ms, "
+    "SELECT event_type AS name, count(*) AS samples, CAST(CAST(sum(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp)) AS BIGINT) // 1000 AS DOUBLE) / count(*) AS mean_ms, "
     "CAST(max(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp)) AS DOUBLE) / 1000 AS max_ms FROM activity_ev GROUP BY ALL",
     "activity_ev"))
 def _(spark, root):

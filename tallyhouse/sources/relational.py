@@ -14,6 +14,8 @@ from ..functions.basics import MONEY, PRICE
 from .readers import to_unified
 
 CENT = "0.01"
+CLICK_KINDS = ("click", "view")
+CART_KINDS = ("signup", "error")
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -153,8 +155,8 @@ def activity_events(spark: SparkSession, root: str) -> DataFrame:
 
 def activity_from(frame: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    is_click = kind.isin("click", "view")
-    is_cart = kind.isin("signup", "error")
+    is_click = kind.isin(*CLICK_KINDS)
+    is_cart = kind.isin(*CART_KINDS)
     is_order = kind == "purchase"
     click_action = (
         F.when(kind == "view", "view")
@@ -183,12 +185,17 @@ def activity_from(frame: DataFrame) -> DataFrame:
     )
 
 
+def _of_kind(spark: SparkSession, root: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Filter on the stored column, so that it reaches the Parquet scan."""
+    return table(spark, root, "events").filter(F.col("event_type").isin(*kinds))
+
+
 def click_events(spark: SparkSession, root: str) -> DataFrame:
-    return activity_events(spark, root).filter(F.col("event_type") == "click")
+    return activity_from(_of_kind(spark, root, CLICK_KINDS))
 
 
 def cart_events(spark: SparkSession, root: str) -> DataFrame:
-    return activity_events(spark, root).filter(F.col("event_type") == "cart")
+    return activity_from(_of_kind(spark, root, CART_KINDS))
 
 
 def all_events(spark: SparkSession, root: str) -> DataFrame:

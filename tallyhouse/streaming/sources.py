@@ -37,8 +37,11 @@ def read_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """JSON lines to typed events; an unreadable line has only nulls and fails ``valid``."""
-    return lines.select(F.from_json("value", EVENT).alias("event")).select("event.*")
+    """JSON lines to typed events; an unreadable line has only nulls and fails ``valid``.
+
+    ``inline`` keeps later filters above the parser, so each line is parsed once.
+    """
+    return lines.select(F.inline(F.array(F.from_json("value", EVENT))))
 
 
 def valid(events: DataFrame) -> DataFrame:
