@@ -116,60 +116,60 @@ def event_type_or_mixed(types: Column) -> Column:
     return F.when(F.size(types) == 1, types[0]).otherwise(F.lit("mixed"))
 
 
-def measures(distinct_customers: Column | None = None) -> list[Column]:
-    """Count, customers, quantity and amount of a group (null adds nothing)."""
-    customers = (
-        F.count_distinct(F.col("customer_id")) if distinct_customers is None else distinct_customers
-    )
-    return [
-        F.count(F.lit(1)).alias("event_count"),
-        customers.alias("unique_customers"),
-        unzero(F.sum(F.col("quantity").cast("long")), "long").alias("total_quantity"),
-        unzero(F.sum(F.col("total_amount").cast(MONEY)), "decimal(24,2)").alias("total_amount"),
-    ]
+def type_bits(vocabulary: Sequence[str]) -> Column:
+    """One bit per type, so the types of a group are a ``bit_or``: one long of state.
 
+    A type outside the vocabulary is an error here rather than a wrong answer.
+    """
+    problem = F.concat(F.lit("event type outside the vocabulary: "), F.col("event_type"))
+    bit = F.raise_error(problem).cast("int")
+    for position, name in enumerate(vocabulary):
+        bit = F.when(F.col("event_type") == name, F.lit(1 << position)).otherwise(bit)
+    return F.when(F.col("event_type").isNotNull(), bit)
 
-def types_of_group() -> Column:
-    return F.array_sort(F.collect_set("event_type")).alias("event_types")
 
+def types_from_bits(bits: Column, vocabulary: Sequence[str]) -> Column:
+    pairs = sorted((name, 1 << position) for position, name in enumerate(vocabulary))
+    return F.array_compact(
+        F.array(*[F.when(bits.bitwiseAND(F.lit(value)) != 0, F.lit(name)) for name, value in pairs])
+    )
 
-def _pre_aggregated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per group, customer and type: exact distinct counts without a set.
 
-    Both steps combine per task first, so neither a hot window nor a hot
-    customer gathers raw rows in one place.
+def _rolled_up(
+    df: DataFrame,
+    keys: Sequence[str],
+    span: bool = False,
+    vocabulary: Sequence[str] | None = EVENT_TYPES,
+) -> DataFrame:
+    """Group totals with exact distinct customers, in two combining steps.
+
+    First one row per group and customer, then one row per group. Both combine
+    per task before they shuffle, so neither a hot window nor a hot customer
+    gathers raw rows in one place. Without a vocabulary the types are kept as
+    small sets, which any text fits into but which cost more.
     """
-    return df.groupBy(*keys, "customer_id", "event_type").agg(
+    if vocabulary is None:
+        first, second = F.collect_set("event_type"), F.flatten(F.collect_set("_types"))
+        types = F.array_sort(F.array_distinct(second))
+    else:
+        first = F.bit_or(type_bits(vocabulary))
+        types = types_from_bits(F.bit_or("_types"), vocabulary)
+    times = [F.min("event_timestamp").alias("_first"), F.max("event_timestamp").alias("_last")]
+    spans = [F.min("_first").alias("window_start"), F.max("_last").alias("window_end")]
+    per_customer = df.groupBy(*keys, "customer_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.col("quantity").cast("long")).alias("_q"),
         F.sum(F.col("total_amount").cast(MONEY)).alias("_a"),
-        F.min("event_timestamp").alias("_first"),
-        F.max("event_timestamp").alias("_last"),
+        first.alias("_types"),
+        *(times if span else []),
     )
-
-
-def _rolled_up(df: DataFrame, keys: Sequence[str], span: bool = False) -> DataFrame:
-    per_customer = (
-        _pre_aggregated(df, keys)
-        .groupBy(*keys, "customer_id")
-        .agg(
-            F.sum("_n").alias("_n"),
-            F.sum("_q").alias("_q"),
-            F.sum("_a").alias("_a"),
-            F.min("_first").alias("_first"),
-            F.max("_last").alias("_last"),
-            F.collect_set("event_type").alias("_types"),
-        )
-    )
-    spans = [F.min("_first").alias("window_start"), F.max("_last").alias("window_end")]
-    grouped = per_customer.groupBy(*keys) if keys else per_customer.groupBy()
-    return grouped.agg(
+    return per_customer.groupBy(*keys).agg(
         *(spans if span else []),
-        F.sum("_n").alias("event_count"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("event_count"),
         F.count("customer_id").alias("unique_customers"),
         unzero(F.sum("_q"), "long").alias("total_quantity"),
         unzero(F.sum("_a"), "decimal(24,2)").cast("decimal(24,2)").alias("total_amount"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_types")))).alias("event_types"),
+        types.alias("event_types"),
     )
 
 
@@ -190,13 +190,14 @@ def process(
     slide_seconds: int = SLIDE_SECONDS,
     key_field: str | None = None,
     ordered: bool = True,
+    vocabulary: Sequence[str] | None = EVENT_TYPES,
 ) -> DataFrame:
     """Sliding aggregation, global or per key, one row per window (and key)."""
     if key_field is None:
         assigned, keys = assign_events(df, size_seconds, slide_seconds), []
     else:
         assigned, keys = assign_events_by_key(df, key_field, size_seconds, slide_seconds), ["key"]
-    out = _rolled_up(assigned, ["window_start", "window_end", *keys])
+    out = _rolled_up(assigned, ["window_start", "window_end", *keys], vocabulary=vocabulary)
     if key_field is None:
         out = out.withColumn("key", F.lit(None).cast("string"))
     out = out.select(
@@ -218,12 +219,14 @@ def process_by_key(df: DataFrame, key_field: str = "customer_id", **options) ->
 
 
 # ---- whole-frame and keyed aggregates -----------------------------------
-def aggregate_events(df: DataFrame, key_field: str | None = None) -> DataFrame:
+def aggregate_events(
+    df: DataFrame, key_field: str | None = None, vocabulary: Sequence[str] | None = EVENT_TYPES
+) -> DataFrame:
     """Time span, counts, amount and types of all rows, or of each non-blank key."""
     keys = []
     if key_field is not None:
         df, keys = df.filter(filled(key_field)).withColumn("key", F.col(key_field)), ["key"]
-    out = _rolled_up(df, keys, span=True)
+    out = _rolled_up(df, keys, span=True, vocabulary=vocabulary)
     if not keys:
         # an empty frame has nothing to describe: no row instead of a row of nulls
         out = out.withColumn("key", F.lit(None).cast("string")).filter(F.col("event_count") > 0)

@@ -23,7 +23,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def _cents(value: str) -> Column:
-    return F.round(F.col(value) * 100).cast("long")
+    """Whole cents of an amount stored as double (primitive arithmetic, no BigDecimal)."""
+    return F.floor(F.col(value) * 100 + 0.5)
+
+
+def _plus_seconds(moment: str, seconds: Column) -> Column:
+    """Timestamp plus seconds as long arithmetic on microseconds."""
+    return F.timestamp_micros(F.unix_micros(F.col(moment)) + seconds.cast("long") * 1_000_000)
 
 
 def _money(cents: Column, type_name: str) -> Column:
@@ -52,11 +58,14 @@ def _lines_with_orders(spark: SparkSession, root: str) -> DataFrame:
         "o_orderstatus",
         F.col("o_orderdate").cast("timestamp").alias("o_orderdate"),
     )
-    return lines.join(orders, "l_orderkey")
+    # Both sides are facts of one size class: at scale this is the join Spark picks
+    # anyway. Asking for it also keeps the work after the join spread over all tasks
+    # when the input is one small unsplittable file.
+    return lines.hint("merge").join(orders, "l_orderkey")
 
 
 def _line_id(prefix: str) -> Column:
-    return F.concat_ws("-", F.lit(prefix), _text("l_orderkey"), _text("l_linenumber"))
+    return F.concat(F.lit(f"{prefix}-"), _text("l_orderkey"), F.lit("-"), _text("l_linenumber"))
 
 
 def order_events(spark: SparkSession, root: str) -> DataFrame:
@@ -74,9 +83,7 @@ def order_events(spark: SparkSession, root: str) -> DataFrame:
             _line_id("o").alias("event_id"),
             F.lit("order").alias("event_type"),
             F.col("o_orderdate").alias("event_timestamp"),
-            (F.col("o_orderdate") + F.make_dt_interval(secs=F.col("l_linenumber") * 3)).alias(
-                "ingestion_timestamp"
-            ),
+            _plus_seconds("o_orderdate", F.col("l_linenumber") * 3).alias("ingestion_timestamp"),
             _text("o_custkey").alias("customer_id"),
             _text("l_partkey").alias("product_id"),
             F.col("q").cast("int").alias("quantity"),
@@ -101,15 +108,13 @@ def delivery_events(spark: SparkSession, root: str) -> DataFrame:
             _line_id("d").alias("event_id"),
             F.lit("delivery").alias("event_type"),
             F.col("l_shipdate").alias("event_timestamp"),
-            (F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber") * 6)).alias(
-                "ingestion_timestamp"
-            ),
+            _plus_seconds("l_shipdate", F.col("l_linenumber") * 21_600).alias("ingestion_timestamp"),
             _text("o_custkey").alias("customer_id"),
             _text("l_orderkey").alias("order_id"),
             status.alias("status"),
             _line_id("dl").alias("delivery_id"),
             F.concat(F.lit("carrier-"), _text("l_suppkey")).alias("carrier"),
-            (F.col("o_orderdate") + F.expr("INTERVAL 30 DAY")).alias("estimated_delivery"),
+            _plus_seconds("o_orderdate", F.lit(30 * 86_400)).alias("estimated_delivery"),
             F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("actual_delivery"),
         )
     )
@@ -130,9 +135,7 @@ def _activity_common() -> list[Column]:
     return [
         F.concat(F.lit("e-"), _text("event_id")).alias("event_id"),
         F.col("ts").alias("event_timestamp"),
-        (F.col("ts") + F.make_dt_interval(secs=F.pmod(F.col("event_id"), F.lit(20)))).alias(
-            "ingestion_timestamp"
-        ),
+        _plus_seconds("ts", F.pmod(F.col("event_id"), F.lit(20))).alias("ingestion_timestamp"),
         _text("user_id").alias("customer_id"),
         F.concat_ws("-", F.lit("s"), _text("user_id"), F.date_format("ts", "yyyyMMdd")).alias(
             "session_id"
