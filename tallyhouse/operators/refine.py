@@ -59,9 +59,16 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def normalize_words(df: DataFrame, columns: Sequence[str] = ("event_type", "status")) -> DataFrame:
+    """Lower-case, trimmed types and statuses: every later filter relies on it."""
+    found = present(df, columns)
+    return df.withColumns({c: lower_trim(c) for c in found}) if found else df
+
+
 def clean(df: DataFrame) -> DataFrame:
     return (
         df.transform(normalize_columns)
+        .transform(normalize_words)
         .transform(cast_timestamp_columns)
         .transform(remove_invalid_events)
         .transform(drop_duplicates)

@@ -101,26 +101,20 @@ def _(spark, root):
 
 
 CLEAN = with_ctes(
-    f"SELECT {SHORT}, product_id, quantity, order_id FROM clean_ev", "clean_ev"
+    f"SELECT {SHORT}, product_id, quantity, order_id, status FROM clean_ev", "clean_ev"
 )
-CLEAN_COLUMNS = [c.strip() for c in SHORT.split(",")] + ["product_id", "quantity", "order_id"]
-
-
-def quiet_rough(spark, root):
-    """The careless feed with types as they are: clean() itself does not lower-case them."""
-    df = rough_events(spark, root)
-    return df.withColumn("event_type", F.lower(F.trim("event_type")))
+CLEAN_COLUMNS = [c.strip() for c in SHORT.split(",")] + ["product_id", "quantity", "order_id", "status"]
 
 
 @query("pip1_clean", CLEAN)
 def _(spark, root):
-    return refine.clean(quiet_rough(spark, root)).select(*CLEAN_COLUMNS)
+    return refine.clean(rough_events(spark, root)).select(*CLEAN_COLUMNS)
 
 
 @query("pip2_raw_to_clean", CLEAN)
 def _(spark, root):
     raw, clean = scratch(spark, "raw"), scratch(spark, "clean")
-    df = refine.normalize_columns(quiet_rough(spark, root))
+    df = refine.normalize_columns(rough_events(spark, root))
     df.write.parquet(raw)
     out = batch.raw_to_clean(spark, raw, clean, ["event_type"], fmt="parquet")
     return out.select(*CLEAN_COLUMNS)
