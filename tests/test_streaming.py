@@ -18,7 +18,8 @@ NOW = {"availableNow": True}
 def write_feed(df, path, files):
     """JSON lines in arrival order, one file after the other: a file stream goes by file time."""
     moment = F.unix_micros("ingestion_timestamp")
-    cuts = df.select(moment.alias("m")).approxQuantile("m", [i / files for i in range(1, files)], 0.001)
+    shares = [i / files for i in range(1, files)]
+    cuts = df.select(moment.alias("m")).approxQuantile("m", shares, 0.001) if shares else []
     bounds = [None, *cuts, None]
     for low, high in zip(bounds, bounds[1:]):
         part = df if low is None else df.filter(moment >= low)
