@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, sharding
+from . import (
+    decontamination,
+    licences,
+    line_dedup,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filters,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +131,163 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
     )
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = simhash.classes(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    def canonical(text: str) -> str:
+        out = f"regexp_replace(lower({text}), '(?m)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
+        out = f"regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g')"
+        for old, new in licences.SPELLINGS:
+            out = f"replace({out}, {_sql_text(old)}, {_sql_text(new)})"
+        return f"nullif(trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '')"
+
+    known = ", ".join(
+        f"({_sql_text(name)}, '{kind}', {_sql_text(t)})"
+        for kind, group in (("text", licences.TEXTS), ("notice", licences.NOTICES))
+        for name, all_ in group.items()
+        for t in all_
+    )
+    return f"""
+WITH known AS MATERIALIZED (SELECT sha256({canonical("text")}) AS digest, min(license) AS license
+               FROM (VALUES {known}) AS v(license, kind, text) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+whole AS (SELECT rid, doc_id, sha256({canonical("text")}) AS text_digest FROM d),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+notes AS (SELECT rid, count(license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
+          FROM (SELECT rid, sha256({canonical("line")}) AS digest FROM lines) JOIN known USING (digest) GROUP BY rid)
+SELECT doc_id, text_digest, license AS text_license, coalesce(n, 0) AS n_notices, coalesce(names, '') AS notice_licenses
+FROM whole LEFT JOIN notes USING (rid) LEFT JOIN known ON digest = text_digest"""
+
+
+@query("op5_license_scans", _licence_sql())
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.section_counts(
+        table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
+_PAGES_FROM = "2024-01-01"
+
+
+def _number(key: str) -> Column:
+    """A number below 2^32 that depends on a text alone; SQL engines share MD5."""
+    return F.conv(F.substring(F.md5(F.expr(key)), 1, 8), 16, 10).cast("long")
+
+
+def list_history(pages: DataFrame) -> DataFrame:
+    """A block list derived from the hosts of the pages: three dated entries for each domain.
+
+    The tables have no list, so entries, days, actions and categories follow from the domain's MD5.
+    """
+    host = url_filters.host_of(F.col("url"))
+    domain = F.regexp_replace(host, r"^(blog|m|www)\.", "")
+    names = pages.select(domain.alias("domain")).where("domain is not null").distinct()
+    entries = names.withColumn("seq", F.explode(F.array(*map(F.lit, range(3)))))
+    entries = entries.withColumn("h", _number("concat(domain, '/', seq)"))
+    return entries.select(
+        "domain",
+        F.date_add(F.lit(_PAGES_FROM).cast("date"), (F.col("h") % 366).cast("int")).alias("day"),
+        "seq",
+        F.when(F.expr("h div 366") % 3 == 0, "remove").otherwise("add").alias("action"),
+        F.element_at(F.array(*map(F.lit, ("spam", "malware", "adult", "mirror"))), (F.expr("h div 1098") % 4 + 1).cast("int")).alias("category"),
+    )
+
+
+@query(
+    "op8_url_filters",
+    f"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, nullif(rtrim(lower(regexp_extract(url,
+    '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), '') AS host,
+    DATE '{_PAGES_FROM}' + CAST(CAST('0x' || substr(md5(url || '#' || page_id), 1, 8) AS BIGINT) % 366 AS INTEGER) AS fetched_on
+    FROM pages),
+names AS (SELECT DISTINCT regexp_replace(host, '^(blog|m|www)\\.', '') AS domain FROM p WHERE host IS NOT NULL),
+e AS (SELECT domain, seq, CAST('0x' || substr(md5(domain || '/' || seq), 1, 8) AS BIGINT) AS h
+      FROM names, (SELECT unnest(range(3)) AS seq)),
+l AS (SELECT domain, seq, DATE '{_PAGES_FROM}' + CAST(h % 366 AS INTEGER) AS day,
+      CASE WHEN (h // 366) % 3 = 0 THEN 'remove' ELSE 'add' END AS action,
+      (['spam', 'malware', 'adult', 'mirror'])[(h // 1098) % 4 + 1] AS category FROM e),
+i AS (SELECT *, lead(day) OVER (PARTITION BY domain ORDER BY day, seq) AS until FROM l),
+hit AS (SELECT rid, arg_max(domain, length(domain)) AS matched_domain, arg_max(category, length(domain)) AS category,
+        arg_max(day, length(domain)) AS listed_from
+        FROM p JOIN i ON (host = domain OR ends_with(host, '.' || domain))
+        WHERE action = 'add' AND fetched_on >= day AND (until IS NULL OR fetched_on < until) GROUP BY rid)
+SELECT page_id, host, fetched_on, matched_domain, category, listed_from, matched_domain IS NOT NULL AS blocked
+FROM p LEFT JOIN hit USING (rid)""",
+)
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit(_PAGES_FROM).cast("date"), (_number("concat(url, '#', page_id)") % 366).cast("int"))
+    captures = pages.withColumn("fetched_on", day)
+    df = url_filters.as_of(captures, url_filters.intervals(list_history(pages)))
+    return df.select("row.page_id", "host", "row.fetched_on", "matched_domain", "category", "listed_from", "blocked")
+
+
+@query(
+    "op9_decontamination",
+    """
+WITH norm AS (SELECT 0 AS bench, row_number() OVER () AS rid, doc_id, CAST(NULL AS VARCHAR) AS item_id,
+    coalesce(text, '') AS t FROM documents
+    UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(CAST(item_id AS VARCHAR), ''), coalesce(text, '') FROM benchmark),
+w AS MATERIALIZED (SELECT bench, rid, doc_id, item_id, regexp_extract_all(
+    translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM norm),
+size AS (SELECT DISTINCT least(len(ws), 13) AS k FROM w WHERE bench = 1 AND len(ws) > 0),
+win AS (SELECT item_id, least(len(ws), 13) AS k, unnest(list_transform(range(1, len(ws) - least(len(ws), 13) + 2),
+        lambda i: array_to_string(ws[i:i + least(len(ws), 13) - 1], ' '))) AS g FROM w WHERE bench = 1 AND len(ws) > 0),
+bw AS MATERIALIZED (SELECT DISTINCT item_id, k, g FROM win),
+dw AS (SELECT rid, k, list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' ')) AS gs
+       FROM w, size WHERE bench = 0 AND len(ws) >= k),
+pos AS (SELECT rid, k, unnest(gs) AS g, generate_subscripts(gs, 1) AS i FROM dw),
+hit AS MATERIALIZED (SELECT rid, item_id, k, i FROM pos JOIN bw USING (k, g)),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN words USING (rid) LEFT JOIN items USING (rid) WHERE bench = 0""",
+)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = decontamination.hits(docs, table(spark, sf_dir, "benchmark"))
+    return df.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
