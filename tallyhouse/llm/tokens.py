@@ -39,9 +39,6 @@ class ChunkEncoder:
         ]
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > self.memory:
-            # the older half goes; it is learnt again when it is met
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
         parted = {c: m.groups() for c in chunks if c.isascii() and (m := _TAIL.fullmatch(c))}
         need = [c for c in chunks if c not in parted]
         need += {x for pair in parted.values() for x in pair if x not in self.known} - set(need)
@@ -65,11 +62,12 @@ class ChunkEncoder:
         for part in self._slices(text):
             # the vocabulary lower-cases; doing it before makes fewer different chunks
             chunks = (part.lower() if part.isascii() else part).split()
+            if len(self.known) > self.memory:
+                # the older half goes; it is learnt again when it is met
+                self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
             new = set(chunks).difference(self.known)
             if new:
                 self._learn(new)
-                if len(self.known) > 2 * self.memory:
-                    self.known = {c: self.known[c] for c in set(chunks)}
             out.append(b"".join(map(self.known.__getitem__, chunks)))
         return b"".join(out)
 
