@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basics import MONEY, mean_money_2, require, sum_money
-from .skew import DEFAULT, HeavyKeys, SkewPolicy, balanced_join
+from .skew import DEFAULT, NO_SKEW, HeavyKeys, SkewPolicy, balanced_join
 
 ORDER_CUSTOMER_TYPES = ("inner", "left", "right", "outer", "left_semi", "left_anti")
 ENRICH_TYPES = ("inner", "left", "right", "full", "left_outer", "right_outer", "full_outer")
@@ -59,7 +59,7 @@ def enrich(
     right_key: str,
     how: str,
     allowed: tuple[str, ...],
-    heavy: HeavyKeys | None = None,
+    heavy: HeavyKeys = NO_SKEW,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     if how not in allowed:
@@ -80,7 +80,7 @@ def orphans(
     right: DataFrame,
     left_key: str,
     right_key: str,
-    heavy: HeavyKeys | None = None,
+    heavy: HeavyKeys = NO_SKEW,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """Left rows whose key is not on the right (null keys included).

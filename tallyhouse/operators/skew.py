@@ -1,10 +1,12 @@
 """Equi-joins that stay balanced when a few keys hold much of the data.
 
-A bounded sketch (``approx_top_k``, partial per task) finds the heavy keys of
-the left side. Only those keys, and null keys of outer joins, get a salt: their
-left rows spread over ``salts`` tasks and their right rows are repeated once per
-salt. All other keys join as usual. Which keys are salted changes the layout,
-never the result, so an approximate sketch is enough.
+By default this is Spark's own join: nothing runs while the query is built, and
+AQE splits the partitions that turn out large. A caller who knows or looks up heavy
+keys (:func:`find_heavy_keys`, a bounded sketch, partial per task) passes them as
+``heavy``. Only those keys, and null keys of outer joins, then get a salt: their left
+rows spread over ``salts`` tasks and their right rows are repeated once per salt. Which
+keys are salted changes the layout, never the result, so an approximate sketch is
+enough.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_HEAVY_KEYS = 64
 SKETCH_ITEMS = 10_000
 _SALT = "_salt"
 
@@ -45,15 +46,17 @@ NO_SKEW = HeavyKeys((), False)
 
 
 def find_heavy_keys(df: DataFrame, key: str, policy: SkewPolicy = DEFAULT) -> HeavyKeys:
-    """At most ``MAX_HEAVY_KEYS`` values, read once from the key column alone.
+    """Every key with the policy's share of the rows, read once from the key column alone.
 
     The sketch is one row of fixed size. Its answer is fixed here, as literals,
     so both sides of the join and every task retry use the same keys.
     """
+    # no more keys than this can hold the share each
+    most = min(SKETCH_ITEMS // 10, int(1 / policy.share) if policy.share else SKETCH_ITEMS // 10)
     row = (
         df.select(F.col(key).alias("_k"))
         .agg(
-            F.expr(f"approx_top_k(_k, {MAX_HEAVY_KEYS}, {SKETCH_ITEMS})").alias("top"),
+            F.expr(f"approx_top_k(_k, {most}, {SKETCH_ITEMS})").alias("top"),
             F.count(F.lit(1)).alias("rows"),
             F.count("_k").alias("keyed"),
         )
@@ -83,12 +86,12 @@ def balanced_join(
     right: DataFrame,
     key: str,
     how: str = "left",
-    heavy: HeavyKeys | None = None,
+    heavy: HeavyKeys = NO_SKEW,
     policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """``left JOIN right USING (key)`` for inner, left, right, full, left_semi, left_anti.
 
-    Without heavy keys this is exactly Spark's own join (broadcast where its
+    ``heavy`` are keys of the left side, of the right one for a right join. Without them this is exactly Spark's own join (broadcast where its
     statistics prove a side small, else sort-merge with AQE skew handling).
     """
     how = {
@@ -100,16 +103,14 @@ def balanced_join(
         "leftanti": "left_anti",
     }.get(how, how)
     if how == "right":
-        flipped = balanced_join(right, left, key, "left", None, policy)
+        flipped = balanced_join(right, left, key, "left", heavy, policy)
         rest = [c for c in left.columns if c != key] + [c for c in right.columns if c != key]
         return flipped.select(key, *rest)
-    if heavy is None:
-        heavy = find_heavy_keys(left, key, policy)
     if how == "full":
         if not heavy:
             return _plain(left, right, key, "full")
         kept = balanced_join(left, right, key, "left", heavy, policy)
-        unmatched = balanced_join(right, left.select(key).distinct(), key, "left_anti", None, policy)
+        unmatched = balanced_join(right, left.select(key).distinct(), key, "left_anti", NO_SKEW, policy)
         blank = [
             F.lit(None).cast(f.dataType).alias(f.name)
             for f in left.schema.fields

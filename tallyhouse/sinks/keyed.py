@@ -1,14 +1,19 @@
 """A table addressed by row key, kept as Parquet.
 
-Every write adds the changed rows under its own ``version=N`` folder and never
-touches older ones, so its cost follows the batch, not the table. Writing a
-version again replaces that version only: a replayed micro-batch changes
-nothing. A read keeps the newest row per key; the newest is picked inside each
-task before the shuffle, and a filter on the key reaches the scan.
+Every write adds the changed rows under its own version folder and never touches
+older ones, so its cost follows the batch, not the table. A version is named by
+the place of its run among all runs that wrote to the table, the batch within the
+run, the kind of write, and the run itself. Writing a version again replaces that
+version only: a replayed micro-batch changes nothing, while a new checkpoint,
+which counts its batches from 0 again, is a new run and replaces nothing. A read
+keeps the newest row per key; the newest is picked inside each task before the
+shuffle, and a filter on the key reaches the scan. ``compact`` adds a version with
+all current rows; reads then start from it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,25 +47,57 @@ def definitions_for_creation() -> dict[str, T.StructType]:
     }
 
 
+#: Order of the kinds of write within one batch.
+_STEPS = {"upsert": 0, "delete": 1, "columns": 2, "base": 9}
+_NAME = re.compile(r"(\d{6})-(\d{12})-(\d)-(.+)")
+
+
 class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         if KEY not in schema.fieldNames():
             raise ValueError(f"schema needs a {KEY} column")
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self._places: dict[str, int] = {}
 
     @property
     def _stored(self) -> T.StructType:
-        extra = [T.StructField(DELETED, T.BooleanType()), T.StructField(VERSION, T.LongType())]
+        extra = [T.StructField(DELETED, T.BooleanType()), T.StructField(VERSION, T.StringType())]
         return T.StructType(self.schema.fields + extra)
 
-    def _write(self, rows: DataFrame, version: int) -> None:
+    def versions(self) -> list[str]:
+        """Names of the stored versions, oldest first."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        names = (status.getPath().getName() for status in fs.listStatus(folder))
+        return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{VERSION}="))
+
+    def _place(self, run: str) -> int:
+        """Number of a run: the one it has, or the next one. Listed once per run and process."""
+        if run not in self._places:
+            known = {m[4]: int(m[1]) for m in map(_NAME.fullmatch, self.versions()) if m}
+            self._places[run] = known.get(run, max(known.values(), default=0) + 1)
+        return self._places[run]
+
+    def _write(self, rows: DataFrame, version: int, step: str, run: str) -> None:
+        name = f"{self._place(run):06d}-{int(version):012d}-{_STEPS[step]}-{run}"
         # sorted by key, so row-group statistics narrow a lookup to few pages
-        rows.sortWithinPartitions(KEY).write.mode("overwrite").parquet(
-            f"{self.path}/{VERSION}={int(version):012d}"
-        )
+        rows.sortWithinPartitions(KEY).write.mode("overwrite").parquet(f"{self.path}/{VERSION}={name}")
 
-    def upsert(self, rows: DataFrame, version: int, order_by: Sequence[Column] = ()) -> None:
-        """Insert or replace by key. With repeats in the batch the first in order wins."""
+    def upsert(
+        self,
+        rows: DataFrame,
+        version: int,
+        order_by: Sequence[Column] = (),
+        run: str = "batch",
+        step: str = "upsert",
+    ) -> None:
+        """Insert or replace by key. With repeats in the batch the first in order wins.
+
+        ``run`` names who counts the versions: for a stream, the id of its checkpoint.
+        """
         columns = [
             F.col(f.name).cast(f.dataType)
             if f.name in rows.columns
@@ -70,22 +107,32 @@ class KeyedTable:
         if order_by:
             rank = F.row_number().over(Window.partitionBy(KEY).orderBy(*order_by))
             rows = rows.withColumn("_rank", rank).filter(F.col("_rank") == 1)
-        self._write(rows.select(*columns, F.lit(False).alias(DELETED)), version)
+        self._write(rows.select(*columns, F.lit(False).alias(DELETED)), version, step, run)
 
-    def delete(self, keys: DataFrame, version: int) -> None:
+    def delete(self, keys: DataFrame, version: int, run: str = "batch") -> None:
         """Mark keys as deleted from this version on."""
         blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields if f.name != KEY]
         rows = keys.select(KEY).distinct().select(KEY, *blank, F.lit(True).alias(DELETED))
-        self._write(rows.select(*self.schema.fieldNames(), DELETED), version)
+        self._write(rows.select(*self.schema.fieldNames(), DELETED), version, "delete", run)
 
-    def delete_columns(self, keys: DataFrame, columns: Sequence[str], version: int) -> None:
+    def delete_columns(
+        self, keys: DataFrame, columns: Sequence[str], version: int, run: str = "batch"
+    ) -> None:
         """Empty some columns of the given keys and keep the others."""
         hit = self.read().join(keys.select(KEY).distinct(), KEY, "left_semi")
         dropped = {c: F.lit(None).cast(self.schema[c].dataType) for c in columns}
-        self.upsert(hit.withColumns(dropped), version)
+        self.upsert(hit.withColumns(dropped), version, run=run, step="columns")
+
+    def compact(self, version: int, run: str = "batch") -> None:
+        """All current rows as one version after batch ``version``; older ones are no longer read."""
+        self.upsert(self.read(), version, run=run, step="base")
 
     def log(self, where: Column | None = None) -> DataFrame:
+        """Stored rows from the newest base on; the folder names prune the older versions."""
         stored = self.spark.read.schema(self._stored).parquet(self.path)
+        base = [n for n in self.versions() if (m := _NAME.fullmatch(n)) and int(m[3]) == _STEPS["base"]]
+        if base:
+            stored = stored.filter(F.col(VERSION) >= base[-1])
         return stored if where is None else stored.filter(where)
 
     def read(self, where: Column | None = None) -> DataFrame:

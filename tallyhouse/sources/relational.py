@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.basics import MONEY, PRICE
+from ..schemas import EVENT
 from .readers import to_unified
 
 CENT = "0.01"
@@ -65,56 +67,80 @@ def _line_id(prefix: str) -> Column:
     return F.concat(F.lit(f"{prefix}-"), _text("l_orderkey"), F.lit("-"), _text("l_linenumber"))
 
 
-def order_events(spark: SparkSession, root: str) -> DataFrame:
-    quantity = F.col("l_quantity").cast("long")
-    cents = _cents("l_extendedprice")
-    unit_cents = F.expr("(2 * cents + q) div (2 * q)")
+def _joined(spark: SparkSession, root: str) -> DataFrame:
+    cents, quantity = _cents("l_extendedprice"), F.col("l_quantity").cast("long")
+    return _lines_with_orders(spark, root).withColumns({"cents": cents, "q": quantity})
+
+
+def _order_fields() -> dict[str, Column]:
     status = (
         F.when(F.col("o_orderstatus") == "F", "delivered")
         .when(F.col("o_orderstatus") == "O", "created")
         .otherwise("processing")
     )
-    lines = _lines_with_orders(spark, root).withColumns({"cents": cents, "q": quantity})
-    return to_unified(
-        lines.select(
-            _line_id("o").alias("event_id"),
-            F.lit("order").alias("event_type"),
-            F.col("o_orderdate").alias("event_timestamp"),
-            _plus_seconds("o_orderdate", F.col("l_linenumber") * 3).alias("ingestion_timestamp"),
-            _text("o_custkey").alias("customer_id"),
-            _text("l_partkey").alias("product_id"),
-            F.col("q").cast("int").alias("quantity"),
-            _text("l_orderkey").alias("order_id"),
-            _money(unit_cents, PRICE).alias("unit_price"),
-            _money(F.col("cents"), MONEY).alias("total_amount"),
-            status.alias("status"),
-        )
-    )
-
-
-def delivery_events(spark: SparkSession, root: str) -> DataFrame:
+    return {
+        "event_id": _line_id("o"),
+        "event_type": F.lit("order"),
+        "event_timestamp": F.col("o_orderdate"),
+        "ingestion_timestamp": _plus_seconds("o_orderdate", F.col("l_linenumber") * 3),
+        "customer_id": _text("o_custkey"),
+        "product_id": _text("l_partkey"),
+        "quantity": F.col("q").cast("int"),
+        "order_id": _text("l_orderkey"),
+        "unit_price": _money(F.expr("(2 * cents + q) div (2 * q)"), PRICE),
+        "total_amount": _money(F.col("cents"), MONEY),
+        "status": status,
+    }
+
+
+def _delivery_fields() -> dict[str, Column]:
     status = (
         F.when(F.col("l_linestatus") == "F", "delivered")
         .when(F.col("l_returnflag") == "R", "failed")
         .when(F.col("l_returnflag") == "A", "in_transit")
         .otherwise("pending")
     )
-    lines = _lines_with_orders(spark, root)
-    return to_unified(
-        lines.select(
-            _line_id("d").alias("event_id"),
-            F.lit("delivery").alias("event_type"),
-            F.col("l_shipdate").alias("event_timestamp"),
-            _plus_seconds("l_shipdate", F.col("l_linenumber") * 21_600).alias("ingestion_timestamp"),
-            _text("o_custkey").alias("customer_id"),
-            _text("l_orderkey").alias("order_id"),
-            status.alias("status"),
-            _line_id("dl").alias("delivery_id"),
-            F.concat(F.lit("carrier-"), _text("l_suppkey")).alias("carrier"),
-            _plus_seconds("o_orderdate", F.lit(30 * 86_400)).alias("estimated_delivery"),
-            F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("actual_delivery"),
-        )
-    )
+    return {
+        "event_id": _line_id("d"),
+        "event_type": F.lit("delivery"),
+        "event_timestamp": F.col("l_shipdate"),
+        "ingestion_timestamp": _plus_seconds("l_shipdate", F.col("l_linenumber") * 21_600),
+        "customer_id": _text("o_custkey"),
+        "order_id": _text("l_orderkey"),
+        "status": status,
+        "delivery_id": _line_id("dl"),
+        "carrier": F.concat(F.lit("carrier-"), _text("l_suppkey")),
+        "estimated_delivery": _plus_seconds("o_orderdate", F.lit(30 * 86_400)),
+        "actual_delivery": F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")),
+    }
+
+
+def _events_of(joined: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    return to_unified(joined.select(*[column.alias(name) for name, column in fields.items()]))
+
+
+def order_events(spark: SparkSession, root: str) -> DataFrame:
+    return _events_of(_joined(spark, root), _order_fields())
+
+
+def delivery_events(spark: SparkSession, root: str) -> DataFrame:
+    return _events_of(_joined(spark, root), _delivery_fields())
+
+
+def line_events(spark: SparkSession, root: str) -> DataFrame:
+    """The order and the delivery event of every line, from one join of lines and orders."""
+
+    order, delivery = _order_fields(), _delivery_fields()
+    kinds = F.explode(F.array(F.lit("order"), F.lit("delivery")))
+    nothing = F.lit(None)
+
+    def either(f: T.StructField) -> Column:
+        mine, other = order.get(f.name, nothing), delivery.get(f.name, nothing)
+        return F.when(F.col("kind") == "order", mine.cast(f.dataType)).otherwise(other.cast(f.dataType))
+
+    # one expression per column, so that a column nobody reads is not scanned either
+    doubled = _joined(spark, root).withColumn("kind", kinds)
+    return doubled.select(*[either(f).alias(f.name) for f in EVENT.fields])
 
 
 def _activity(frame: DataFrame) -> DataFrame:
@@ -200,11 +226,7 @@ def cart_events(spark: SparkSession, root: str) -> DataFrame:
 
 def all_events(spark: SparkSession, root: str) -> DataFrame:
     """Order and delivery events of the lines plus all activity events."""
-    return (
-        order_events(spark, root)
-        .unionByName(delivery_events(spark, root))
-        .unionByName(activity_events(spark, root))
-    )
+    return line_events(spark, root).unionByName(activity_events(spark, root))
 
 
 def dim_customer(spark: SparkSession, root: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +26,9 @@ ALERT_ROW = struct(
 )
 # --- end of fixed values ---
 
+#: Micro-batches between two compactions of a keyed table.
+COMPACT_EVERY = 1000
+
 
 def alert_table(spark: SparkSession, path: str) -> KeyedTable:
     return KeyedTable(spark, path, ALERT_ROW)
@@ -44,19 +48,37 @@ def window_rows(windows: DataFrame) -> DataFrame:
     )
 
 
-def write_alerts(alerts: DataFrame, table: KeyedTable, version: int) -> None:
-    table.upsert(A.serialize(alerts), version)
+def newest_first(rows: DataFrame) -> list[Column]:
+    """Order in which the first of several rows of a key wins: newest, then by content."""
+    whole = F.xxhash64(*[F.col(c) for c in rows.columns])
+    return [F.col("event_timestamp").desc_nulls_last(), whole.asc()]
+
+
+def write_alerts(alerts: DataFrame, table: KeyedTable, version: int, run: str = "batch") -> None:
+    rows = A.serialize(alerts)
+    table.upsert(rows, version, newest_first(rows), run)
 
 
-def write_windows(windows: DataFrame, table: KeyedTable, version: int) -> None:
-    table.upsert(window_rows(windows), version)
+def write_windows(windows: DataFrame, table: KeyedTable, version: int, run: str = "batch") -> None:
+    rows = window_rows(windows)
+    table.upsert(rows, version, newest_first(rows), run)
 
 
-def keyed_writer(table: KeyedTable, to_rows: Callable[[DataFrame], DataFrame]):
-    """``foreachBatch`` body: one versioned write per micro-batch."""
+def run_of(batch: DataFrame, default: str = "batch") -> str:
+    """Id of the streaming query that a micro-batch belongs to; it lives in the checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or default
+
+
+def keyed_writer(
+    table: KeyedTable, to_rows: Callable[[DataFrame], DataFrame], compact_every: int = COMPACT_EVERY
+):
+    """``foreachBatch`` body: one versioned write per micro-batch, folded now and then."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(to_rows(batch), batch_id)
+        rows, run = to_rows(batch), run_of(batch)
+        table.upsert(rows, batch_id, newest_first(rows), run)
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            table.compact(batch_id, run)
 
     return write
 
@@ -78,6 +100,36 @@ def start_keyed(
     )
 
 
+def archive_writer(path: str, moment: Column | str):
+    """``foreachBatch`` body: the batch as JSONL by hour, under the names of its run and batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = archive_rows(batch, moment)
+        target = f"{path}/run={run_of(batch)}/batch={batch_id}"
+        rows.write.mode("overwrite").partitionBy(*SINK_PARTITIONS).text(target)
+
+    return write
+
+
+def start_both(frame: DataFrame, first, second, checkpoint: str, **trigger) -> StreamingQuery:
+    """One query whose micro-batches go to two writers; the batch is computed once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            first(batch, batch_id)
+            second(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    return (
+        frame.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def start_archive(
     frame: DataFrame, path: str, moment: Column | str, checkpoint: str, **trigger
 ) -> StreamingQuery:

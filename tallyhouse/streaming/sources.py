@@ -44,6 +44,27 @@ def parse(lines: DataFrame) -> DataFrame:
     return lines.select(F.inline(F.array(F.from_json("value", EVENT))))
 
 
+def parse_kept(lines: DataFrame) -> DataFrame:
+    """Like :func:`parse`, with the line itself beside the event."""
+    parsed = F.from_json("value", EVENT)
+    return lines.select(F.inline(F.array(F.struct(parsed.alias("event"), F.col("value").alias("line"))))).select(
+        "event.*", "line"
+    )
+
+
+def incomplete(events: DataFrame) -> DataFrame:
+    """Rows that :func:`valid` leaves out, with the names of the fields they lack.
+
+    The test is the one after normalisation: a blank id or type counts as missing.
+    """
+    lacks = [
+        F.when(~F.coalesce(filled(c), F.lit(False)), F.lit(c)) for c in ("event_id", "event_type", "customer_id")
+    ]
+    lacks.append(F.when(F.col("event_timestamp").isNull(), F.lit("event_timestamp")))
+    missing = F.array_compact(F.array(*lacks))
+    return events.select("line", "event_id", missing.alias("missing")).filter(F.size("missing") > 0)
+
+
 def valid(events: DataFrame) -> DataFrame:
     """Rows with an id, a type, an event time and a customer."""
     return events.filter(

@@ -64,14 +64,16 @@ def brute(left, right, how):
 @pytest.mark.parametrize("policy", [SMALL, skew.DEFAULT])
 def test_balanced_join_equals_brute_force(hot_sides, how, policy):
     left, right = hot_sides
-    got = skew.balanced_join(left, right, "k", how, policy=policy)
+    heavy = skew.find_heavy_keys(right if how == "right" else left, "k", policy)
+    assert bool(heavy) == (policy is SMALL and how != "right")
+    got = skew.balanced_join(left, right, "k", how, heavy, policy)
     assert Counter(tuple(r) for r in got.collect()) == brute(left, right, how)
 
 
 def test_heavy_keys_are_found_and_spread(hot_sides):
     left, right = hot_sides
     heavy = skew.find_heavy_keys(left, "k", SMALL)
-    assert "hot" in heavy.values and heavy.nulls and len(heavy.values) <= skew.MAX_HEAVY_KEYS
+    assert "hot" in heavy.values and heavy.nulls and len(heavy.values) < 200
     spread = left.filter(F.col("k") == "hot").select(skew._row_salt(left, 4).alias("s")).distinct().count()
     assert spread == 4
     assert not skew.find_heavy_keys(left, "k")
@@ -79,10 +81,21 @@ def test_heavy_keys_are_found_and_spread(hot_sides):
 
 def test_orphans_with_skew(hot_sides):
     left, right = hot_sides
-    got = joins.orphans(left, right, "k", "k", policy=SMALL)
+    heavy = skew.find_heavy_keys(left, "k", SMALL)
+    got = joins.orphans(left, right, "k", "k", heavy, SMALL)
     assert Counter(tuple(r) for r in got.collect()) == brute(left, right, "left_anti")
 
 
+def test_joins_start_no_job_while_they_are_built(spark, hot_sides):
+    left, right = hot_sides
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    for how in joins.ENRICH_TYPES:
+        joins.enrich(left, right, "k", "k", how, joins.ENRICH_TYPES)
+    joins.orphans(left, right, "k", "k")
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
 def test_join_rejects_unknown_types_and_shared_columns(hot_sides):
     left, right = hot_sides
     with pytest.raises(ValueError, match="join type"):
