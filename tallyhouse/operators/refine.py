@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.basics import filled, lower_trim, present
+from ..functions.basics import filled, lower_trim, merge_maps, present
 from ..schemas import REQUIRED_FIELDS
 
 
@@ -126,6 +126,21 @@ def map_values(df: DataFrame, column: str, mapper) -> DataFrame:
     return df.withColumn(column, mapper(F.col(column)))
 
 
+def enrich_metadata(df: DataFrame, given: dict[str, str] | None = None) -> DataFrame:
+    """``metadata`` with the given pairs, which win, and the time of processing, which does not."""
+    pairs = [F.lit(x) for pair in (given or {}).items() for x in pair]
+    extra = F.create_map(*pairs).cast("map<string,string>")
+    stamp = F.create_map(F.lit("processed_at"), F.current_timestamp().cast("string"))
+    own = F.col("metadata") if "metadata" in df.columns else F.lit(None).cast("map<string,string>")
+    return df.withColumn("metadata", merge_maps(stamp, merge_maps(own, extra)))
+
+
+def event_value(unit_price: str = "unit_price", quantity: str = "quantity") -> Column:
+    """Price times quantity to cents; 0 where either is missing."""
+    value = F.round(F.col(unit_price) * F.col(quantity), 2)
+    return F.coalesce(value, F.lit(0)).cast("decimal(18,2)")
+
+
 def normalize_stream_event(df: DataFrame) -> DataFrame:
     """Trim ids, lower-case type and status, and drop rows without customer or type."""
     ids = present(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.basics import MONEY, as_col, filled, require
+from ..functions.basics import MONEY, as_col, filled, merge_maps, require, seconds_between
 from ..functions.timestamps import floor_timestamp
 from ..schemas import EVENT_TYPES
 
@@ -277,29 +277,46 @@ def watermark_by_arrival(
 ) -> DataFrame:
     """The watermark after each arrival instant: running max of event time minus the bound.
 
-    A running max needs an order, which would mean one task. It is built from
-    three small levels instead: max per arrival instant (combined per task),
-    running max inside each arrival minute, running max over minutes. The last
-    runs in one task over one row per minute of the calendar, whatever the
-    number of events.
+    A running max needs an order, which would mean one task. It is built from small levels
+    instead: the max per arrival instant (combined per task), then the running max of the
+    instants of a second, the seconds of a minute, the minutes of a day, and the days. No task
+    of a level sees more than the units inside one unit of the level above; the last, over
+    days, has one row per day of the calendar, whatever the number of events.
     """
-    instants = df.groupBy(F.col(arrival_ts).alias("_arrival")).agg(F.max(event_ts).alias("_max"))
-    instants = instants.withColumn("_minute", F.date_trunc("minute", "_arrival"))
-    inside = Window.partitionBy("_minute").orderBy("_arrival")
-    minutes = instants.groupBy("_minute").agg(F.max("_max").alias("_max"))
-    before = Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    carried = minutes.select("_minute", F.max("_max").over(before).alias("_carried"))
-    running = F.greatest(F.max("_max").over(inside), F.col("_carried"))
-    return (
-        instants.join(carried, "_minute")
-        .withColumn("_running", running)
-        .select(
-            F.col("_arrival").alias(arrival_ts),
-            calculate_watermark("_running", bound_seconds).alias("watermark"),
+    instants = df.groupBy(F.col(arrival_ts).alias("_at")).agg(F.max(event_ts).alias("_max"))
+    inside = Window.partitionBy(F.date_trunc("second", "_at")).orderBy("_at")
+    out = instants.withColumn("_running", F.max("_max").over(inside))
+    units = instants
+    for unit, above in (("second", "minute"), ("minute", "day"), ("day", None)):
+        units = units.groupBy(F.date_trunc(unit, "_at").alias("_at")).agg(F.max("_max").alias("_max"))
+        earlier = Window.partitionBy(F.date_trunc(above, "_at")) if above else Window
+        earlier = earlier.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        carried = units.select(F.col("_at").alias("_unit"), F.max("_max").over(earlier).alias("_carried"))
+        out = out.join(carried, F.date_trunc(unit, "_at") == F.col("_unit")).select(
+            "_at", F.greatest("_running", "_carried").alias("_running")
         )
+    return out.select(
+        F.col("_at").alias(arrival_ts), calculate_watermark("_running", bound_seconds).alias("watermark")
     )
 
 
+def with_time_metadata(
+    df: DataFrame,
+    event_ts: str = "event_timestamp",
+    ingestion_ts: str = "ingestion_timestamp",
+    zone: str = "UTC",
+) -> DataFrame:
+    """``metadata`` with both times in milliseconds, the delay in seconds and the zone."""
+    times = F.create_map(
+        F.lit("event_ms"), F.unix_millis(event_ts).cast("string"),
+        F.lit("ingestion_ms"), F.unix_millis(ingestion_ts).cast("string"),
+        F.lit("delay_seconds"), seconds_between(event_ts, ingestion_ts).cast("string"),
+        F.lit("zone"), F.lit(zone),
+    )
+    own = F.col("metadata") if "metadata" in df.columns else F.lit(None).cast("map<string,string>")
+    return df.withColumn("metadata", merge_maps(own, times))
+
+
 def is_late(ts: Column | str, watermark: Column | str) -> Column:
     """Before the watermark; never late while there is no watermark yet."""
     return F.coalesce(as_col(ts) < as_col(watermark), F.lit(False))

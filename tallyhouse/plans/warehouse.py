@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -357,5 +358,10 @@ def refresh_statistics(spark: SparkSession, names: Databases) -> None:
         analyze_table(spark, table, names.core)
 
 
-def probe_views(spark: SparkSession, names: Databases, views: Sequence[str]) -> list[DataFrame]:
-    return [spark.table(qualified(v, names.analytics)).limit(1) for v in views]
+def probe_views(spark: SparkSession, names: Databases, views: Sequence[str]) -> DataFrame:
+    """view and rows of every view: each one is read to its end."""
+    counts = [
+        spark.table(qualified(v, names.analytics)).agg(F.lit(v).alias("view"), F.count(F.lit(1)).alias("rows"))
+        for v in views
+    ]
+    return reduce(DataFrame.unionByName, counts)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import basics, timestamps
-from ..functions.basics import merge_maps
+from ..functions import timestamps
 from ..functions.predicates import event_delay_seconds, is_late_event
 from ..operators import refine
 from ..operators import windows as W
@@ -68,6 +67,9 @@ WINDOW = (
 )
 
 
+TYPES = "string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types"
+
+
 def window_sql(source: str, key: str | None = None, size: int = 60, slide: int = 10) -> str:
     floor = f"(epoch_us(event_timestamp) // {slide * 1000000} * {slide})"
     start = f"make_timestamp(({floor} - {slide} * i) * 1000000)"
@@ -79,7 +81,8 @@ def window_sql(source: str, key: str | None = None, size: int = 60, slide: int =
     )
     kind = WINDOW.replace("AS event_type", "AS kind")
     return with_ctes(
-        f"SELECT * EXCLUDE (kind), kind AS event_type FROM (SELECT window_start, window_end, key, {kind} "
+        f"SELECT * EXCLUDE (kind, types), kind AS event_type FROM (SELECT 'window_size_seconds={size};"
+        f"window_slide_seconds={slide};window_type=sliding' AS metadata, {TYPES}, window_start, window_end, key, {kind} "
         f"FROM ({inner}) GROUP BY window_start, window_end, key)", source)
 
 
@@ -170,23 +173,14 @@ step("wm7_times", R.activity_events,
 
 
 @query("wm10_time_metadata", with_ctes(
-    "SELECT event_id, CAST(epoch_us(event_timestamp) // 1000 AS VARCHAR) AS millis, "
-    "CAST((epoch_us(ingestion_timestamp) - epoch_us(event_timestamp)) // 1000000 AS VARCHAR) AS delay, "
-    "'UTC' AS zone, event_type AS kept FROM all_ev", "all_ev"))
+    f"SELECT event_id, 'delay_seconds=' || ({MICROS} // 1000000) || ';event_ms=' || (epoch_us(event_timestamp) // 1000) "
+    "|| ';ingestion_ms=' || (epoch_us(ingestion_timestamp) // 1000) || ';kind=' || event_type || ';zone=UTC' AS metadata "
+    "FROM all_ev", "all_ev"))
 def _(spark, root):
     df = R.all_events(spark, root).withColumn(
         "metadata", F.create_map(F.lit("kind"), F.col("event_type"), F.lit("zone"), F.lit("unknown"))
     )
-    extra = F.create_map(
-        F.lit("millis"), F.unix_millis("event_timestamp").cast("string"),
-        F.lit("delay"), basics.seconds_between("event_timestamp", "ingestion_timestamp").cast("string"),
-        F.lit("zone"), F.lit("UTC"),
-    )
-    merged = merge_maps("metadata", extra)
-    return df.select(
-        "event_id", merged["millis"].alias("millis"), merged["delay"].alias("delay"),
-        merged["zone"].alias("zone"), merged["kind"].alias("kept"),
-    )
+    return W.with_time_metadata(df).select("event_id", "metadata")
 
 
 # ---- row mapping -----------------------------------------------------------------
@@ -203,18 +197,15 @@ def _(spark, root):
     df = R.all_events(spark, root).withColumn(
         "metadata", F.create_map(F.lit("kind"), F.col("event_type"), F.lit("origin"), F.lit("feed"))
     )
-    stamp = F.create_map(F.lit("processed_at"), F.current_timestamp().cast("string"))
-    given = F.create_map(F.lit("origin"), F.lit("batch"))
-    merged = merge_maps(stamp, merge_maps("metadata", given))
-    return df.select(
-        "event_id", merged["origin"].alias("origin"), merged["kind"].alias("kind"),
-        merged["processed_at"].isNotNull().alias("stamped"),
+    out = refine.enrich_metadata(df, {"origin": "batch"})
+    return out.select(
+        "event_id", out["metadata"]["origin"].alias("origin"), out["metadata"]["kind"].alias("kind"),
+        out["metadata"]["processed_at"].isNotNull().alias("stamped"),
     )
 
 
 step("mp5_event_value", R.all_events,
-     lambda df: df.withColumn("event_value", F.coalesce(
-         F.round(F.col("unit_price") * F.col("quantity"), 2), F.lit(0)).cast("decimal(18,2)")),
+     lambda df: df.withColumn("event_value", refine.event_value()),
      {"event_value": amount("coalesce(unit_cents * quantity, 0)")}, "all_ev")
 
 

@@ -11,16 +11,24 @@ from ..sources import relational as R
 from .base import amount, query, with_ctes
 from .activity import window_sql
 
-ALERT_OUT = ["alert_id", "alert_type", "event_timestamp", "severity", "message", "event_type", "customer_id", "product_id"]
+ALERT_OUT = ["alert_id", "alert_type", "event_timestamp", "severity", "message", "event_type", "customer_id", "product_id", "metrics"]
 MONEY_TEXT = "(total_cents // 100) || '.' || lpad(CAST(total_cents % 100 AS VARCHAR), 2, '0')"
+DELAY = "((epoch_us(ingestion_timestamp) - epoch_us(event_timestamp)) // 1000000)"
+ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.000000Z')"
 LARGE = (
     "SELECT 'alert-order-' || event_id AS alert_id, 'LARGE_ORDER_VALUE' AS alert_type, event_timestamp, 'HIGH' AS severity, "
     f"'Pedido com valor acima do limite: ' || {MONEY_TEXT} || '.' AS message, event_type, customer_id, product_id, "
+    f"'order_id=' || coalesce(order_id, '') || ';threshold=10000.00;total_amount=' || {MONEY_TEXT} AS metrics, "
+    f"'{{\"total_amount\":\"' || {MONEY_TEXT} || '\",\"threshold\":\"10000.00\",\"order_id\":\"' || order_id || '\"}}' AS payload, "
     "event_id FROM all_ev WHERE event_type = 'order' AND total_cents >= 1000000"
 )
 LATE = (
     "SELECT 'alert-delivery-' || event_id AS alert_id, 'LATE_DELIVERY' AS alert_type, event_timestamp, 'WARNING' AS severity, "
     "'Entrega apresenta atraso superior a 24 horas.' AS message, event_type, customer_id, CAST(NULL AS VARCHAR) AS product_id, "
+    f"'carrier=' || carrier || ';delay_seconds=' || {DELAY} || ';delivery_id=' || delivery_id || ';order_id=' || order_id || "
+    "';threshold_seconds=86400' AS metrics, "
+    f"'{{\"delay_seconds\":\"' || {DELAY} || '\",\"threshold_seconds\":\"86400\",\"order_id\":\"' || order_id || '\",\"delivery_id\":\"' "
+    "|| delivery_id || '\",\"carrier\":\"' || carrier || '\"}' AS payload, "
     "event_id FROM all_ev WHERE event_type = 'delivery' AND status NOT IN ('delivered', 'failed') "
     "AND ingestion_timestamp - event_timestamp > INTERVAL 24 HOUR"
 )
@@ -41,10 +49,11 @@ WINDOWS = window_sql("order_ev", None, 3600, 3600)
 
 
 @query("al1_sales_volume_alerts", WINDOWS.replace(
-    "SELECT * EXCLUDE (kind), kind AS event_type FROM",
+    "SELECT * EXCLUDE (kind, types), kind AS event_type FROM",
     "SELECT 'alert-sales-' || (epoch_us(window_end) // 1000000) || '.0' AS alert_id, 'HIGH_SALES_VOLUME' AS alert_type, "
     "window_end AS event_timestamp, 'WARNING' AS severity, 'Volume de vendas acima do limite: ' || event_count || "
-    "' eventos.' AS message, 'order' AS event_type, CAST(NULL AS VARCHAR) AS customer_id, CAST(NULL AS VARCHAR) AS product_id FROM")
+    "' eventos.' AS message, 'order' AS event_type, CAST(NULL AS VARCHAR) AS customer_id, CAST(NULL AS VARCHAR) AS product_id, 'event_count=' || event_count || ';threshold=30;window_end=' || "
+    + ISO.format("window_end") + " || ';window_start=' || " + ISO.format("window_start") + " AS metrics FROM")
     + " WHERE event_count >= 30 AND kind IN ('order', 'mixed')")
 def _(spark, root):
     return A.detect_window(orders_per_window(spark, root), A.window_rules(30)).select(*ALERT_OUT)
@@ -141,9 +150,9 @@ def _(spark, root):
 @query("snk15_serialized_alerts", with_ctes(
     "SELECT (epoch_us(event_timestamp) // 1000000) || '.000000#' || alert_type || '#' || alert_id AS row_key, alert_id, alert_type, "
     "severity, message, event_type, customer_id, coalesce(product_id, '') AS product_id, "
-    f"strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S.000000Z') AS event_timestamp FROM {ALERTS}", "all_ev"))
+    f"strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S.000000Z') AS event_timestamp, payload AS metrics FROM {ALERTS}", "all_ev"))
 def _(spark, root):
-    return A.serialize(alerts(spark, root)).drop("detected_at", "metrics")
+    return A.serialize(alerts(spark, root)).drop("detected_at")
 
 
 # ---- metrics ------------------------------------------------------------------------------
@@ -161,7 +170,7 @@ METRICS = (
 )
 
 
-@query("mt1_recorded_metrics", with_ctes(f"SELECT name, value, timestamp, 'count' AS unit, page FROM {METRICS}", "activity_ev"))
+@query("mt1_recorded_metrics", with_ctes(f"SELECT name, value, timestamp, 'count' AS unit, page, 'page=' || page AS tags FROM {METRICS}", "activity_ev"))
 def _(spark, root):
     return feed_metrics(spark, root).withColumn("page", F.col("tags")["page"])
 

@@ -21,7 +21,10 @@ ORACLES: dict[str, str] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Result types both engines share: bigint, double, naive timestamp, text."""
+    """Result types both engines share: bigint, double, naive timestamp, text.
+
+    A map becomes ``key=value`` pairs in the order of its keys, so that it is compared too.
+    """
     columns = []
     for field in df.schema.fields:
         column, kind = F.col(f"`{field.name}`"), field.dataType
@@ -34,7 +37,11 @@ def plain(df: DataFrame) -> DataFrame:
         elif isinstance(kind, T.ArrayType):
             column = F.concat_ws(",", column)
         elif isinstance(kind, T.MapType):
-            continue
+            pairs = F.transform(
+                F.array_sort(F.map_entries(column)),
+                lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit(""))),
+            )
+            column = F.array_join(pairs, ";")
         columns.append(column.alias(field.name))
     return df.select(*columns)
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontext
 from ..functions.jsontext import dump_row
+from ..operators import alerts as A
+from ..operators import windows as W
 from ..session import scratch
 from ..sinks import catalog, files
 from ..sources import readers
@@ -228,6 +230,33 @@ def _(spark, root):
     )
 
 
+def archived(spark, path):
+    return spark.read.schema("value STRING, ano STRING, mes STRING, dia STRING, hora STRING").format("text").load(path)
+
+
+@query("snk19_alert_archive", with_ctes(
+    f"SELECT {HOURS}, 'alert-order-' || event_id AS alert_id, customer_id FROM activity_ev "
+    "WHERE event_type = 'order' AND total_cents >= 5000", "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "alert_archive")
+    found = A.detect(R.activity_events(spark, root), [A.large_order_value("50.00")])
+    files.write_alert_archive(found, path)
+    field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
+    return archived(spark, path).select("ano", "mes", "dia", "hora", field("alert_id"), field("customer_id"))
+
+
+@query("snk20_window_archive", with_ctes(
+    f"SELECT {HOURS.replace('event_timestamp', 'start')}, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events FROM ("
+    "SELECT date_trunc('minute', event_timestamp) AS start, count(*) AS n FROM activity_ev GROUP BY ALL) GROUP BY ALL",
+    "activity_ev"))
+def _(spark, root):
+    path = scratch(spark, "window_archive")
+    files.write_window_archive(W.process(R.activity_events(spark, root), 60, 60, ordered=False), path)
+    n = F.get_json_object("value", "$.event_count").cast("long")
+    return archived(spark, path).groupBy("ano", "mes", "dia", "hora").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum(n).alias("events"))
+
+
 @query("snk21_archive_folder", with_ctes(
     f"SELECT event_id, {HOURS} FROM all_ev", "all_ev"))
 def _(spark, root):

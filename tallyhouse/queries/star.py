@@ -118,9 +118,14 @@ def _(spark, root):
 
 
 @query("vw7_sales_delivery", with_ctes(
-    f"SELECT s.order_id, s.customer_id, s.product_id, s.event_date AS sale_date, {amount('s.total_cents')} AS "
-    "total_amount, d.delivery_id, d.status AS delivery_status, d.carrier, d.estimated_delivery, d.actual_delivery "
-    f"FROM {FS} s LEFT JOIN {FD} d ON s.order_id = d.order_id", "all_ev"))
+    "SELECT s.order_id, s.customer_id, s.product_id, s.event_date AS sale_date, "
+    f"{amount('s.total_cents')} AS total_amount, d.delivery_id, d.status AS delivery_status, d.carrier, "
+    "d.estimated_delivery, d.actual_delivery FROM (SELECT order_id, customer_id, product_id, "
+    "CAST(event_timestamp AS DATE) AS event_date, total_cents FROM order_ev WHERE order_id IS NOT NULL UNION ALL "
+    "SELECT order_id, customer_id, product_id, CAST(event_timestamp AS DATE), total_cents FROM activity_ev "
+    "WHERE event_type = 'order' AND order_id IS NOT NULL) s LEFT JOIN (SELECT order_id, delivery_id, status, carrier, "
+    "estimated_delivery, actual_delivery FROM delivery_ev) d ON s.order_id = d.order_id",
+    "order_ev", "delivery_ev", "activity_ev"))
 def _(spark, root):
     return views.sales_delivery(SALES(spark, root), DELIVERIES(spark, root))
 
@@ -247,14 +252,14 @@ def _(spark, root):
 
 @query("ddl2_dim_product", with_ctes(
     f"SELECT product_sk, product_id, name, category_id, brand, {amount('price_cents')} AS price, "
-    f"{big('stock_quantity')} AS stock_quantity FROM dprod", "dprod"))
+    f"{big('stock_quantity')} AS stock_quantity, '' AS metadata FROM dprod", "dprod"))
 def _(spark, root):
     return R.dim_product(spark, root)
 
 
 @query("ddl2_dim_customer", with_ctes(
     "SELECT customer_sk, customer_id, name, replace(lower(name), '#', '.') || '@example.com' AS email, "
-    "TIMESTAMP '1995-01-01' AS registration_date, segment FROM dcust", "dcust"))
+    "TIMESTAMP '1995-01-01' AS registration_date, segment, '' AS metadata FROM dcust", "dcust"))
 def _(spark, root):
     return R.dim_customer(spark, root)
 
@@ -320,10 +325,55 @@ def _(spark, root):
 def _(spark, root):
     names, _ = warehouse(spark, root)
     views.create_views(spark, names, ["confirmed"])
-    WH.probe_views(spark, names, views.VIEW_NAMES)
     return spark.table(f"{names.analytics}.vw_sales_daily")
 
 
+PAID = f"{ACT['fact_sales']} WHERE status = 'confirmed'"
+VIEW_ROWS = {
+    "vw_sales_daily": f"SELECT DISTINCT event_date FROM {PAID}",
+    "vw_sales_by_product": f"SELECT DISTINCT event_date, product_id FROM {PAID}",
+    "vw_customer_sales": f"SELECT DISTINCT customer_id FROM {PAID}",
+    "vw_customer_behavior": f"SELECT DISTINCT customer_id FROM {ACT['fact_clicks']}",
+    "vw_cart_behavior": f"SELECT DISTINCT customer_id FROM {ACT['fact_carts']}",
+    "vw_delivery_performance": f"SELECT DISTINCT event_date, carrier FROM {ACT['fact_deliveries']}",
+    "vw_sales_delivery": f"SELECT 1 FROM {ACT['fact_sales']} s LEFT JOIN {ACT['fact_deliveries']} d USING (order_id)",
+}
+
+
+@query("dml7_probed_views", with_ctes(
+    " UNION ALL ".join(f"SELECT '{v}' AS view, count(*) AS rows FROM ({q}) q" for v, q in VIEW_ROWS.items()),
+    "activity_ev"))
+def _(spark, root):
+    names, _ = warehouse(spark, root)
+    views.create_views(spark, names, ["confirmed"])
+    return WH.probe_views(spark, names, views.VIEW_NAMES)
+
+
+def catalog_view(name):
+    def build(spark, root):
+        names, _ = warehouse(spark, root)
+        views.create_views(spark, names, ["confirmed"])
+        return spark.table(f"{names.analytics}.{name}")
+
+    return build
+
+
+query("ddl5_view_customer_behavior", with_ctes(
+    "SELECT customer_id, count(*) AS total_clicks, count(DISTINCT product_id) AS unique_products_clicked, "
+    f"count(DISTINCT session_id) AS total_sessions FROM {ACT['fact_clicks']} GROUP BY customer_id",
+    "activity_ev"))(catalog_view("vw_customer_behavior"))
+query("ddl5_view_cart_behavior", with_ctes(
+    f"SELECT customer_id, count(DISTINCT cart_id) AS total_carts, {big('sum(quantity)')} AS total_items_added, "
+    f"count(*) AS total_cart_events FROM {ACT['fact_carts']} GROUP BY customer_id",
+    "activity_ev"))(catalog_view("vw_cart_behavior"))
+query("ddl5_view_customer_sales", with_ctes(
+    f"SELECT s.customer_id, any_value(c.name) AS customer_name, any_value(c.segment) AS segment, {SOLD}, {ITEMS}, "
+    f"{total()} AS total_spent, {mean()} AS average_order_value, min(event_date) AS first_purchase_date, "
+    f"max(event_date) AS last_purchase_date FROM {ACT['fact_sales']} s LEFT JOIN dcust c ON s.customer_id = c.customer_id "
+    "WHERE status = 'confirmed' GROUP BY s.customer_id",
+    "activity_ev", "dcust"))(catalog_view("vw_customer_sales"))
+
+
 @query("pm3_show_partitions", with_ctes(
     f"SELECT DISTINCT 'event_date=' || CAST(event_date AS VARCHAR) AS partition FROM {ACT['fact_clicks']}", "activity_ev"))
 def _(spark, root):

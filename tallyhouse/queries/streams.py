@@ -74,31 +74,31 @@ SLIDING = window_sql("activity_ev", "customer_id")
 
 
 @query("st7_stream_customer_windows", SLIDING.replace(
-    "SELECT * EXCLUDE (kind), kind AS event_type FROM", "SELECT window_start, window_end, key AS customer_id, event_count, "
-    "unique_customers, total_quantity, total_amount FROM") + f" WHERE {CLOSED}")
+    "SELECT * EXCLUDE (kind, types), kind AS event_type FROM", "SELECT window_start, window_end, key AS customer_id, event_count, "
+    "unique_customers, total_quantity, total_amount, types AS event_types FROM") + f" WHERE {CLOSED}")
 def _(spark, root):
     windows = job.customer_windows(R.activity_stream(spark, root))
-    return to_parquet(spark, windows, "windows").drop("event_types")
+    return to_parquet(spark, windows, "windows")
 
 
 @query("st6_stream_overall_windows", window_sql("activity_ev").replace(
-    "SELECT * EXCLUDE (kind), kind AS event_type FROM", "SELECT window_start, window_end, kind AS event_type, event_count, "
-    "unique_customers, total_quantity, total_amount FROM") + f" WHERE {CLOSED}")
+    "SELECT * EXCLUDE (kind, types), kind AS event_type FROM", "SELECT window_start, window_end, kind AS event_type, event_count, "
+    "unique_customers, total_quantity, total_amount, 'event_types=[\"' || replace(types, ',', '\",\"') || '\"]' AS metadata FROM") + f" WHERE {CLOSED}")
 def _(spark, root):
     windows = job.as_window_result(job.overall_windows(R.activity_stream(spark, root)))
-    return to_parquet(spark, windows, "overall").drop("key", "metadata")
+    return to_parquet(spark, windows, "overall").drop("key")
 
 
 @query("st6_stream_type_windows", window_sql("activity_ev", "event_type").replace(
-    "SELECT * EXCLUDE (kind), kind AS event_type FROM", "SELECT window_start, window_end, key AS event_type, event_count, "
-    "unique_customers, total_quantity, total_amount FROM") + f" WHERE {CLOSED}")
+    "SELECT * EXCLUDE (kind, types), kind AS event_type FROM", "SELECT window_start, window_end, key AS event_type, event_count, "
+    "unique_customers, total_quantity, total_amount, types AS event_types FROM") + f" WHERE {CLOSED}")
 def _(spark, root):
     windows = job.overall_windows(R.activity_stream(spark, root), by="event_type")
-    return to_parquet(spark, windows, "by_type").drop("event_types")
+    return to_parquet(spark, windows, "by_type")
 
 
 @query("snk14_stream_keyed_windows", SLIDING.replace(
-    "SELECT * EXCLUDE (kind), kind AS event_type FROM", "SELECT 'window#' || (epoch_us(window_start) // 1000000) || '.000000#' || kind "
+    "SELECT * EXCLUDE (kind, types), kind AS event_type FROM", "SELECT 'window#' || (epoch_us(window_start) // 1000000) || '.000000#' || kind "
     "|| '#' || key AS row_key, 'WINDOW_AGGREGATION' AS alert_type, 'INFO' AS severity, kind AS event_type FROM") + f" WHERE {CLOSED}")
 def _(spark, root):
     path = scratch(spark, "keyed_windows")
