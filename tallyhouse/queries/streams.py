@@ -9,8 +9,9 @@ from ..functions.jsontext import dump_row
 from ..operators import alerts as A
 from ..session import scratch
 from ..sources import relational as R
-from ..streaming import job, late, sinks, sources
-from .activity import shuffled_arrivals, window_sql
+from ..streaming import job, late, run, sinks, sources
+from .activity import ARRIVED, shuffled_arrivals, window_sql
+from .alerting import ALERTS
 from .base import amount, query, with_ctes
 from .scans import CORE_SQL, core
 
@@ -134,13 +135,55 @@ def _(spark, root):
         F.count(F.lit(1)).alias("events"), F.coalesce(F.sum(money), F.lit(0)).cast("double").alias("amount"))
 
 
-@query("wn14_stream_lateness", with_ctes("SELECT count(*) AS n, true AS labelled FROM activity_ev", "activity_ev"))
+#: Days of arrival at which the feed below is cut; each part becomes one micro-batch.
+CUTS = ("2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25")
+PART = " + ".join(f"CAST(ingestion_timestamp >= TIMESTAMP '{c}' AS INT)" for c in CUTS)
+
+
+@query("wn14_stream_lateness", with_ctes(
+    f"SELECT event_id, b AS batch, CASE WHEN event_timestamp < w - INTERVAL 10 SECOND THEN 'dropped' "
+    "WHEN event_timestamp < w THEN 'allowed' ELSE 'on_time' END AS lateness FROM ("
+    "SELECT a.*, (SELECT max(m) FROM (SELECT b, max(event_timestamp) AS m FROM a GROUP BY b) x WHERE x.b < a.b) "
+    "- INTERVAL 10 SECOND AS w FROM a)", "activity_ev").replace(
+        "\nSELECT event_id, b AS batch", f",\na AS (SELECT *, CAST({PART} AS BIGINT) AS b FROM {ARRIVED})\nSELECT event_id, b AS batch", 1))
 def _(spark, root):
-    """Labels depend on how files fall into micro-batches; every row must get exactly one."""
-    path = scratch(spark, "late")
-    feed = json_folder(spark, root, 5, shuffled_arrivals)
+    """Each part of the feed is one run of the same checkpoint, so one micro-batch."""
+    path, feed = scratch(spark, "late"), scratch(spark, "feed")
+    arrivals = shuffled_arrivals(spark, root)
     router = late.LateRouter(spark, f"{path}/out")
-    events = sources.parse(sources.read_lines(spark, feed, max_files_per_trigger=1))
-    finish(late.route_late_rows(events, router, f"{path}/checkpoint"))
-    known = F.col("lateness").isin("on_time", "allowed", "dropped")
-    return router.rows().agg(F.count(F.lit(1)).alias("n"), F.every(known).alias("labelled"))
+    moment = F.col("ingestion_timestamp")
+    for low, high in zip((None, *CUTS), (*CUTS, None)):
+        part = arrivals if low is None else arrivals.filter(moment >= low)
+        part = part if high is None else part.filter(moment < high)
+        part.select(dump_row(part.drop("metadata")).alias("value")).write.mode("append").text(feed)
+        events = sources.parse(sources.read_lines(spark, feed))
+        finish(late.route_late_rows(events, router, f"{path}/checkpoint"))
+    return router.rows().select("event_id", F.col("batch").cast("long").alias("batch"), "lateness")
+
+
+def shouted_folder(spark, root):
+    """All kinds of events as a producer sends them: upper-case types and statuses, some blank customers."""
+    path = scratch(spark, "feed")
+    df = R.all_events(spark, root).drop("metadata").withColumns({
+        "event_type": F.upper("event_type"), "status": F.upper("status"),
+        "customer_id": F.when(F.col("quantity") == 13, " ").otherwise(F.concat(F.lit(" "), "customer_id"))})
+    df.select(dump_row(df).alias("value")).write.text(path)
+    return path
+
+
+@query("st8_stream_alerts_upper", with_ctes(
+    "SELECT DISTINCT alert_id, alert_type, customer_id FROM "
+    + ALERTS.replace("FROM all_ev WHERE", "FROM all_ev WHERE quantity IS DISTINCT FROM 13 AND"), "all_ev"))
+def _(spark, root):
+    path = scratch(spark, "shouted")
+    good, _bad = run.prepared(spark, shouted_folder(spark, root))
+    table = sinks.alert_table(spark, f"{path}/alerts")
+    finish(sinks.start_keyed(A.detect(good), table, A.serialize, f"{path}/checkpoint"))
+    return table.read().select("alert_id", "alert_type", "customer_id").distinct()
+
+
+@query("st8_stream_quarantine", with_ctes(
+    "SELECT event_id, 'customer_id' AS missing FROM all_ev WHERE quantity = 13", "all_ev"))
+def _(spark, root):
+    _good, bad = run.prepared(spark, shouted_folder(spark, root))
+    return to_parquet(spark, bad, "quarantine").select("event_id", "missing")

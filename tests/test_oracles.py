@@ -35,6 +35,10 @@ ALSO = [
     "mt5_latest_metrics",
     "st6_stream_overall_windows",
     "wn14_stream_lateness",
+    "st8_stream_alerts_upper",
+    "st8_stream_quarantine",
+    "snk19_alert_archive",
+    "dml7_probed_views",
     "qc2_json_reasons",
     "dp15_delivery_predicates",
     "rk3_row_keys",
