@@ -38,21 +38,29 @@ def money(value: Column | str, type_name: str = MONEY) -> Column:
     return as_col(value).try_cast(type_name)
 
 
+def _sum(value: Column | str) -> Column:
+    """Exact sum as a decimal, added up in whole cents.
+
+    An amount times 100 fits into a long, so the grouped sum is long arithmetic inside the
+    generated code; a sum beyond a long is an error in ANSI mode, which is Spark's default.
+    """
+    cents = F.sum((money(value) * F.lit(100).cast("decimal(3,0)")).cast("long"))
+    return cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(2,2)")
+
+
 def sum_money(value: Column | str) -> Column:
     """Exact decimal sum, handed out as double."""
-    return F.sum(money(value)).cast("double")
+    return _sum(value).cast("double")
 
 
 def mean_money(value: Column | str) -> Column:
     """Mean over non-null amounts, from an exact sum; null when there are none."""
-    amount = money(value)
-    return F.try_divide(F.sum(amount).cast("double"), F.count(amount))
+    return F.try_divide(sum_money(value), F.count(money(value)))
 
 
 def mean_money_2(value: Column | str) -> Column:
     """Mean rounded half-up to cents, divided in decimal so ties are exact."""
-    amount = money(value)
-    return F.round(F.try_divide(F.sum(amount), F.count(amount)), 2).cast("double")
+    return F.round(F.try_divide(_sum(value), F.count(money(value))), 2).cast("double")
 
 
 def min_money(value: Column | str) -> Column:

@@ -67,12 +67,11 @@ def revenue_by_category(
     kinds = categories.select(
         F.col("category_id"), F.col("category_id").alias("_known"), F.col("name").alias("category_name")
     )
-    joined = (
-        completed(sales, statuses)
-        .select("product_id", "order_id", "quantity", "total_amount")
-        .join(named, "product_id", "left")
-        .join(kinds, "category_id", "left")
+    # one row per product and order before anything is joined: a few categories are no key to deal by
+    sold = completed(sales, statuses).groupBy("product_id", "order_id").agg(
+        F.sum("quantity").alias("quantity"), F.sum("total_amount").alias("total_amount")
     )
+    joined = sold.join(named, "product_id", "left").join(kinds, "category_id", "left")
     out = joined.groupBy(F.col("_known").alias("category_id"), "category_name").agg(
         F.sum("quantity").alias("total_items"),
         F.count_distinct("order_id").alias("total_orders"),
