@@ -181,12 +181,14 @@ def thresholds(sketches: DataFrame, fences=FENCES, min_docs: int = MIN_DOCS) ->
     )
     own = level(_bounds(sketches, ["lang", "source"], fences), "own")
     lang = level(_bounds(sketches, ["lang"], fences), "by_lang").withColumnRenamed("lang", "l")
-    whole = level(_bounds(sketches.withColumn("k", F.lit(0)), ["k"], fences), "whole")
-    df = own.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(whole, F.lit(True), "left")
+    df = own.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left")
+    # the corpus level is one row, which stands as constants
+    row = _bounds(sketches.withColumn("k", F.lit(0)), ["k"], fences).select("docs", *names).first()
+    whole = F.struct(*[F.lit(row[n] if row else None).cast("long").alias(n) for n in ("docs", *names)])
     chosen = (
         F.when(F.col("own.docs") >= min_docs, F.col("own"))
         .when(F.col("by_lang.docs") >= min_docs, F.col("by_lang"))
-        .otherwise(F.col("whole"))
+        .otherwise(whole)
     )
     return df.select("lang", "source", chosen.alias("t")).select("lang", "source", *[f"t.{n}" for n in names])
 
@@ -206,7 +208,7 @@ def quality_report(docs: DataFrame, fences=FENCES, min_docs: int = MIN_DOCS) ->
     """One row per document: counts, measures, ``base_failed`` and ``kept``; no text."""
     counts = measured(docs).select("row.doc_id", "row.lang", "row.source", "*").drop("row")
     rows = written(counts, "quality-counts")
-    bounds = written(thresholds(sketch(rows, fences), fences, min_docs), "quality-bounds")
+    bounds = written(thresholds(written(sketch(rows, fences), "quality-sketch"), fences, min_docs), "quality-bounds")
     return judged(rows, bounds, fences)
 
 
@@ -218,5 +220,5 @@ def keep(docs: DataFrame, fences=FENCES, min_docs: int = MIN_DOCS) -> DataFrame:
     from its real size.
     """
     rows = written(measured(docs).select("row.lang", "row.source", "*"), "quality-rows")
-    bounds = written(thresholds(sketch(rows, fences), fences, min_docs), "quality-bounds")
+    bounds = written(thresholds(written(sketch(rows, fences), "quality-sketch"), fences, min_docs), "quality-bounds")
     return judged(rows, bounds, fences).where("kept").select("row.*")

@@ -63,12 +63,9 @@ def _dealt(slots: Column, loads: Column) -> Column:
 def _deal(sums: DataFrame, n_shards: int, loads: DataFrame | None = None) -> DataFrame:
     """virtual_slot, shard for ``sums``, on top of the bytes that ``loads`` (shard, bytes) has."""
     entry = F.struct((-F.col("bytes")).alias("down"), F.col("virtual_slot"), F.col("bytes"))
-    df = sums.agg(F.sort_array(F.collect_list(entry)).alias("s"))
-    if loads is None:
-        df = df.withColumn("loads", F.array_repeat(F.lit(0).cast("long"), n_shards))
-    else:
-        held = loads.groupBy().pivot("shard", list(range(n_shards))).agg(F.sum("bytes"))
-        df = df.join(held.select(F.array(*[F.coalesce(f"`{k}`", F.lit(0).cast("long")) for k in range(n_shards)]).alias("loads")), F.lit(True))
+    held = {} if loads is None else {r["shard"]: r["bytes"] for r in loads.collect()}  # one row per shard
+    start = F.array(*[F.lit(held.get(k, 0)).cast("long") for k in range(n_shards)])
+    df = sums.agg(F.sort_array(F.collect_list(entry)).alias("s")).withColumn("loads", start)
     df = df.withColumn("shards", _dealt(F.col("s"), F.col("loads")))
     pairs = F.explode(F.arrays_zip("s.virtual_slot", "shards"))
     return df.select(pairs.alias("x")).select("x.virtual_slot", F.col("x.shards").alias("shard"))
@@ -98,11 +95,10 @@ class SlotMap:
         """A next version for new sums or more shards; only slots of overfull shards and new slots move."""
         # n_shards may have grown: a shard's fair share is of the new number
         df = sums.join(self.read(), "virtual_slot", "left")
-        share = sums.agg((F.sum("bytes") / n_shards).alias("share"))
+        share = (sums.agg(F.sum("bytes")).first()[0] or 0) / n_shards
         order = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
         df = df.withColumn("upto", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        df = df.join(share, F.lit(True))
-        stays = F.col("shard").isNotNull() & (F.col("shard") < n_shards) & (F.col("upto") <= F.col("share"))
+        stays = F.col("shard").isNotNull() & (F.col("shard") < n_shards) & (F.col("upto") <= share)
         df = written(df.withColumn("stays", F.coalesce(stays, F.lit(False))), "slot-moves")
         kept = df.where("stays")
         loads = kept.groupBy("shard").agg(F.sum("bytes").alias("bytes"))

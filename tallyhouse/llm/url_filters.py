@@ -60,10 +60,10 @@ def as_of(captures: DataFrame, active: DataFrame) -> DataFrame:
         F.struct("*").alias("row"), host_of(F.col("url")).alias("host"), F.monotonically_increasing_id().alias("rid")
     )
     # an open interval reaches to the last month in which anything was fetched
-    end = captures.agg(F.max("fetched_on").alias("last"))
-    spread = active.join(end, F.lit(True)).where("valid_from <= last")
-    until = F.least(F.coalesce(F.date_sub("valid_to", 1), "last"), F.col("last"))
-    spread = spread.withColumn("m", F.explode(F.sequence(month(F.col("valid_from")), month(until)))).drop("last")
+    last = F.lit(captures.agg(F.max("fetched_on")).first()[0]).cast("date")
+    spread = active.where(F.col("valid_from") <= last)
+    until = F.least(F.coalesce(F.date_sub("valid_to", 1), last), last)
+    spread = spread.withColumn("m", F.explode(F.sequence(month(F.col("valid_from")), month(until))))
     keyed = rows.withColumn("domain", F.explode_outer(suffixes(F.col("host")))).withColumn("m", month(F.col("row.fetched_on")))
     day = F.col("row.fetched_on")
     inside = (day >= F.col("valid_from")) & (F.col("valid_to").isNull() | (day < F.col("valid_to")))
