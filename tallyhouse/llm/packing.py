@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, keep_ids: boo
 
     def make():
         ids = encoder(vocabulary).ids
-        return lambda texts: [[cut(ids(t or "") + closing, length, keep_ids) for t in texts]]
+        return lambda texts: [[cut(x + closing, length, keep_ids) for x in ids([t or "" for t in texts])]]
 
     kind = PIECE + (",ids:binary" if keep_ids else "")
     df = scanned(docs.select("doc_id", "text"), make, f"p array<struct<{kind}>>")

@@ -9,7 +9,9 @@ two libraries do not agree on as white space is encoded whole.
 from __future__ import annotations
 
 import re
-from itertools import islice
+from itertools import compress, islice
+
+import numpy as np
 
 #: The separators U+001C to U+001F are white space to ``str.split`` but not to the vocabulary.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -21,30 +23,52 @@ _MEMORY = 700_000
 
 
 class ChunkEncoder:
-    """``ids(text)``: little-endian unsigned 32-bit ids of a text, as bytes."""
+    """Encodes lists of texts and remembers about ``memory`` chunks."""
 
     def __init__(self, path: str, memory: int = _MEMORY):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.closing[number] = token.endswith("</w>")
         self.memory = memory
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [
             np.array(e.ids, "<u4").tobytes()
-            for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the vocabulary does not part further, from one encoding of all.
+
+        Each such word ends with the only token that marks the end of a word.
+        """
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()
+        if len(ends) != len(words):  # a letter that becomes two characters in lower case
+            return self._encode(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
     def _learn(self, chunks: set[str]) -> None:
-        parted = {c: m.groups() for c in chunks if c.isascii() and (m := _TAIL.fullmatch(c))}
-        need = [c for c in chunks if c not in parted]
-        need += {x for pair in parted.values() for x in pair if x not in self.known} - set(need)
-        self.known.update(zip(need, self._encode(need)))
-        for chunk, (word, tail) in parted.items():
-            self.known[chunk] = self.known[word] + self.known[tail]
+        known, words, rest, parted = self.known, set(), [], []
+        for chunk in chunks:
+            if chunk.isalpha():
+                words.add(chunk)
+            elif (m := _TAIL.fullmatch(chunk)) and m[1].isalpha():
+                parted.append((chunk, m[1], m[2]))
+            else:
+                rest.append(chunk)
+        words.update(x for pair in parted for x in pair[1:] if x not in known)
+        words = list(words)
+        known.update(zip(words, self._encode_words(words)))
+        known.update(zip(rest, self._encode(rest)))
+        known.update((chunk, known[word] + known[tail]) for chunk, word, tail in parted)
 
     def _slices(self, text: str):
         at = 0
@@ -55,21 +79,60 @@ class ChunkEncoder:
             at = end
         yield text[at:]
 
-    def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._encode([text])[0]
-        out = []
-        for part in self._slices(text):
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of a few texts; what none of them has shown before is encoded in one go."""
+        if len(self.known) > self.memory:
+            # the older half goes; it is learnt again when it is met
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        get = self.known.get
+        parts, new = [], set()
+        for text in texts:
             # the vocabulary lower-cases; doing it before makes fewer different chunks
-            chunks = (part.lower() if part.isascii() else part).split()
-            if len(self.known) > self.memory:
-                # the older half goes; it is learnt again when it is met
-                self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-            new = set(chunks).difference(self.known)
-            if new:
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return b"".join(out)
+            chunks = (text.lower() if _is_latin(text) else text).split()
+            found = list(map(get, chunks))
+            if None in found:
+                new.update(compress(chunks, map(_is_none, found)))
+                parts.append((chunks, None))
+            else:
+                parts.append((None, b"".join(found)))
+        self._learn(new)
+        return [whole if chunks is None else b"".join(map(get, chunks)) for chunks, whole in parts]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            if len(text) > _SLICE or _ODD.search(text):
+                out += self._joined(group)
+                group, size = [], 0
+                if _ODD.search(text):
+                    out += self._encode([text])
+                else:
+                    out.append(b"".join(self._joined([part])[0] for part in self._slices(text)))
+                continue
+            group.append(text)
+            size += len(text)
+            if size > _SLICE:
+                out += self._joined(group)
+                group, size = [], 0
+        return out + self._joined(group)
+
+
+def _is_none(x) -> bool:
+    return x is None
+
+
+def _is_latin(text: str) -> bool:
+    """Whether lower case is a matter of single characters, the same in every library."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
