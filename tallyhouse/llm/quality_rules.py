@@ -48,7 +48,7 @@ class Fence:
 FENCES = (
     Fence("symbols_per_1000_words", 6, 250),
     Fence("chars_per_100_words", 5, 0, 20),
-    Fence("dup_lines_per_1000_lines", 6, 300),
+    Fence("dup_lines_per_1000_lines", 6, 500),
 )
 MIN_DOCS = 100
 
