@@ -11,12 +11,22 @@ from ..sources import relational as R
 from .base import amount, big, mean, mean_2, query, total, with_ctes
 
 
+def rekeyed(df, key, keep, mark="x-"):
+    """Other keys where the condition fails, so that both sides have orphans and no row is cut."""
+    return df.withColumn(key, F.when(keep, F.col(key)).otherwise(F.concat(F.lit(mark), key)))
+
+
+def rekeyed_sql(source: str, key: str, keep: str, mark: str = "x-") -> str:
+    return f"(SELECT * REPLACE (CASE WHEN {keep} THEN {key} ELSE '{mark}' || {key} END AS {key}) FROM {source})"
+
+
 def some_customers(spark, root):
-    """Customers of three segments, so that both orphan directions have rows."""
-    return R.dim_customer(spark, root).filter(F.col("segment").isin("MACHINERY", "BUILDING", "FURNITURE"))
+    """Customers of whom those of two segments have keys that no order has."""
+    kept = F.col("segment").isin("MACHINERY", "BUILDING", "FURNITURE")
+    return rekeyed(R.dim_customer(spark, root), "customer_id", kept)
 
 
-SOME = "(SELECT * FROM dcust WHERE segment IN ('MACHINERY', 'BUILDING', 'FURNITURE'))"
+SOME = rekeyed_sql("dcust", "customer_id", "segment IN ('MACHINERY', 'BUILDING', 'FURNITURE')")
 
 
 def gappy_orders(spark, root):
@@ -76,9 +86,9 @@ def _(spark, root):
 
 @query("jn5_customers_without_orders", with_ctes(
     "SELECT customer_id, name FROM dcust WHERE customer_id NOT IN "
-    "(SELECT customer_id FROM order_ev WHERE total_cents >= 9500000)", "order_ev", "dcust"))
+    f"(SELECT customer_id FROM {rekeyed_sql('order_ev', 'customer_id', 'total_cents >= 9500000')})", "order_ev", "dcust"))
 def _(spark, root):
-    large = R.order_events(spark, root).filter(F.col("total_amount") >= 95000)
+    large = rekeyed(R.order_events(spark, root), "customer_id", F.col("total_amount") >= 95000)
     return J.find_customers_without_orders(large, R.dim_customer(spark, root)).select("customer_id", "name")
 
 
@@ -107,9 +117,12 @@ def _(spark, root):
 
 
 # ---- products and categories ---------------------------------------------------
+OTHER_TYPES = "category_id NOT IN ('PROMO', 'ECONOMY')"
+
+
 def some_categories(spark, root):
-    """Categories without two product types, plus one that no product has."""
-    cats = R.dim_category(spark, root).filter(~F.col("category_id").isin("PROMO", "ECONOMY"))
+    """Categories of which two have keys that no product has, plus one that is new."""
+    cats = rekeyed(R.dim_category(spark, root), "category_id", ~F.col("category_id").isin("PROMO", "ECONOMY"))
     extra = cats.groupBy().agg(
         F.lit(0).cast("bigint").alias("category_sk"), F.lit("UNUSED").alias("category_id"),
         F.lit("Unused").alias("name"), F.first("description").alias("description"),
@@ -119,7 +132,7 @@ def some_categories(spark, root):
 
 
 CATS = (
-    "(SELECT category_id, name FROM dcat WHERE category_id NOT IN ('PROMO', 'ECONOMY') "
+    f"(SELECT category_id, name FROM {rekeyed_sql('dcat', 'category_id', OTHER_TYPES)} "
     "UNION ALL SELECT 'UNUSED', 'Unused')"
 )
 
@@ -178,23 +191,30 @@ def _(spark, root):
 
 # ---- sales and deliveries --------------------------------------------------------
 def failed_or_moving(spark, root):
-    """Transformed deliveries of the lines that are not pending, with a late marker."""
-    out = D.transform(R.delivery_events(spark, root)).filter(F.col("status") != "pending")
+    """Transformed deliveries with a late marker; the pending ones belong to orders without a sale."""
+    out = rekeyed(D.transform(R.delivery_events(spark, root)), "order_id", F.col("status") != "pending")
     return out.withColumn("late", F.col("is_late_delivery") == 1)
 
 
+def with_orphans(spark, root):
+    """Order events of which the small ones belong to orders without a delivery."""
+    return rekeyed(R.order_events(spark, root), "order_id", F.col("quantity") > 10, "y-")
+
+
 DELAY = "(epoch(event_timestamp) - epoch(estimated_delivery)) / 3600.0"
-MOVED = f"(SELECT *, {DELAY} AS delay FROM delivery_ev WHERE status <> 'pending')"
+NOT_PENDING = "status <> 'pending'"
+MOVED = f"(SELECT *, {DELAY} AS delay FROM {rekeyed_sql('delivery_ev', 'order_id', NOT_PENDING)})"
+PART_SALES = rekeyed_sql("order_ev", "order_id", "quantity > 10", "y-")
 
 for kind, sql_kind in (("left", "LEFT"), ("inner", "INNER"), ("right", "RIGHT"), ("full", "FULL")):
 
     @query(f"jn15_sales_deliveries_{kind}", with_ctes(
         f"SELECT coalesce(s.order_id, d.order_id) AS order_id, s.event_id, d.delivery_id, "
         f"d.status AS delivery_status, {amount('s.total_cents')} AS total_amount "
-        f"FROM (SELECT * FROM order_ev WHERE quantity > 10) s {sql_kind} JOIN {MOVED} d "
+        f"FROM {PART_SALES} s {sql_kind} JOIN {MOVED} d "
         "ON s.order_id = d.order_id", "order_ev", "delivery_ev"))
     def _(spark, root, kind=kind):
-        sales = typed_view(R.order_events(spark, root).filter(F.col("quantity") > 10), "order")
+        sales = typed_view(with_orphans(spark, root), "order")
         moving = typed_view(failed_or_moving(spark, root), "delivery")
         joined = J.join_sales_deliveries(sales, moving, kind)
         return joined.select("order_id", "event_id", "delivery_id", "delivery_status", "total_amount")
@@ -218,19 +238,22 @@ def _(spark, root):
     return joined.select("sales.event_id", "delivery.delivery_id", "delivery.status")
 
 
+FAILED = "status = 'failed'"
+
+
 @query("jn18_sales_without_delivery", with_ctes(
-    f"SELECT event_id, order_id FROM order_ev WHERE order_id NOT IN (SELECT order_id FROM {MOVED} "
-    "WHERE status = 'failed')", "order_ev", "delivery_ev"))
+    f"SELECT event_id, order_id FROM order_ev WHERE order_id NOT IN "
+    f"(SELECT order_id FROM {rekeyed_sql('delivery_ev', 'order_id', FAILED)})", "order_ev", "delivery_ev"))
 def _(spark, root):
-    failed = failed_or_moving(spark, root).filter(F.col("status") == "failed")
+    failed = rekeyed(R.delivery_events(spark, root), "order_id", F.col("status") == "failed")
     return J.find_sales_without_delivery(R.order_events(spark, root), failed).select("event_id", "order_id")
 
 
 @query("jn19_deliveries_without_sale", with_ctes(
     "SELECT event_id, order_id FROM delivery_ev WHERE order_id NOT IN "
-    "(SELECT order_id FROM order_ev WHERE quantity > 40)", "order_ev", "delivery_ev"))
+    f"(SELECT order_id FROM {rekeyed_sql('order_ev', 'order_id', 'quantity > 40')})", "order_ev", "delivery_ev"))
 def _(spark, root):
-    bulky = R.order_events(spark, root).filter(F.col("quantity") > 40)
+    bulky = rekeyed(R.order_events(spark, root), "order_id", F.col("quantity") > 40)
     out = J.find_deliveries_without_sale(bulky, R.delivery_events(spark, root))
     return out.select("event_id", "order_id")
 

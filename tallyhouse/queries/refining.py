@@ -252,7 +252,8 @@ step("rdd8_map_values", R.order_events,
 
 @query("rdd13_record_count", with_ctes("SELECT count(*) AS n FROM all_ev", "all_ev"))
 def _(spark, root):
-    return R.all_events(spark, root).repartition(8).coalesce(2).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return R.all_events(spark, root).repartition(parts).coalesce(max(1, parts // 2)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("rdd14_record_run", with_ctes(

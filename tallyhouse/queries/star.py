@@ -394,15 +394,15 @@ def _(spark, root):
 
 
 @query("pm1_add_partition", with_ctes(
-    f"SELECT event_date, count(*) AS n FROM {ACT['fact_clicks']} WHERE event_date IN (DATE '2024-01-03', DATE '2024-01-04') "
-    "GROUP BY ALL", "activity_ev"))
+    f"SELECT event_date, count(*) AS n FROM {ACT['fact_clicks']} GROUP BY ALL", "activity_ev"))
 def _(spark, root):
     path = scratch(spark, "parts")
     table = "clicks_" + path.rsplit("-", 1)[1]
     rows = CLICKS(spark, root)
     rows.write.partitionBy("event_date").parquet(f"{path}/all")
     WH.create_external_table(spark, table, f"{WH.FACTS['fact_clicks']}, event_date DATE", f"{path}/table", ["event_date"])
-    for day in ("2024-01-03", "2024-01-04"):
+    days = spark.read.parquet(f"{path}/all").select(F.col("event_date").cast("string")).distinct()
+    for (day,) in days.collect():  # one row per day of the calendar
         WH.add_partition(spark, table, {"event_date": day}, location=f"{path}/all/event_date={day}")
     return spark.table(table).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
 

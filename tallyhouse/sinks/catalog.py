@@ -86,9 +86,15 @@ def overwrite_partitions(df: DataFrame, table: str, database: str | None = None)
     spark = df.sparkSession
     name = qualified(table, database)
     columns = spark.table(name).columns
-    previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    rows = gather_by_partition(df.select(*columns), columns[-1:])
+    # ``insertInto`` knows no option for this. Sessions of :func:`build_session` have it on for
+    # good, so nothing is switched there and loads at the same time do not disturb each other.
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    previous = spark.conf.get(mode)
+    if previous.lower() != "dynamic":
+        spark.conf.set(mode, "dynamic")
     try:
-        gather_by_partition(df.select(*columns), columns[-1:]).write.mode("overwrite").insertInto(name)
+        rows.write.mode("overwrite").insertInto(name)
     finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+        if previous.lower() != "dynamic":
+            spark.conf.set(mode, previous)
