@@ -274,8 +274,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each class of near-duplicates, with its own columns."""
     found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = written(found.groupBy("root").agg(F.min("doc_id").alias("chosen"), F.min("fp").alias("chosen_fp")), "chosen")
-    with_id = docs.join(chosen.where("chosen is not null").select("chosen").distinct(), F.col("doc_id") == F.col("chosen"))
-    with_id = with_id.drop("chosen").dropDuplicates(["doc_id"])
+    ids = chosen.where("chosen is not null").select("chosen").distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id")
+    with_id = rows.join(ids, F.col("doc_id") == F.col("chosen")).dropDuplicates(["doc_id"]).select("row.*")
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return with_id
