@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import curate
+from ..operators import alerts as A
+from ..operators import curate, refine
+from ..operators import windows as W
 from ..plans import reports, views
 from ..plans import warehouse as WH
 from ..session import scratch
@@ -318,6 +323,68 @@ def _(spark, root):
         F.count(F.lit(1)).alias("n"))
 
 
+def fill(df, table):
+    """The frame as rows of a table: its columns by name, null where the frame has none."""
+    names = set(df.columns)
+    return df.select(*[
+        (F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+
+
+PER_DAY = "SELECT '{0}' AS table_name, CAST(event_timestamp AS DATE) AS event_date, count({1}) AS n FROM activity_ev {2} GROUP BY ALL"
+
+
+@query("dml5_daily_partitions", with_ctes(" UNION ALL ".join([
+    PER_DAY.format("external_raw_events", "*", ""),
+    PER_DAY.format("external_clean_events", "*", ""),
+    PER_DAY.format("external_curated_events", "*", ""),
+    PER_DAY.format("external_streaming_metrics", "DISTINCT date_trunc('hour', event_timestamp)", ""),
+    PER_DAY.format("external_streaming_alerts", "*", "WHERE event_type = 'order' AND total_cents >= 5000"),
+]), "activity_ev"))
+def _(spark, root):
+    """Files of all five staging tables arrive in their folders; the daily load makes them visible."""
+    names, path = warehouse(spark, root)
+    WH.create_staging(spark, names, path)
+    events = R.activity_events(spark, root)
+    frames = {
+        "external_raw_events": events,
+        "external_clean_events": refine.clean(events),
+        "external_curated_events": curate.curate(events),
+        "external_streaming_metrics": W.process(events, 3600, 3600, ordered=False)
+        .withColumns({"event_date": F.to_date("window_start"), "metric_value": F.col("total_amount")}),
+        "external_streaming_alerts": A.detect(events, [A.large_order_value("50.00")]),
+    }
+    for name, df in frames.items():
+        if "event_date" not in df.columns:
+            df = df.withColumn("event_date", F.to_date("event_timestamp"))
+        rows = fill(df, spark.table(f"{names.staging}.{name}"))
+        rows.write.mode("append").partitionBy("event_date").parquet(f"{path}/{WH.STAGING_FOLDERS[name]}")
+    WH.load_daily_partitions(spark, names)
+    counts = [
+        spark.table(f"{names.staging}.{t}").groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(t).alias("table_name"), "event_date", "n")
+        for t in WH.STAGING
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("hc2_dropped_database", with_ctes(
+    f"SELECT event_date, count(*) AS n, true AS dropped FROM {ACT['fact_clicks']} GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    """A database is made, a table in it finds its partitions, and the database goes with the table."""
+    path = scratch(spark, "database")
+    database = "db_" + path.rsplit("-", 1)[1]
+    WH.create_database(spark, database, f"{path}/db")
+    CLICKS(spark, root).write.partitionBy("event_date").parquet(f"{path}/clicks")
+    columns = f"{WH.FACTS['fact_clicks']}, event_date DATE"
+    WH.create_external_table(spark, "clicks", columns, f"{path}/clicks", ["event_date"], database)
+    WH.recover_partitions(spark, "clicks", database)
+    found = spark.table(f"{database}.clicks").groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+    found.write.parquet(f"{path}/found")
+    WH.drop_database(spark, database, cascade=True)
+    gone = not spark.catalog.databaseExists(database)
+    return spark.read.schema(found.schema).parquet(f"{path}/found").withColumn("dropped", F.lit(gone))
+
+
 @query("ddl5_catalog_views", with_ctes(
     f"SELECT event_date, count(*) AS total_sales, {SOLD}, count(DISTINCT customer_id) AS unique_customers, {ITEMS}, "
     f"{total()} AS gross_revenue, {mean()} AS average_order_value FROM {ACT['fact_sales']} "
