@@ -183,13 +183,17 @@ def _(spark, root):
 
 @query("mt3_latency", with_ctes(
     "SELECT event_type AS name, count(*) AS samples, CAST(CAST(sum(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp)) AS BIGINT) // 1000 AS DOUBLE) / count(*) AS mean_ms, "
-    "CAST(max(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp)) AS DOUBLE) / 1000 AS max_ms FROM activity_ev GROUP BY ALL",
+    "CAST(max(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp)) AS DOUBLE) / 1000 AS max_ms, " + ", ".join(
+        f"CAST(quantile_disc(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp), {p}) AS DOUBLE) / 1000 AS p{p * 100:.0f}"
+        for p in (0.5, 0.95, 0.99)) + " FROM activity_ev GROUP BY ALL",
     "activity_ev"))
 def _(spark, root):
     ms = (F.unix_micros("ingestion_timestamp") - F.unix_micros("event_timestamp")) / 1000
     samples = M.observe_latency(
         R.activity_events(spark, root), F.col("event_type"), ms, "ingestion_timestamp")
-    return M.latency_summary(samples).drop("percentiles")
+    # the sketch is exact while a group has fewer rows than its accuracy
+    points = [F.col("percentiles")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))]
+    return M.latency_summary(samples).select("name", "samples", "mean_ms", "max_ms", *points)
 
 
 SNAPSHOT = (

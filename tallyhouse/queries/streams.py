@@ -121,17 +121,15 @@ def _(spark, root):
 
 
 @query("snk18_stream_archive", with_ctes(
-    "SELECT strftime(event_timestamp, '%Y-%m-%d') AS day, count(*) AS events, "
+    "SELECT strftime(event_timestamp, '%Y-%m-%d-%H') AS hour, count(*) AS events, "
     f"{amount('CAST(sum(coalesce(total_cents, 0)) AS BIGINT)')} AS amount FROM activity_ev GROUP BY ALL", "activity_ev"))
 def _(spark, root):
     path = scratch(spark, "archive")
-    # day precision here keeps the number of folders small; hours work the same way
-    day = F.date_trunc("day", "event_timestamp")
     finish(sinks.start_archive(
-        R.activity_stream(spark, root), f"{path}/out", day, f"{path}/checkpoint", availableNow=True))
+        R.activity_stream(spark, root), f"{path}/out", "event_timestamp", f"{path}/checkpoint", availableNow=True))
     back = spark.read.schema("value STRING, ano STRING, mes STRING, dia STRING, hora STRING").text(f"{path}/out")
     money = F.get_json_object("value", "$.total_amount").cast("decimal(14,2)")
-    return back.groupBy(F.concat_ws("-", "ano", "mes", "dia").alias("day")).agg(
+    return back.groupBy(F.concat_ws("-", "ano", "mes", "dia", "hora").alias("hour")).agg(
         F.count(F.lit(1)).alias("events"), F.coalesce(F.sum(money), F.lit(0)).cast("double").alias("amount"))
 
 
