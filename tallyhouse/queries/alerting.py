@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from ..functions.predicates import is_late_event
 from ..operators import alerts as A
 from ..operators import metrics as M
+from ..operators import refine
 from ..operators import windows as W
+from ..schemas import struct
+from ..session import scratch
+from ..sinks.keyed import KeyedTable
 from ..sources import relational as R
-from .base import amount, query, with_ctes
+from ..streaming import sinks
 from .activity import window_sql
+from .base import amount, query, with_ctes
+from .scans import rough_events
 
 ALERT_OUT = ["alert_id", "alert_type", "event_timestamp", "severity", "message", "event_type", "customer_id", "product_id", "metrics"]
 MONEY_TEXT = "(total_cents // 100) || '.' || lpad(CAST(total_cents % 100 AS VARCHAR), 2, '0')"
@@ -212,35 +222,85 @@ def _(spark, root):
     return M.get_value(feed_metrics(spark, root), "batch_cart")
 
 
-def counted(prefix_of: dict[str, str]):
-    """Counters named after a summary's fields, from the rows of the activity feed."""
-
-    def build(spark, root):
-        kind = F.col("event_type")
-        name = None
-        for event_type, metric in prefix_of.items():
-            name = F.when(kind == event_type, metric) if name is None else name.when(kind == event_type, metric)
-        events = R.activity_events(spark, root)
-        counters = M.increment(M.record(events, name, F.lit(1), "event_timestamp").filter("name IS NOT NULL"))
-        empty = F.create_map().cast("map<string,string>")
-        return counters.withColumns({"unit": F.lit("count"), "tags": empty})
-
-    return build
-
-
-for number, kind, names, chosen in (
-    (6, "processing", M.PROCESSING, {"order": "events_processed", "click": "events_received", "cart": "events_filtered"}),
-    (7, "streaming", M.STREAMING, {"order": "streaming_alerts_generated", "click": "streaming_windows_processed"}),
-    (8, "batch", M.BATCH, {"order": "batch_jobs_completed", "click": "batch_records_processed"}),
-    (9, "storage", M.STORAGE, {"order": "hdfs_written_records", "cart": "hive_read_records"}),
-):
-    by_metric = {metric: event_type for event_type, metric in chosen.items()}
-    columns = ", ".join(
-        f"CAST(count(*) FILTER (event_type = '{by_metric[n]}') AS DOUBLE) AS {n}" if n in by_metric
-        else f"CAST(NULL AS DOUBLE) AS {n}"
-        for n in names
-    )
-
-    @query(f"mt{number}_{kind}_summary", with_ctes(f"SELECT {columns} FROM activity_ev", "activity_ev"))
-    def _(spark, root, names=names, chosen=chosen):
-        return M.summary(counted(chosen)(spark, root), names)
+# ---- summaries of a real run ------------------------------------------------------------
+def counters(spark, values: dict):
+    """Counters as rows of the metric table."""
+    moment = F.lit("2024-02-01").cast("timestamp")
+    rows = spark.createDataFrame([(k, float(v)) for k, v in values.items()], "name STRING, value DOUBLE")
+    return M.record(rows, F.col("name"), F.col("value"), moment)
+
+
+def cleaned_run(spark, root):
+    """The damaged feed is cleaned and written; what is counted comes from that one pass."""
+    received, kept = Observation(), Observation()
+    late = F.sum(F.when(is_late_event(), 1).otherwise(0)).alias("late")
+    raw = refine.normalize_columns(rough_events(spark, root)).observe(received, F.count(F.lit(1)).alias("n"), late)
+    clean = refine.clean(raw).observe(kept, F.count(F.lit(1)).alias("n"))
+    path = scratch(spark, "cleaned")
+    clean.write.parquet(path)
+    return received.get, kept.get["n"], spark.read.schema(clean.schema).parquet(path)
+
+
+def summary_sql(names, values: dict[str, str]) -> str:
+    return "SELECT " + ", ".join(f"CAST({values.get(n, 'NULL')} AS DOUBLE) AS {n}" for n in names)
+
+
+RECEIVED, CLEANED = "(SELECT count(*) FROM rough_ev)", "(SELECT count(*) FROM clean_ev)"
+
+
+@query("mt6_processing_summary", with_ctes(summary_sql(M.PROCESSING, {
+    "events_received": RECEIVED, "events_processed": CLEANED, "events_filtered": f"{RECEIVED} - {CLEANED}",
+    "events_late": "(SELECT count(*) FROM rough_ev WHERE ingestion_timestamp > event_timestamp)"}), "clean_ev"))
+def _(spark, root):
+    received, kept, _ = cleaned_run(spark, root)
+    return M.processing_summary(counters(spark, {
+        "events_received": received["n"], "events_processed": kept,
+        "events_filtered": received["n"] - kept, "events_late": received["late"]}))
+
+
+@query("mt8_batch_summary", with_ctes(summary_sql(M.BATCH, {
+    "batch_jobs_started": "1", "batch_jobs_completed": "1", "batch_jobs_failed": "0",
+    "batch_records_processed": CLEANED}), "clean_ev"))
+def _(spark, root):
+    _, kept, _ = cleaned_run(spark, root)
+    return M.batch_summary(counters(spark, {
+        "batch_jobs_started": 1, "batch_jobs_completed": 1, "batch_jobs_failed": 0, "batch_records_processed": kept}))
+
+
+@query("mt9_storage_summary", with_ctes(summary_sql(M.STORAGE, {
+    "hdfs_written_records": CLEANED, "hdfs_read_records": CLEANED,
+    "hbase_written_records": "(SELECT count(DISTINCT event_id) FROM clean_ev)",
+    "hbase_read_records": "(SELECT count(DISTINCT event_id) FROM clean_ev)"}), "clean_ev"))
+def _(spark, root):
+    _, kept, back = cleaned_run(spark, root)
+    table = KeyedTable(spark, scratch(spark, "keyed"), struct("row_key STRING, event_type STRING"))
+    table.upsert(back.select(F.col("event_id").alias("row_key"), "event_type"), 0)
+    return M.storage_summary(counters(spark, {
+        "hdfs_written_records": kept, "hdfs_read_records": back.count(),
+        "hbase_written_records": table.log().count(), "hbase_read_records": table.read().count()}))
+
+
+@query("mt7_streaming_summary", with_ctes(summary_sql(M.STREAMING, {
+    "streaming_events_received": "(SELECT count(*) FROM activity_ev)",
+    "streaming_alerts_generated": "(SELECT count(*) FROM activity_ev WHERE event_type = 'order' AND total_cents >= 5000)",
+    "streaming_events_late": "0"}), "activity_ev"))
+def _(spark, root):
+    """An alert stream is run to its end; a listener counts its progress reports."""
+    path, reports = scratch(spark, "streamed"), M.ProgressCounters()
+    spark.streams.addListener(reports)
+    try:
+        table = sinks.alert_table(spark, f"{path}/table")
+        found = A.detect(R.activity_stream(spark, root), [A.large_order_value("50.00")])
+        stream = sinks.start_keyed(found, table, A.serialize, f"{path}/checkpoint")
+        stream.awaitTermination()
+        for _ in range(300):
+            if reports.ended(str(stream.id)):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(reports)
+    totals = reports.totals(str(stream.id))
+    return M.streaming_summary(counters(spark, {
+        "streaming_events_received": totals["streaming_events_received"],
+        "streaming_events_late": totals["streaming_events_late"],
+        "streaming_alerts_generated": table.read().count()}))

@@ -474,14 +474,23 @@ def _(spark, root):
     return spark.table(table).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tm5_describe_table",
-       "SELECT CAST(i AS BIGINT) AS position, c AS col_name, t AS data_type FROM (SELECT unnest(range(12)) AS i, "
-       "unnest(['event_id','order_id','customer_id','product_id','quantity','unit_price','total_amount','status',"
-       "'event_timestamp','ingestion_timestamp','session_id','event_date']) AS c, unnest(['string','string','string',"
-       "'string','int','decimal(18,2)','decimal(18,2)','string','timestamp','timestamp','string','date']) AS t)")
+DESCRIBED = {
+    "event_id": "string", "order_id": "string", "customer_id": "string", "product_id": "string", "quantity": "int",
+    "unit_price": "decimal(18,2)", "total_amount": "decimal(18,2)", "status": "string", "event_timestamp": "timestamp",
+    "ingestion_timestamp": "timestamp", "session_id": "string", "event_date": "date"}
+STORED_AS = {"unit_price": "unit_cents", "total_amount": "total_cents"}
+
+
+@query("tm5_describe_table", with_ctes(" UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS col_name, '{t}' AS data_type, count({STORED_AS.get(c, c)}) AS filled "
+    f"FROM {ACT['fact_sales']}" for i, (c, t) in enumerate(DESCRIBED.items())), "activity_ev"))
 def _(spark, root):
+    """The columns of the loaded table, each with the number of rows that have a value in it."""
     names, _ = warehouse(spark, root)
-    return WH.describe_table(spark, "fact_sales", names.core)
+    table = spark.table(f"{names.core}.fact_sales")
+    filled = table.agg(*[F.count(c).alias(c) for c in table.columns])
+    filled = filled.unpivot([], table.columns, "col_name", "filled")
+    return WH.describe_table(spark, "fact_sales", names.core).join(filled, "col_name")
 
 
 @query("tm7_truncate_rename", with_ctes(
