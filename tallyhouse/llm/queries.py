@@ -64,8 +64,7 @@ w AS MATERIALIZED (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws
       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 wins AS (SELECT rid, list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' ')) AS a
          FROM w WHERE len(ws) >= 8),
-few AS (SELECT rid, a FROM wins WHERE len(list_distinct(a)) < len(a)),
-each AS (SELECT rid, unnest(a) AS win, generate_subscripts(a, 1) AS i FROM few),
+each AS (SELECT rid, unnest(a) AS win, generate_subscripts(a, 1) AS i FROM wins),
 seen AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM each),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM seen WHERE c > 1) GROUP BY rid),
 c AS (SELECT rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
