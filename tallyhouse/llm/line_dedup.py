@@ -142,7 +142,8 @@ def without_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5
     lost = written(lost.withColumnsRenamed({"doc_id": "lost_id", "row_hash": "lost_hash"}), "lost-lines")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
     same = F.col("row.doc_id").eqNullSafe(F.col("lost_id")) & (F.col("row_hash") == F.col("lost_hash"))
-    df = rows.join(lost, same, "left").select("row", "lost", _lines(F.col("row.text")).alias("lines"))
+    # merged at every size: the table of lost lines grows with the corpus
+    df = rows.join(lost.hint("merge"), same, "left").select("row", "lost", _lines(F.col("row.text")).alias("lines"))
     n = F.size("lines")
     kept = F.array_except(F.sequence(F.lit(0), n - 1), "lost")
     df = df.select("row", "lost", "lines", n.alias("n"), F.when(F.col("lost").isNotNull(), kept).alias("kept"))
