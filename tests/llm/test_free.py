@@ -339,6 +339,20 @@ def test_score_ignores_who_and_where(spark, make_docs):
     assert all(got[9000 + k] == pytest.approx(got[k]) for k in range(30))
 
 
+def test_toxicity_of_long_documents(spark, make_docs):
+    """Toxic words at one density score alike at every length, repeats and ordinary words count."""
+    rng = random.Random(5)
+    texts = [prose(rng, 60, 300) + (" vile slur" if k % 4 == 0 else " kind thanks") for k in range(400)]
+    part = " ".join(f"w{k}" for k in range(80)) + " vile slur"
+    other = [part, f"{part} " * 200, f"{part} slur", f"{part} kind"]
+    docs = make_docs([*enumerate(texts), *((1000 + k, t) for k, t in enumerate(other))])
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    words = toxicity.evidence(toxicity.training_rows(docs, labels))
+    rows = docs.where("doc_id >= 1000").select("doc_id", toxicity.word_hashes(F.col("text")).alias("w"))
+    x = {r["doc_id"] - 1000: r["x"] for r in toxicity.raw_scores(rows, words, ["doc_id"]).collect()}
+    assert x[0] > 0 and x[1] == pytest.approx(x[0] * (82 + 20) / 82, rel=0.01) and x[3] < x[0] < x[2]
+
+
 # ---- pipeline ------------------------------------------------------------------------------
 def test_pipeline_stages_by_brute_force(spark, root):
     from test_native import dedup_by_hand
