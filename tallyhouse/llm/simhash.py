@@ -271,12 +271,22 @@ def classes(docs: DataFrame, split: int = SPLIT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each class of near-duplicates, with its own columns."""
+    """The row with the smallest doc_id of each class of near-duplicates, with its own columns.
+
+    Rows that share a doc_id are told apart by their fingerprints; of several in one class the
+    smallest fingerprint stays. A class without any doc_id keeps one of its rows.
+    """
     found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = written(found.groupBy("root").agg(F.min("doc_id").alias("chosen"), F.min("fp").alias("chosen_fp")), "chosen")
-    ids = chosen.where("chosen is not null").select("chosen").distinct()
-    rows = docs.select(F.struct("*").alias("row"), "doc_id")
-    with_id = rows.join(ids, F.col("doc_id") == F.col("chosen")).dropDuplicates(["doc_id"]).select("row.*")
+    # one (doc_id, fp) of one row: the minimum of a pair, not a pair of minima
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("c"))
+    chosen = written(first.select(F.col("c.doc_id").alias("chosen"), F.col("c.fp").alias("chosen_fp")), "chosen")
+    ids = chosen.where("chosen is not null")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    # only rows with a chosen id are fingerprinted again
+    near = rows.join(ids.select("chosen").distinct(), F.col("doc_id") == F.col("chosen"), "left_semi")
+    near = scanned(near, _fingerprints, "fp long", with_text=True).select("row.row", "row.doc_id", "fp")
+    near = near.join(ids, (F.col("doc_id") == F.col("chosen")) & (F.col("fp") == F.col("chosen_fp")), "left_semi")
+    with_id = near.dropDuplicates(["doc_id", "fp"]).select("row.*")
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return with_id

@@ -125,6 +125,15 @@ def test_one_of_each(make_docs):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_with_reused_ids(make_docs):
+    """One id with unlike texts: each class keeps a row, and the row of its own text."""
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 120) for _ in range(4))
+    docs = make_docs([(1, a), (7, a), (7, b), (7, c), (8, c), (7, c), (9, d), (None, b)])
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect())
+    assert got == sorted([(1, a), (7, b), (7, c), (9, d)])
+
+
 # ---- packing -------------------------------------------------------------------------------
 def ids_by_hand(texts):
     from tokenizers import Tokenizer
