@@ -16,6 +16,7 @@ TABLES = (
 
 SPARK_TO_DUCK = {
     "bigint": "BIGINT",
+    "int": "INTEGER",
     "double": "DOUBLE",
     "string": "VARCHAR",
     "boolean": "BOOLEAN",
