@@ -39,8 +39,7 @@ def integers(x: np.ndarray, scale: int) -> np.ndarray:
         y = np.floor(scale * x)
     if not y.size or np.abs(y).max() < 2**53:
         return y.astype(np.int64)
-    exact = [int(v) if abs(v) < 2**53 else (int(v * 2**-60) if np.isinf(v) else int(v)) for v in y.ravel()]
-    exact = [scale * int(v) if np.isinf(b) else e for v, b, e in zip(x.ravel(), y.ravel(), exact)]
+    exact = [scale * int(v) if np.isinf(b) else int(b) for v, b in zip(x.ravel(), y.ravel())]
     return np.array(exact, dtype=object).reshape(y.shape)
 
 
@@ -55,7 +54,7 @@ class Packed:
         self.width = max(1, (dim * (high - low) * (anchor_high - anchor_low)).bit_length())
         self.fields = EXACT_BITS // self.width or FIELDS_BEYOND
         self.kind = np.float64 if self.width <= EXACT_BITS else object
-        biased = (rows - low).astype(np.int64 if self.kind is np.float64 else object)
+        biased = (rows if self.kind is np.float64 else rows.astype(object)) - low
         self.sums = biased.sum(axis=1)
         per = -(-self.n // self.fields)  # wide integers; field j of integer i is row j * per + i
         wide = np.zeros((per, dim), dtype=biased.dtype)
@@ -66,7 +65,7 @@ class Packed:
 
     def scores(self, anchors: np.ndarray) -> np.ndarray:
         """Exact inner products, anchors x candidates."""
-        biased = anchors - self.anchor_low
+        biased = (anchors if self.kind is np.float64 else anchors.astype(object)) - self.anchor_low
         sums = biased.sum(axis=1)
         product = biased.astype(self.kind) @ self.wide
         if self.kind is np.float64:

@@ -40,6 +40,9 @@ BLOCK_BYTES, CELLS, SPARE = 4_000_000, 4_000_000, 16
 #: Letters A-Z become a-z, digits and bytes of other characters stay, all else parts terms.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+#: Documents read or ranked together; their terms are in a worker's memory.
+TOGETHER = 2_000
+
 #: A cell of this value stands for "this many or more".
 FULL = 255
 
@@ -77,9 +80,9 @@ def index(docs: DataFrame) -> DataFrame:
     """A row per document with a term: doc_id, n, its sketch, its terms (space-joined) and counts (unsigned 32-bit)."""
 
     def run(batches):
-        for batch in batches:
+        for t in vectors.slices(batches, TOGETHER):
             out = [[] for _ in _TYPES]
-            for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist()):
+            for doc_id, text in zip(vectors.column(t, "doc_id"), vectors.column(t, "text").to_pylist()):
                 found = terms_of(text)
                 if found:
                     held = Counter(found)
@@ -179,7 +182,7 @@ FOUND = "item long, doc_id long, score long"
 
 def _run(batches, items: Items, documents: int, total: int, k: int):
     best = Best(len(items.terms), k)
-    for t in vectors.slices(batches, max(1, CELLS // len(items.terms))):
+    for t in vectors.slices(batches, max(1, min(TOGETHER, CELLS // len(items.terms)))):
         rows = {c: vectors.column(t, c).to_pylist() for c in ("cells", "peaks", "terms", "counts")}
         rows |= {c: vectors.column(t, c).to_numpy() for c in ("n", "width")}
         rows["doc_id"] = vectors.ids(vectors.column(t, "doc_id")).tolist()

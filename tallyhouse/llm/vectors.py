@@ -83,8 +83,16 @@ def query_blocks(queries: DataFrame, rows: int = QUERY_BLOCK) -> Iterator[pa.Tab
     names = [f.name for f in schema.fields]
     spread = queries.repartition(max(1, -(-count // rows)), *[F.col(f"`{n}`") for n in names])
     packed = written(spread.mapInArrow(pack, "block binary"), "query-blocks")
+    held, n = [], 0
     for (block,) in packed.toLocalIterator():
-        yield pa.ipc.open_stream(pa.py_buffer(bytes(block))).read_all().combine_chunks()
+        part = pa.ipc.open_stream(pa.py_buffer(bytes(block))).read_all()
+        if n + part.num_rows > rows:
+            yield pa.concat_tables(held).combine_chunks()
+            held, n = [], 0
+        held.append(part)
+        n += part.num_rows
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
 
 def in_blocks(queries: DataFrame, search: Callable[[pa.Table], DataFrame], name: str, rows: int = QUERY_BLOCK) -> DataFrame | None:
