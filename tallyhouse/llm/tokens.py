@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from itertools import compress, islice
+from unicodedata import normalize
 
 import numpy as np
 
@@ -60,7 +61,7 @@ class ChunkEncoder:
         for chunk in chunks:
             if chunk.isalpha():
                 words.add(chunk)
-            elif (m := _TAIL.fullmatch(chunk)) and m[1].isalpha():
+            elif (m := _TAIL.fullmatch(chunk)) and _stays_letters(m[1]):
                 parted.append((chunk, m[1], m[2]))
             else:
                 rest.append(chunk)
@@ -120,6 +121,14 @@ class ChunkEncoder:
         return out + self._joined(group)
 
 
+def _stays_letters(word: str) -> bool:
+    """Whether letters are still letters in the vocabulary's normal form.
+
+    A letter such as İ ends in a mark there, and marks and punctuation are encoded together.
+    """
+    return word.isascii() or (word.isalpha() and normalize("NFC", word.lower()).isalpha())
+
+
 def _is_none(x) -> bool:
     return x is None
 

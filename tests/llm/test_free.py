@@ -398,3 +398,14 @@ def test_pipeline_stages_by_brute_force(spark, root):
     run = corpus_pipeline.run(spark, root).collect()
     place = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(place, run)) == sorted(map(place, out))
+
+
+def test_token_ids_of_every_code_point():
+    """Each character before, inside and after letters with punctuation, alone and in capitals, against whole texts."""
+    encoder = tokens.ChunkEncoder(VOCABULARY)
+    characters = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for shape in ("ab{},", "AB{}c,. x", "{}ab.", "ab,{}", "{}"):
+        texts = [shape.format(c) for c in characters]
+        got = encoder.ids(texts)
+        want = encoder._encode(texts)
+        assert [t for t, a, b in zip(texts, got, want) if a != b] == []
