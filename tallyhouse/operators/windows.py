@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.basics import MONEY, as_col, filled, merge_maps, require, seconds_between
 from ..functions.timestamps import floor_timestamp
 from ..schemas import EVENT_TYPES
+from . import panes
 
 SIZE_SECONDS, SLIDE_SECONDS = 60, 10
 OUT_OF_ORDERNESS_SECONDS = 10
@@ -78,20 +79,25 @@ def assign_events(
     )
 
 
-def assign_events_by_key(
-    df: DataFrame,
-    key_field: str = "customer_id",
-    size_seconds: int = SIZE_SECONDS,
-    slide_seconds: int = SLIDE_SECONDS,
-) -> DataFrame:
-    """Window rows with their key; a row without one is an error, as it is in a keyed stream."""
+def with_key(df: DataFrame, key_field: str) -> DataFrame:
+    """``key`` from a column; a row without one is an error, as it is in a keyed stream."""
     if not key_field.strip():
         raise ValueError("key_field must not be blank")
     require(df, key_field)
     key = F.when(filled(key_field), F.col(key_field)).otherwise(
         F.raise_error(F.lit(f"event without a usable {key_field}"))
     )
-    return assign_events(df.withColumn("key", key), size_seconds, slide_seconds)
+    return df.withColumn("key", key)
+
+
+def assign_events_by_key(
+    df: DataFrame,
+    key_field: str = "customer_id",
+    size_seconds: int = SIZE_SECONDS,
+    slide_seconds: int = SLIDE_SECONDS,
+) -> DataFrame:
+    """Window rows with their key."""
+    return assign_events(with_key(df, key_field), size_seconds, slide_seconds)
 
 
 def iter_windows(
@@ -192,12 +198,24 @@ def process(
     ordered: bool = True,
     vocabulary: Sequence[str] | None = EVENT_TYPES,
 ) -> DataFrame:
-    """Sliding aggregation, global or per key, one row per window (and key)."""
-    if key_field is None:
-        assigned, keys = assign_events(df, size_seconds, slide_seconds), []
+    """Sliding aggregation, global or per key, one row per window (and key).
+
+    Windows are put together from panes (see :mod:`.panes`). Without a vocabulary the types are sets,
+    from which nothing can be taken off; then each event is laid into all its windows.
+    """
+    check_window(size_seconds, slide_seconds)
+    keys = [] if key_field is None else ["key"]
+    if vocabulary is not None:
+        if key_field is not None:
+            df = with_key(df, key_field)
+        own = key_field == "customer_id"
+        out = panes.windows(df, keys, vocabulary, size_seconds, slide_seconds, single_customer=own)
     else:
-        assigned, keys = assign_events_by_key(df, key_field, size_seconds, slide_seconds), ["key"]
-    out = _rolled_up(assigned, ["window_start", "window_end", *keys], vocabulary=vocabulary)
+        if key_field is None:
+            assigned = assign_events(df, size_seconds, slide_seconds)
+        else:
+            assigned = assign_events_by_key(df, key_field, size_seconds, slide_seconds)
+        out = _rolled_up(assigned, ["window_start", "window_end", *keys], vocabulary=None)
     if key_field is None:
         out = out.withColumn("key", F.lit(None).cast("string"))
     out = out.select(

@@ -185,3 +185,27 @@ def _(spark, root):
 def _(spark, root):
     _good, bad = run.prepared(spark, shouted_folder(spark, root))
     return to_parquet(spark, bad, "quarantine").select("event_id", "missing")
+
+
+def repeating_folder(spark, root):
+    """The activity feed in five files in event order. Each file delivers its events twice and, once more, those
+    of the last hours of the file before it: repeats inside a micro-batch, across micro-batches, and behind the watermark."""
+    path, events = scratch(spark, "feed"), R.activity_events(spark, root).drop("metadata")
+    moment = F.col("event_timestamp")
+    for low, high in zip((None, *CUTS), (*CUTS, None)):
+        part = events if low is None else events.filter(moment >= low)
+        part = part if high is None else part.filter(moment < high)
+        fed = part.unionByName(part)
+        if low is not None:
+            recent = F.lit(low).cast("timestamp") - F.expr("INTERVAL 6 HOURS")
+            fed = fed.unionByName(events.filter((moment >= recent) & (moment < low)))
+        fed.select(dump_row(fed).alias("value")).coalesce(1).write.mode("append").text(path)
+    return path
+
+
+@query("ded5_stream_repeats", SLIDING.replace(
+    "SELECT * EXCLUDE (kind, types), kind AS event_type FROM", "SELECT window_start, window_end, key AS customer_id, event_count, "
+    "unique_customers, total_quantity, total_amount, types AS event_types FROM") + f" WHERE {CLOSED}")
+def _(spark, root):
+    lines = sources.read_lines(spark, repeating_folder(spark, root), max_files_per_trigger=1)
+    return to_parquet(spark, job.customer_windows(sources.parse(lines), job.JOB), "repeats")

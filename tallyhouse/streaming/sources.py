@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import rules
 from ..functions.basics import filled
 from ..functions.jsontext import typed
-from ..schemas import EVENT
+from ..schemas import EVENT, EVENT_TYPES
 from ..sources.readers import to_unified
 
 
@@ -55,21 +55,25 @@ def parse_kept(lines: DataFrame) -> DataFrame:
 def incomplete(events: DataFrame) -> DataFrame:
     """Rows that :func:`valid` leaves out, with the names of the fields they lack.
 
-    The test is the one after normalisation: a blank id or type counts as missing.
+    The test is the one after normalisation: a blank id counts as missing, and so does a type that
+    is blank or not in the contract.
     """
-    lacks = [
-        F.when(~F.coalesce(filled(c), F.lit(False)), F.lit(c)) for c in ("event_id", "event_type", "customer_id")
-    ]
-    lacks.append(F.when(F.col("event_timestamp").isNull(), F.lit("event_timestamp")))
+    usable = {
+        "event_id": filled("event_id"),
+        "event_type": F.lower(F.trim("event_type")).isin(*EVENT_TYPES),
+        "customer_id": filled("customer_id"),
+        "event_timestamp": F.col("event_timestamp").isNotNull(),
+    }
+    lacks = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in usable.items()]
     missing = F.array_compact(F.array(*lacks))
     return events.select("line", "event_id", missing.alias("missing")).filter(F.size("missing") > 0)
 
 
 def valid(events: DataFrame) -> DataFrame:
-    """Rows with an id, a type, an event time and a customer."""
+    """Rows with an id, a type of the contract, an event time and a customer."""
     return events.filter(
         filled("event_id")
-        & filled("event_type")
+        & F.lower(F.trim("event_type")).isin(*EVENT_TYPES)
         & F.col("event_timestamp").isNotNull()
         & filled("customer_id")
     )

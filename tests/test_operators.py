@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,3 +249,43 @@ def test_archive_appends_and_never_overwrites(spark, root):
     files.write_event_archive(few, path)
     files.write_event_archive(few, path)
     assert spark.read.text(path).count() == 2 * few.count()
+
+
+def test_pane_windows_do_not_copy_events(spark, root):
+    """Events are combined per pane before anything is laid out, and the only wide rows are pieces of panes."""
+    for key in (None, "customer_id"):
+        plan = W.process(R.activity_events(spark, root), key_field=key, ordered=False)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in text
+        below = text[text.rindex("Generate explode"):] if "Generate explode" in text else text
+        assert "partial_count" in below  # the first aggregation lies below the lowest expansion
+
+
+def events_at(spark, rows):
+    schema = "event_timestamp timestamp, event_type string, customer_id string, shop string, quantity int, total_amount decimal(14,2)"
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.mark.parametrize("size,slide", [(60, 10), (60, 60), (90, 40), (7200, 1800), (10, 3)])
+def test_pane_windows_equal_windows_of_copied_events(spark, size, slide):
+    rng = random.Random(size + slide)
+    start = dt.datetime(2024, 3, 1, 23, 50, 0, 250_000)
+    rows = [
+        (
+            start + dt.timedelta(seconds=rng.choice([0, 1, 3, 600, 3599, 3600, 7000]) + rng.randrange(120)),
+            rng.choice(["click", "cart", "order", None]),
+            rng.choice(["a", "b", "c", None]),
+            rng.choice(["x", "y"]),
+            rng.choice([None, 1, 5]),
+            rng.choice([None, "1.25", "-3.10"]),
+        )
+        for _ in range(400)
+    ]
+    rows = [(*r[:5], None if r[5] is None else Decimal(r[5])) for r in rows]
+    rows += [(None, "click", "a", "x", 1, None), (dt.datetime(1969, 12, 31, 23, 59, 58), "click", "a", "x", 1, None)]
+    df = events_at(spark, rows).repartition(3)
+    known = df.filter("customer_id is not null")
+    for frame, key in ((df, None), (df, "shop"), (known, "customer_id")):
+        cases = [W.process(frame, size, slide, key_field=key, ordered=False, vocabulary=v) for v in (W.EVENT_TYPES, None)]
+        new, old = (sorted(map(repr, c.collect())) for c in cases)
+        assert new == old and new
