@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     by_key,
     joining,
     keys,
+    loads,
     marts,
     quality,
     refining,
