@@ -24,6 +24,11 @@ ORDERS, DELIVERIES = dated(R.order_events), dated(R.delivery_events)
 CLICKS, CARTS, EVERYTHING = dated(R.click_events), dated(R.cart_events), dated(R.all_events)
 
 
+def of_types(*types):
+    """The part of the feed with these event types."""
+    return lambda spark, root: R.all_events(spark, root, types)
+
+
 def grouped(name, source, fn, select: str, cte: str, by: str = "", where: str = "", having: str = ""):
     """Register an aggregate: ``select`` over the CTE, grouped by all plain columns."""
     group = "GROUP BY ALL" if by else ""
@@ -182,7 +187,7 @@ grouped(
     "all_ev",
     where="WHERE event_type = 'order'",
 )
-grouped("as2_sales_overall", R.all_events, agg_sales.aggregate_overall, OVERALL, "all_ev",
+grouped("as2_sales_overall", of_types("order"), agg_sales.aggregate_overall, OVERALL, "all_ev",
         where="WHERE event_type = 'order'")
 grouped("as3_sales_daily", R.order_events, lambda df: agg_sales.aggregate_daily(df, ordered=False),
         OVERALL, "order_ev", DAY)

@@ -12,6 +12,7 @@ from ..operators import curate, refine
 from ..operators import windows as W
 from ..plans import reports, views
 from ..plans import warehouse as WH
+from ..schemas import EVENT_TYPES
 from ..session import scratch
 from ..sinks import catalog
 from ..sources import relational as R
@@ -21,8 +22,8 @@ from .marts import DAY
 DONE = "WHERE status IN ('completed', 'delivered')"
 
 
-def curated(spark, root):
-    return curate.curate(R.all_events(spark, root))
+def curated(spark, root, types=EVENT_TYPES):
+    return curate.curate(R.all_events(spark, root, types))
 
 
 def facts(spark, root):
@@ -30,8 +31,12 @@ def facts(spark, root):
     return {name: WH.fact_rows(events, name) for name in WH.FACTS}
 
 
+#: Event type that a fact table is made of.
+TYPE_OF = dict(zip(WH.FACTS, ("order", "click", "cart", "delivery")))
+
+
 def fact(name):
-    return lambda spark, root: WH.fact_rows(curated(spark, root), name)
+    return lambda spark, root: WH.fact_rows(curated(spark, root, (TYPE_OF[name],)), name)
 
 
 SALES, CLICKS, CARTS, DELIVERIES = (fact(n) for n in WH.FACTS)
@@ -61,7 +66,7 @@ for n, (table, columns) in enumerate(
 
     @query(f"dml{n}_{table}_rows", with_ctes(f"SELECT {columns} FROM {FACT_SQL[table]}", "all_ev"))
     def _(spark, root, table=table):
-        return WH.fact_rows(curated(spark, root), table)
+        return fact(table)(spark, root)
 
 
 # ---- views -----------------------------------------------------------------------

@@ -7,12 +7,15 @@ broadcasts when its statistics prove a side small) and AQE splits hot orders.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.basics import MONEY, PRICE
-from ..schemas import EVENT
+from ..schemas import EVENT, EVENT_TYPES
 from .readers import to_unified
 
 CENT = "0.01"
@@ -60,13 +63,19 @@ def _lines_with_orders(spark: SparkSession, root: str) -> DataFrame:
         "o_orderstatus",
         F.col("o_orderdate").cast("timestamp").alias("o_orderdate"),
     )
-    return lines.join(orders, "l_orderkey")
+    return spread(lines).join(orders, "l_orderkey")
 
 
 def _line_id(prefix: str) -> Column:
     return F.concat(F.lit(f"{prefix}-"), _text("l_orderkey"), F.lit("-"), _text("l_linenumber"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than cores, dealt over the cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _joined(spark: SparkSession, root: str) -> DataFrame:
     cents, quantity = _cents("l_extendedprice"), F.col("l_quantity").cast("long")
     return _lines_with_orders(spark, root).withColumns({"cents": cents, "q": quantity})
@@ -224,9 +233,27 @@ def cart_events(spark: SparkSession, root: str) -> DataFrame:
     return activity_from(_of_kind(spark, root, CART_KINDS))
 
 
-def all_events(spark: SparkSession, root: str) -> DataFrame:
-    """Order and delivery events of the lines plus all activity events."""
-    return line_events(spark, root).unionByName(activity_events(spark, root))
+#: Event types and the stored kinds of the activity table that become events of the type.
+ACTIVITY_OF = {"click": CLICK_KINDS, "cart": CART_KINDS, "order": ("purchase",)}
+
+
+def all_events(spark: SparkSession, root: str, types: Sequence[str] = EVENT_TYPES) -> DataFrame:
+    """Order and delivery events of the lines plus all activity events.
+
+    ``types`` names the event types that are wanted. A line becomes two events only where both of its
+    types are, and only stored kinds that can become a wanted type are read.
+    """
+    of_lines = {("order",): order_events, ("delivery",): delivery_events, ("order", "delivery"): line_events}
+    lines = of_lines.get(tuple(t for t in ("order", "delivery") if t in types))
+    kinds = tuple(k for t in types for k in ACTIVITY_OF.get(t, ()))
+    parts = [lines(spark, root)] if lines else []
+    if set(types) >= set(ACTIVITY_OF):
+        parts.append(activity_events(spark, root))  # a kind that is not listed is an order, too
+    elif "order" in types:
+        parts.append(activity_events(spark, root).filter(F.col("event_type").isin(*types)))
+    elif kinds:
+        parts.append(activity_from(_of_kind(spark, root, kinds)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dim_customer(spark: SparkSession, root: str) -> DataFrame:
