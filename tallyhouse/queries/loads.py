@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.skew import find_heavy_keys
+from ..plans import copartition
+from ..plans.copartition import Layout
 from ..plans.incremental import IncrementalMart
 from ..session import scratch
 from ..sinks.published import AuditFailed, Published
@@ -108,3 +111,57 @@ def _(spark, root):
     f"SELECT strftime(event_timestamp, '%Y-%m') AS month, product_id, status, {MART_SQL} GROUP BY 1, 2, 3", "order_ev"))
 def _(spark, root):
     return loaded_mart(spark, root).read_by_partition()
+
+
+# ---- tables stored for joins without a shuffle -------------------------------------
+def stored(spark, path, layout, **frames):
+    names = {}
+    for name, df in frames.items():
+        names[name] = f"{name}_{path.rsplit('-', 1)[1]}"
+        copartition.store(df, layout, names[name], path=path)
+    return names
+
+
+def dropped(spark, names):
+    """The tables are external, so a frame that was made from them still reads their files."""
+    for name in names.values():
+        copartition.drop(spark, name)
+
+
+def sales_and_deliveries(spark, root, how="left"):
+    sales = R.order_events(spark, root).select("order_id", "event_id", "product_id", "total_amount")
+    moved = R.delivery_events(spark, root).filter("status <> 'pending'").select("order_id", "delivery_id", "carrier")
+    layout = Layout("order_id", 8, find_heavy_keys(sales, "order_id"))
+    names = stored(spark, scratch(spark, "by_order"), layout, sales=sales, moved=moved)
+    out = copartition.join(spark, names["sales"], names["moved"], layout, how)
+    dropped(spark, names)
+    return out
+
+
+@query("ddl3_copartitioned_sales_delivery", with_ctes(
+    f"SELECT s.order_id, s.event_id, s.product_id, {amount('s.total_cents')} AS total_amount, d.delivery_id, d.carrier "
+    "FROM order_ev s LEFT JOIN (SELECT * FROM delivery_ev WHERE status <> 'pending') d ON s.order_id = d.order_id",
+    "order_ev", "delivery_ev"))
+def _(spark, root):
+    return sales_and_deliveries(spark, root)
+
+
+def customers_and_sales(spark, root):
+    """Sales per customer next to the customer: both steps stay inside the buckets of the customer."""
+    sales = R.order_events(spark, root).select("customer_id", "order_id", "quantity", "total_amount")
+    layout = Layout("customer_id", 8, find_heavy_keys(sales, "customer_id"))
+    people = R.dim_customer(spark, root).select("customer_id", "name", "segment")
+    names = stored(spark, scratch(spark, "by_customer"), layout, people=people, sales=sales)
+    joined = copartition.join(spark, names["people"], names["sales"], layout, "left")
+    dropped(spark, names)
+    return joined.groupBy("customer_id", "name", "segment").agg(
+        F.count("order_id").alias("sales"), F.count_distinct("order_id").alias("orders"),
+        F.sum("quantity").alias("items"), F.sum("total_amount").alias("amount"))
+
+
+@query("ddl3_copartitioned_customers", with_ctes(
+    "SELECT c.customer_id, c.name, c.segment, count(s.order_id) AS sales, count(DISTINCT s.order_id) AS orders, "
+    f"{big('sum(s.quantity)')} AS items, {total('s.total_cents')} AS amount "
+    "FROM dcust c LEFT JOIN order_ev s ON s.customer_id = c.customer_id GROUP BY ALL", "order_ev", "dcust"))
+def _(spark, root):
+    return customers_and_sales(spark, root)

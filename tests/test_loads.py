@@ -7,6 +7,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.skew import HeavyKeys
+from tallyhouse.plans import copartition
 from tallyhouse.plans.incremental import IncrementalMart
 from tallyhouse.queries.loads import AGAIN, loaded_mart
 from tallyhouse.session import scratch
@@ -148,3 +150,40 @@ def test_a_load_reads_no_other_partition(spark, root):
     months = {f.split("month=")[1].split("/")[0] for f in opened if "month=" in f}
     assert months == {"1995-03"} and AGAIN[0] < "1995-03"
     assert isinstance(store.manifest(), Manifest)
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("heavy", [(), ("1", "7")])
+def test_copartitioned_join_has_no_shuffle_above_the_buckets(spark, no_broadcast, how, heavy):
+    left = spark.range(400).selectExpr("IF(id % 10 = 3, NULL, CAST(IF(id % 3 = 0, 1, id % 60) AS STRING)) AS k", "id AS a").repartition(3)
+    right = spark.range(90).selectExpr("IF(id % 11 = 0, NULL, CAST(id % 80 AS STRING)) AS k", "id AS b").repartition(2)
+    path = scratch(spark, "tables")
+    tag = path.rsplit("-", 1)[1]
+    layout = copartition.Layout("k", 4, HeavyKeys(heavy, True))
+    for name, df in (("l", left), ("r", right)):
+        copartition.store(df, layout, f"{name}_{tag}", path=path)
+    joined = copartition.join(spark, f"l_{tag}", f"r_{tag}", layout, how)
+    assert shown(joined) == shown(left.join(right, "k", how))
+    grouped = joined.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert shown(grouped) == shown(left.join(right, "k", how).groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    buckets = spark.table(f"l_{tag}").join(spark.table(f"r_{tag}"), "k", how)
+    assert exchanges(buckets) == 0
+    assert exchanges(left.join(right, "k", how)) > 0
+    sums = copartition.per_key(spark, f"l_{tag}", layout, [F.sum("a").alias("a")])
+    assert shown(sums) == shown(left.groupBy("k").agg(F.sum("a").alias("a")))
+    assert exchanges(spark.table(f"l_{tag}").groupBy("k").agg(F.sum("a"))) == 0
+    assert shown(copartition.rows(spark, f"l_{tag}")) == shown(left)
+    for name in ("l", "r"):
+        copartition.drop(spark, f"{name}_{tag}")
