@@ -287,3 +287,29 @@ def _(spark, root):
     path = scratch(spark, "jsonl")
     files.write_jsonl(R.activity_events(spark, root), path)
     return readers.count_jsonl(spark, path)
+
+
+def folder_with_bad_lines(spark, root):
+    """Four files of JSON lines in order of their ids; some lines are broken, no object, or blank."""
+    path = scratch(spark, "jsonl")
+    df = R.activity_events(spark, root)
+    number = F.substring("event_id", 3, 20).cast("long")
+    line = (
+        F.when(F.col("quantity") == 6, F.concat(F.lit("{broken "), "event_id"))
+        .when(F.col("quantity") == 9, F.lit("[1, 2]"))
+        .when(F.col("quantity") == 12, F.lit("  "))
+        .otherwise(dump_row(df))
+    )
+    rows = df.select((number % 4).alias("part"), number.alias("id"), line.alias("value"))
+    rows.repartition(4, "part").sortWithinPartitions("part", "id").drop("id").write.partitionBy("part").text(path)
+    return path
+
+
+@query("js4_bad_lines", with_ctes(
+    "SELECT part, line_number, CASE WHEN quantity = 6 THEN '{broken ' || event_id ELSE '[1, 2]' END AS line FROM ("
+    "SELECT *, id % 4 AS part, row_number() OVER (PARTITION BY id % 4 ORDER BY id) AS line_number "
+    "FROM (SELECT *, CAST(substr(event_id, 3) AS BIGINT) AS id FROM activity_ev)) WHERE quantity IN (6, 9)", "activity_ev"))
+def _(spark, root):
+    bad = readers.bad_lines(spark, folder_with_bad_lines(spark, root))
+    part = F.regexp_extract("file", r"part=(\d)", 1).cast("long")
+    return bad.select(part.alias("part"), "line_number", F.col("value").alias("line"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +91,48 @@ def read_validated_events(spark: SparkSession, path: str) -> DataFrame:
     return to_unified(typed(judged.filter(rules.is_valid())))
 
 
+def numbered_lines(spark: SparkSession, path: str, kept: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``file``, ``line_number`` from 1, ``value``: every line, or those that ``kept(value)`` picks.
+
+    No file is read by one task. Each split counts its lines; the counts of a file's splits, a few rows per file,
+    are summed in order, and a line's number is the sum before its split plus its place inside it. Blank
+    lines are counted as well.
+    """
+    lines = spark.read.text(_path(path)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),  # grows line by line within a split
+        "value",
+    )
+    splits = lines.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    wanted = lines if kept is None else lines.filter(kept(F.col("value")))
+    number = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return wanted.join(before, ["file", "_block"]).select("file", number.alias("line_number"), "value")
+
+
+def is_bad_json(value: Column) -> Column:
+    """A line with text that is not a JSON object."""
+    return (F.length(F.trim(value)) > 0) & ~F.coalesce(F.try_parse_json(value).cast("string").startswith("{"), F.lit(False))
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line_number`` and ``value`` of each line that is no JSON object; the job goes on."""
+    return numbered_lines(spark, path, is_bad_json)
+
+
+def read_jsonl_checked(spark: SparkSession, path: str, schema: T.StructType = EVENT) -> DataFrame:
+    """JSONL objects; a bad line is an error that names its file and number. Blank lines are left out."""
+    bad = bad_lines(spark, path)
+    first = bad.orderBy("file", "line_number").limit(1).collect()  # one row at most
+    if first:
+        file, number, text = first[0]
+        raise ValueError(f"{file}, line {number}: no JSON object: {text[:200]}")
+    parsed = read_lines(spark, path).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
+    return parsed.select("row.*")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = EVENT) -> DataFrame:
     """JSONL objects; a bad line is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(_path(path))

@@ -289,3 +289,31 @@ def test_pane_windows_equal_windows_of_copied_events(spark, size, slide):
         cases = [W.process(frame, size, slide, key_field=key, ordered=False, vocabulary=v) for v in (W.EVENT_TYPES, None)]
         new, old = (sorted(map(repr, c.collect())) for c in cases)
         assert new == old and new
+
+
+def test_bad_lines_are_numbered_over_many_splits(spark):
+    """Lines of very unlike lengths, files cut into many splits, blank lines counted, no line of a good file listed."""
+    path = scratch(spark, "lines")
+    rng = random.Random(4)
+    want, texts = [], []
+    for f in range(3):
+        lines = []
+        for k in range(4000):
+            kind = rng.randrange(10) if f else 9
+            lines.append(["{no", "7", "", "   "][kind] if kind < 4 else '{"event_id": "%s"}' % ("x" * rng.randrange(300)))
+            if kind < 2:
+                want.append((f, k + 1, lines[-1]))
+        texts.append((f, "\n".join(lines)))
+    df = spark.createDataFrame(texts, "f int, value string").repartition(3, "f")
+    df.write.partitionBy("f").text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        bad = readers.bad_lines(spark, path).select(F.regexp_extract("file", r"f=(\d)", 1).cast("int"), "line_number", "value")
+        assert sorted(map(tuple, bad.collect())) == sorted(want)
+        with pytest.raises(ValueError, match=f"line {min(w for w in want if w[0] == 1)[1]}: no JSON object"):
+            readers.read_jsonl_checked(spark, f"{path}/f=1")
+        good = readers.read_jsonl_checked(spark, f"{path}/f=0", struct("event_id STRING"))
+        assert good.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
