@@ -9,7 +9,7 @@ two libraries do not agree on as white space is encoded whole.
 from __future__ import annotations
 
 import re
-from itertools import compress, islice
+from itertools import islice
 from unicodedata import normalize
 
 import numpy as np
@@ -85,19 +85,11 @@ class ChunkEncoder:
         if len(self.known) > self.memory:
             # the older half goes; it is learnt again when it is met
             self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        # the vocabulary lower-cases; doing it before makes fewer different chunks
+        parts = [(text.lower() if _is_latin(text) else text).split() for text in texts]
+        self._learn(set().union(*parts).difference(self.known))
         get = self.known.get
-        parts, new = [], set()
-        for text in texts:
-            # the vocabulary lower-cases; doing it before makes fewer different chunks
-            chunks = (text.lower() if _is_latin(text) else text).split()
-            found = list(map(get, chunks))
-            if None in found:
-                new.update(compress(chunks, map(_is_none, found)))
-                parts.append((chunks, None))
-            else:
-                parts.append((None, b"".join(found)))
-        self._learn(new)
-        return [whole if chunks is None else b"".join(map(get, chunks)) for chunks, whole in parts]
+        return [b"".join(map(get, chunks)) for chunks in parts]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -129,10 +121,6 @@ def _stays_letters(word: str) -> bool:
     return word.isascii() or (word.isalpha() and normalize("NFC", word.lower()).isalpha())
 
 
-def _is_none(x) -> bool:
-    return x is None
-
-
 def _is_latin(text: str) -> bool:
     """Whether lower case is a matter of single characters, the same in every library."""
     if text.isascii():
