@@ -43,6 +43,12 @@ ALSO = [
     "dp15_delivery_predicates",
     "rk3_row_keys",
     "dt2_parsed_times",
+    "js4_bad_lines",
+    "ded5_stream_repeats",
+    "snk9_audited_publish",
+    "snk26_incremental_mart",
+    "ddl3_copartitioned_sales_delivery",
+    "ddl3_copartitioned_customers",
 ]
 CHOSEN = sorted(QUERIES if os.environ.get("TEST_ALL") else {*HEADLINE, *ALSO})
 
