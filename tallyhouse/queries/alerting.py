@@ -11,6 +11,7 @@ from ..functions.predicates import is_late_event
 from ..operators import alerts as A
 from ..operators import metrics as M
 from ..operators import refine
+from ..operators import sketches as K
 from ..operators import windows as W
 from ..schemas import struct
 from ..session import scratch
@@ -206,6 +207,54 @@ def _(spark, root):
     return M.latency_summary(samples).select("name", "samples", "mean_ms", "max_ms", *points)
 
 
+def latency_samples(spark, root):
+    ms = (F.unix_micros("ingestion_timestamp") - F.unix_micros("event_timestamp")) / 1000
+    return M.observe_latency(R.all_events(spark, root), F.col("event_type"), ms, "ingestion_timestamp")
+
+
+LATENCY_US = "(epoch_us(ingestion_timestamp) - epoch_us(event_timestamp))"
+
+
+@query("mt3_latency_sketches", with_ctes(
+    "SELECT date_trunc('year', ingestion_timestamp)::TIMESTAMP AS year, event_type AS name, count(*) AS samples, "
+    f"CAST(CAST(sum({LATENCY_US}) AS BIGINT) // 1000 AS DOUBLE) / count(*) AS mean_ms, "
+    f"CAST(max({LATENCY_US}) AS DOUBLE) / 1000 AS max_ms, true AS p50_close, true AS p95_close, true AS p99_close "
+    f"FROM all_ev WHERE {LATENCY_US} >= 0 GROUP BY ALL", "all_ev"))
+def _(spark, root):
+    """Sketches stored per day and merged per year, next to the exact ranks of what they report.
+
+    A value is close within twice the error of one sketch.
+    """
+    path = scratch(spark, "latencies")
+    samples = latency_samples(spark, root)
+    K.daily_latencies(samples).write.parquet(path)
+    year = lambda c: F.date_trunc("year", c).alias("year")
+    report = K.latency_report(K.merged_latencies(spark.read.parquet(path), year("day")))
+    errors = K.rank_errors(report, samples.select("*", year("timestamp")), ["year"])
+    close = [(F.col(f"{p}_error") <= 2 * K.RANK_ERROR).alias(f"{p}_close") for p in K.POINTS]
+    return report.drop(*K.POINTS).join(errors, ["year", "name"]).select(
+        "year", "name", "samples", "mean_ms", "max_ms", *close)
+
+
+CUSTOMERS_SQL = "count(DISTINCT customer_id)"
+
+
+@query("sa8_sketched_customers", with_ctes(
+    "SELECT strftime(event_timestamp, '%Y') AS year, event_type, count(*) AS event_count, true AS close, "
+    f"CASE WHEN {CUSTOMERS_SQL} <= 4096 THEN {CUSTOMERS_SQL} END AS counted FROM all_ev GROUP BY ALL", "all_ev"))
+def _(spark, root):
+    """Customer sets stored per day and type, united per year: exact up to the size of a sketch, close beyond."""
+    path, events = scratch(spark, "customer_sets"), R.all_events(spark, root)
+    K.customer_sets(events, F.to_date("event_timestamp").alias("day"), "event_type").write.parquet(path)
+    year = lambda c: F.date_format(c, "yyyy").alias("year")
+    sizes = K.set_sizes(K.united_sets(spark.read.parquet(path), year("day"), "event_type"))
+    exact = events.groupBy(year("event_timestamp"), "event_type").agg(F.count_distinct("customer_id").alias("_exact"))
+    estimate, truth = F.col("unique_customers"), F.col("_exact")
+    return sizes.join(exact, ["year", "event_type"]).select(
+        "year", "event_type", "event_count", (F.abs(estimate - truth) <= K.SET_ERROR * truth).alias("close"),
+        F.when(truth <= 2**K.SET_SIZE_LOG2, estimate).alias("counted"))
+
+
 SNAPSHOT = (
     f"SELECT name, value, timestamp, 'count' AS unit FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY timestamp DESC, "
     f"value DESC) AS rn FROM {METRICS}) WHERE rn = 1"

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import dump_row
@@ -12,7 +14,7 @@ from ..sources import relational as R
 from ..streaming import job, late, run, sinks, sources
 from .activity import ARRIVED, shuffled_arrivals, window_sql
 from .alerting import ALERTS
-from .base import amount, query, with_ctes
+from .base import amount, flag, query, with_ctes
 from .scans import CORE_SQL, core
 
 CLOSED = "window_end <= (SELECT max(event_timestamp) - INTERVAL 10 SECOND FROM activity_ev)"
@@ -56,10 +58,24 @@ def _(spark, root):
     return to_parquet(spark, core(sources.valid(holes)), "valid")
 
 
-@query("src10_stream_of_files", with_ctes(f"SELECT {CORE_SQL} FROM activity_ev", "activity_ev"))
+def carts_without_arrival(spark, root):
+    """The activity feed from a producer that sends carts without an ingestion time."""
+    brought = F.when(F.col("event_type") != "cart", F.col("ingestion_timestamp"))
+    return R.activity_events(spark, root).withColumn("ingestion_timestamp", brought)
+
+
+@query("src10_stream_of_files", with_ctes(
+    "SELECT " + CORE_SQL.replace(
+        "ingestion_timestamp", "CASE WHEN event_type <> 'cart' THEN ingestion_timestamp END AS ingestion_timestamp")
+    + f", {flag("event_type = 'cart'")} AS stamped FROM activity_ev", "activity_ev"))
 def _(spark, root):
-    events = sources.read_stream(spark, json_folder(spark, root), max_files_per_trigger=1)
-    return to_parquet(spark, core(sources.stamp_ingestion(events)), "files")
+    """A row without an ingestion time gets that of its micro-batch, after the query began; others keep theirs."""
+    began = F.lit(datetime.now(timezone.utc) - timedelta(seconds=5))
+    events = sources.read_stream(spark, json_folder(spark, root, source=carts_without_arrival), max_files_per_trigger=1)
+    stamped = F.col("ingestion_timestamp") >= began
+    out = to_parquet(spark, core(sources.stamp_ingestion(events)), "files").withColumn(
+        "stamped", F.when(stamped, 1).otherwise(0))
+    return out.withColumn("ingestion_timestamp", F.when(F.col("stamped") == 0, F.col("ingestion_timestamp")))
 
 
 @query("src17_stream_validated", with_ctes(
@@ -90,6 +106,14 @@ def _(spark, root):
     return to_parquet(spark, windows, "overall").drop("key")
 
 
+@query("st6_stream_sketched_windows", window_sql("activity_ev").replace(
+    "SELECT * EXCLUDE (kind, types), kind AS event_type FROM", "SELECT window_start, window_end, event_count, "
+    "unique_customers, total_quantity, total_amount, types AS event_types FROM") + f" WHERE {CLOSED}")
+def _(spark, root):
+    """A window of these feeds has far fewer customers than a sketch holds, so the counts are exact."""
+    return to_parquet(spark, job.sketched_windows(R.activity_stream(spark, root)), "sketched")
+
+
 @query("st6_stream_type_windows", window_sql("activity_ev", "event_type").replace(
     "SELECT * EXCLUDE (kind, types), kind AS event_type FROM", "SELECT window_start, window_end, key AS event_type, event_count, "
     "unique_customers, total_quantity, total_amount, types AS event_types FROM") + f" WHERE {CLOSED}")
@@ -100,13 +124,22 @@ def _(spark, root):
 
 @query("snk14_stream_keyed_windows", SLIDING.replace(
     "SELECT * EXCLUDE (kind, types), kind AS event_type FROM", "SELECT 'window#' || (epoch_us(window_start) // 1000000) || '.000000#' || kind "
-    "|| '#' || key AS row_key, 'WINDOW_AGGREGATION' AS alert_type, 'INFO' AS severity, kind AS event_type FROM") + f" WHERE {CLOSED}")
+    "|| '#' || key AS row_key, 'WINDOW_AGGREGATION' AS alert_type, 'INFO' AS severity, kind AS event_type, "
+    "strftime(window_end, '%Y-%m-%dT%H:%M:%S') AS ends, event_count AS events, unique_customers AS customers, total_quantity AS quantity, "
+    "total_amount AS amount, types AS types FROM") + f" WHERE {CLOSED}")
 def _(spark, root):
     path = scratch(spark, "keyed_windows")
     table = sinks.alert_table(spark, f"{path}/table")
     windows = job.as_window_result(job.customer_windows(R.activity_stream(spark, root)), F.col("customer_id"))
     finish(sinks.start_keyed(windows, table, sinks.window_rows, f"{path}/checkpoint"))
-    return table.read().select("row_key", "alert_type", "severity", "event_type")
+    stored = F.from_json("metrics", "event_count BIGINT, unique_customers BIGINT, total_quantity BIGINT, "
+                         "total_amount STRING, metadata MAP<STRING, STRING>")
+    rows = table.read().withColumn("_m", stored)
+    types = F.from_json(F.col("_m.metadata")["event_types"], "ARRAY<STRING>")
+    return rows.select(
+        "row_key", "alert_type", "severity", "event_type", F.substring("event_timestamp", 1, 19).alias("ends"),
+        F.col("_m.event_count").alias("events"), F.col("_m.unique_customers").alias("customers"),
+        F.col("_m.total_quantity").alias("quantity"), F.col("_m.total_amount").cast("double").alias("amount"), types.alias("types"))
 
 
 @query("snk12_stream_alerts", with_ctes(
