@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basics import lower_trim, seconds_between
+from ..functions.guarded import Guarded, guard
 from ..functions.jsontext import ISO_FORMAT
 from ..functions.rowkeys import alert_row
 from ..schemas import ALERT, SEVERITIES
@@ -33,15 +34,31 @@ CLOSED_DELIVERIES = ("delivered", "failed")
 
 @dataclass(frozen=True)
 class AlertRule:
-    """``fires`` may be null (then it does not fire); ``columns`` build the alert."""
+    """``fires`` may be null (then it does not fire); ``columns`` build the alert.
+
+    Either may be guarded: a row on which it fails gets no alert of this rule and a row in :func:`failures`.
+    """
 
     alert_type: str
     severity: str
-    fires: Column
-    columns: dict[str, Column]
+    fires: Column | Guarded
+    columns: dict[str, Column | Guarded]
+
+    def fired(self) -> Column:
+        """True where the alert is due: the rule holds and neither it nor a column of the alert failed."""
+        holds = guard(self.fires)
+        fired = F.coalesce(holds.value, F.lit(False))
+        checks = [c.error.isNull() for c in (self.fires, *self.columns.values()) if isinstance(c, Guarded)]
+        return reduce(lambda a, b: a & b, checks, fired)
+
+    def failure(self) -> Column:
+        """Why the rule could not be judged, or why its alert could not be built; null if neither."""
+        holds = guard(self.fires)
+        built = F.coalesce(*[guard(c).error for c in self.columns.values()], F.lit(None).cast("string"))
+        return F.coalesce(holds.error, F.when(holds.value, built))
 
     def struct(self) -> Column:
-        given = dict(self.columns)
+        given = {name: guard(c).value for name, c in self.columns.items()}
         given["alert_type"] = F.lit(self.alert_type)
         given["severity"] = F.lit(self.severity)
         given["detected_at"] = F.current_timestamp()
@@ -160,12 +177,12 @@ def register_rule(rules: Sequence[AlertRule], rule: AlertRule) -> list[AlertRule
 
 def alerts_column(rules: Sequence[AlertRule]) -> Column:
     """All alerts of the row as an array; a rule with an unknown outcome adds none."""
-    fired = [F.when(F.coalesce(r.fires, F.lit(False)), r.struct()) for r in rules]
+    fired = [F.when(r.fired(), r.struct()) for r in rules]
     return F.array_compact(F.array(*fired))
 
 
 def any_fires(rules: Sequence[AlertRule]) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(r.fires, F.lit(False)) for r in rules])
+    return reduce(lambda a, b: a | b, [r.fired() for r in rules])
 
 
 def has_alerts(df: DataFrame, rules: Sequence[AlertRule], column: str = "has_alerts") -> DataFrame:
@@ -186,6 +203,22 @@ def detect(df: DataFrame, rules: Sequence[AlertRule] | None = None) -> DataFrame
     )
 
 
+def failures(df: DataFrame, rules: Sequence[AlertRule], *keys: str) -> DataFrame:
+    """``keys``, alert_type and error of every row and rule that failed; the other rules of the row stand.
+
+    Only rules of guarded expressions can fail this way. Narrow, so it runs beside :func:`detect` on a stream too.
+    """
+    able = [r for r in rules if any(isinstance(c, Guarded) for c in (r.fires, *r.columns.values()))]
+    if not able:
+        return df.select(*keys, F.lit("").alias("alert_type"), F.lit("").alias("error")).filter(F.lit(False))
+    found = [
+        F.when(r.failure().isNotNull(), F.struct(F.lit(r.alert_type).alias("alert_type"), r.failure().alias("error")))
+        for r in able
+    ]
+    failed = df.select(*keys, F.array_compact(F.array(*found)).alias("_failed"))
+    return failed.filter(F.size("_failed") > 0).select(*keys, F.inline("_failed"))
+
+
 detect_batch = detect
 
 

@@ -7,6 +7,7 @@ import time
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from ..functions.guarded import guard
 from ..functions.predicates import is_late_event
 from ..operators import alerts as A
 from ..operators import metrics as M
@@ -86,6 +87,42 @@ def _(spark, root):
     return A.detect_batch(R.all_events(spark, root), rules).select(*ALERT_OUT)
 
 
+def fragile_rules():
+    """Two of the contract's rules, and two that fail on some rows: a price per piece, and the numbers inside an id."""
+    price = guard(F.col("total_amount").cast("double")) / (F.col("quantity") - 13)
+    number = guard(F.split("event_id", "-")).item(3).cast("int")
+    line = {
+        "alert_id": F.concat(F.lit("line-"), F.col("event_id")),
+        "event_timestamp": F.col("event_timestamp"),
+        "message": number.map(lambda n: F.concat(F.lit("line "), n.cast("string"))),
+        "event_type": F.col("event_type"),
+    }
+    dear = {**line, "alert_id": F.concat(F.lit("price-"), F.col("event_id")), "message": F.lit("price")}
+    return [
+        A.AlertRule("PRICE", "INFO", price > 5000.0, dear),
+        *A.event_rules(),
+        A.AlertRule("LINE", "INFO", F.col("quantity") >= 5, line),
+    ]
+
+
+ORDER_LINE = "event_id LIKE 'o-%'"
+DEAR = "CAST(total_cents AS DOUBLE) / 100 / nullif(quantity - 13, 0) > 5000"
+
+
+@query("al5_failing_rules", with_ctes(
+    f"SELECT alert_id, alert_type, CAST(NULL AS VARCHAR) AS error FROM {ALERTS} "
+    f"UNION ALL SELECT 'price-' || event_id, 'PRICE', NULL FROM all_ev WHERE {DEAR} "
+    "UNION ALL SELECT event_id, 'PRICE', 'division by zero' FROM all_ev WHERE quantity = 13 AND total_cents IS NOT NULL "
+    f"UNION ALL SELECT 'line-' || event_id, 'LINE', NULL FROM all_ev WHERE quantity >= 5 AND {ORDER_LINE} "
+    f"UNION ALL SELECT event_id, 'LINE', 'no item 3' FROM all_ev WHERE quantity >= 5 AND NOT ({ORDER_LINE})", "all_ev"))
+def _(spark, root):
+    """Alerts of all rules, and the rows on which a rule failed: the other alerts of these rows stand."""
+    events, rules = R.all_events(spark, root), fragile_rules()
+    found = A.detect(events, rules).select("alert_id", "alert_type", F.lit(None).cast("string").alias("error"))
+    failed = A.failures(events, rules, "event_id")
+    return found.unionByName(failed.withColumnRenamed("event_id", "alert_id"))
+
+
 @query("al8_has_alerts", with_ctes(
     "SELECT event_id, (event_type = 'order' AND coalesce(total_cents >= 1000000, false)) OR (event_type = 'delivery' AND "
     "status NOT IN ('delivered', 'failed') AND ingestion_timestamp - event_timestamp > INTERVAL 24 HOUR) AS has_alerts "
