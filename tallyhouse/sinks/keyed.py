@@ -8,12 +8,15 @@ version only: a replayed micro-batch changes nothing, while a new checkpoint,
 which counts its batches from 0 again, is a new run and replaces nothing. A read
 keeps the newest row per key; the newest is picked inside each task before the
 shuffle, and a filter on the key reaches the scan. ``compact`` adds a version with
-all current rows; reads then start from it.
+all current rows; reads then start from it, and ``retire`` removes what it has replaced
+for long enough. A base counts from the moment it is complete, so a writer that dies
+in between hides nothing.
 """
 
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,16 +67,33 @@ class KeyedTable:
         extra = [T.StructField(DELETED, T.BooleanType()), T.StructField(VERSION, T.StringType())]
         return T.StructType(self.schema.fields + extra)
 
+    def _place_on(self, path: str):
+        """File system and path object of a path below the table."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _folder(self, name: str) -> str:
+        return f"{self.path}/{VERSION}={name}"
+
     def versions(self) -> list[str]:
         """Names of the stored versions, oldest first."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, folder = self._place_on(self.path)
         if not fs.exists(folder):
             return []
         names = (status.getPath().getName() for status in fs.listStatus(folder))
         return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{VERSION}="))
 
+    def _finished(self, name: str) -> int | None:
+        """When a version was completed, in milliseconds; None while it is being written or after its writer died."""
+        fs, mark = self._place_on(f"{self._folder(name)}/_SUCCESS")
+        return fs.getFileStatus(mark).getModificationTime() if fs.exists(mark) else None
+
+    def base(self, names: Sequence[str] | None = None) -> str | None:
+        """Newest version that holds all rows and is complete."""
+        names = self.versions() if names is None else names
+        bases = [n for n in names if (m := _NAME.fullmatch(n)) and int(m[3]) == _STEPS["base"]]
+        return next((n for n in reversed(bases) if self._finished(n) is not None), None)
+
     def _place(self, run: str) -> int:
         """Number of a run: the one it has, or the next one. Listed once per run and process."""
         if run not in self._places:
@@ -84,7 +104,7 @@ class KeyedTable:
     def _write(self, rows: DataFrame, version: int, step: str, run: str) -> None:
         name = f"{self._place(run):06d}-{int(version):012d}-{_STEPS[step]}-{run}"
         # sorted by key, so row-group statistics narrow a lookup to few pages
-        rows.sortWithinPartitions(KEY).write.mode("overwrite").parquet(f"{self.path}/{VERSION}={name}")
+        rows.sortWithinPartitions(KEY).write.mode("overwrite").parquet(self._folder(name))
 
     def upsert(
         self,
@@ -127,12 +147,33 @@ class KeyedTable:
         """All current rows as one version after batch ``version``; older ones are no longer read."""
         self.upsert(self.read(), version, run=run, step="base")
 
+    def retire(self, grace_seconds: float) -> list[str]:
+        """Remove the versions that a base has replaced for so long; returns their names.
+
+        The grace time lets readers finish that had listed the older versions before the base was complete.
+        Names are removed from the oldest on, so a call that is cut short leaves nothing the next one misses.
+        """
+        if grace_seconds < 0:
+            raise ValueError("grace_seconds must not be negative")
+        names, now = self.versions(), time.time() * 1000
+        old = [n for n in names if _NAME.fullmatch(n)]
+        bases = [n for n in old if int(_NAME.fullmatch(n)[3]) == _STEPS["base"]]
+        settled = [n for n in bases if (at := self._finished(n)) is not None and now - at >= grace_seconds * 1000]
+        retired = [n for n in old if settled and n < settled[-1]]
+        for name in retired:
+            fs, folder = self._place_on(self._folder(name))
+            fs.delete(folder, True)
+        return retired
+
     def log(self, where: Column | None = None) -> DataFrame:
-        """Stored rows from the newest base on; the folder names prune the older versions."""
-        stored = self.spark.read.schema(self._stored).parquet(self.path)
-        base = [n for n in self.versions() if (m := _NAME.fullmatch(n)) and int(m[3]) == _STEPS["base"]]
-        if base:
-            stored = stored.filter(F.col(VERSION) >= base[-1])
+        """Stored rows from the newest base on; folders of older versions are not even listed."""
+        names = self.versions()
+        base = self.base(names)
+        reader = self.spark.read.schema(self._stored)
+        if base is None:
+            stored = reader.parquet(self.path)
+        else:
+            stored = reader.option("basePath", self.path).parquet(*[self._folder(n) for n in names if n >= base])
         return stored if where is None else stored.filter(where)
 
     def read(self, where: Column | None = None) -> DataFrame:

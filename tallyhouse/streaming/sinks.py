@@ -28,6 +28,8 @@ ALERT_ROW = struct(
 
 #: Micro-batches between two compactions of a keyed table.
 COMPACT_EVERY = 1000
+#: Seconds for which readers may still use versions that a compaction has replaced.
+GRACE_SECONDS = 6 * 3600
 
 
 def alert_table(spark: SparkSession, path: str) -> KeyedTable:
@@ -70,15 +72,22 @@ def run_of(batch: DataFrame, default: str = "batch") -> str:
 
 
 def keyed_writer(
-    table: KeyedTable, to_rows: Callable[[DataFrame], DataFrame], compact_every: int = COMPACT_EVERY
+    table: KeyedTable,
+    to_rows: Callable[[DataFrame], DataFrame],
+    compact_every: int = COMPACT_EVERY,
+    grace_seconds: float = GRACE_SECONDS,
 ):
-    """``foreachBatch`` body: one versioned write per micro-batch, folded now and then."""
+    """``foreachBatch`` body: one versioned write per micro-batch, folded now and then.
+
+    A table then holds the versions of one fold and of the grace time, however long the stream runs.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows, run = to_rows(batch), run_of(batch)
         table.upsert(rows, batch_id, newest_first(rows), run)
         if compact_every and batch_id and batch_id % compact_every == 0:
             table.compact(batch_id, run)
+            table.retire(grace_seconds)
 
     return write
 
