@@ -4,7 +4,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import dump_row
@@ -192,10 +194,19 @@ def _(spark, root):
     return router.rows().select("event_id", F.col("batch").cast("long").alias("batch"), "lateness")
 
 
-def shouted_folder(spark, root):
+def on_one_day(df):
+    """The events with the times of day they have, all on one day; each arrives as long after it as before."""
+    seconds = F.unix_micros("event_timestamp") - F.unix_micros(F.date_trunc("day", "event_timestamp"))
+    delay = F.unix_micros("ingestion_timestamp") - F.unix_micros("event_timestamp")
+    day = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    return df.withColumns({
+        "event_timestamp": F.timestamp_micros(day + seconds), "ingestion_timestamp": F.timestamp_micros(day + seconds + delay)})
+
+
+def shouted_folder(spark, root, moved=lambda df: df):
     """All kinds of events as a producer sends them: upper-case types and statuses, some blank customers."""
     path = scratch(spark, "feed")
-    df = R.all_events(spark, root).drop("metadata").withColumns({
+    df = moved(R.all_events(spark, root).drop("metadata")).withColumns({
         "event_type": F.upper("event_type"), "status": F.upper("status"),
         "customer_id": F.when(F.col("quantity") == 13, " ").otherwise(F.concat(F.lit(" "), "customer_id"))})
     df.select(dump_row(df).alias("value")).write.text(path)
@@ -220,6 +231,37 @@ def _(spark, root):
     return to_parquet(spark, bad, "quarantine").select("event_id", "missing")
 
 
+USABLE = "FROM all_ev WHERE quantity IS DISTINCT FROM 13"
+
+
+@query("st8_whole_job", with_ctes(
+    f"SELECT 'events' AS name, event_type AS kind, count(*) AS n {USABLE} GROUP BY ALL "
+    f"UNION ALL SELECT 'late' AS name, 'on_time' AS kind, count(*) AS n {USABLE} "
+    "UNION ALL SELECT 'quarantine' AS name, 'customer_id' AS kind, count(*) AS n FROM all_ev WHERE quantity = 13 "
+    "UNION ALL SELECT 'alerts' AS name, alert_type AS kind, count(DISTINCT (alert_id, CAST(event_timestamp AS TIME))) AS n FROM "
+    + ALERTS.replace("FROM all_ev WHERE", "FROM all_ev WHERE quantity IS DISTINCT FROM 13 AND") + " GROUP BY ALL "
+    "UNION ALL SELECT 'metrics' AS name, 'queries that received every line' AS kind, CAST(6 AS BIGINT) AS n", "all_ev"))
+def _(spark, root):
+    """The job as it is started, over all kinds of events on one busy day: what each of its tables holds."""
+    feed, out = shouted_folder(spark, root, on_one_day), scratch(spark, "job")
+    run.run_available(spark, feed, out, f"{out}/checkpoint")
+    table = lambda name: sinks.alert_table(spark, f"{out}/{name}").read()
+    count = F.count(F.lit(1)).alias("n")
+    per = lambda df, name, kind: df.groupBy(kind.alias("kind")).agg(count).select(F.lit(name).alias("name"), "kind", "n")
+    archived = spark.read.text(f"{out}/events").select(F.get_json_object("value", "$.event_type").alias("t"))
+    lines = spark.read.text(feed).count()
+    told = spark.read.parquet(f"{out}/metrics").filter("name = 'streaming_events_received'")
+    full = told.groupBy(F.col("tags")["query"].alias("q")).agg(F.sum("value").alias("v")).filter(F.col("v") >= lines)
+    frames = [
+        per(archived, "events", F.col("t")),
+        per(spark.read.parquet(f"{out}/late/rows"), "late", F.col("lateness")),
+        per(spark.read.parquet(f"{out}/quarantine"), "quarantine", F.concat_ws(",", "missing")),
+        per(table("alerts"), "alerts", F.col("alert_type")),
+        per(full, "metrics", F.lit("queries that received every line")),
+    ]
+    return reduce(DataFrame.unionByName, frames)
+
+
 def repeating_folder(spark, root):
     """The activity feed in five files in event order. Each file delivers its events twice and, once more, those
     of the last hours of the file before it: repeats inside a micro-batch, across micro-batches, and behind the watermark."""
