@@ -310,6 +310,39 @@ def _(spark, root):
     return reports.fact_row_counts(tables)
 
 
+def numbers_of(table, column, source, ranged=True):
+    return (
+        f"SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) - count({column}) AS num_nulls, CAST(min({column}) AS VARCHAR) "
+        f"AS min, CAST(max({column}) AS VARCHAR) AS max, {str(ranged).lower()} AS has_histogram, true AS distinct_close FROM {source}")
+
+
+@query("tm1_column_statistics", with_ctes(
+    "SELECT table_name, column_name, CAST(num_nulls AS BIGINT) AS num_nulls, min, max, has_histogram, distinct_close FROM ("
+    + " UNION ALL ".join([
+        numbers_of("fact_sales", "quantity", ACT["fact_sales"]),
+        numbers_of("fact_carts", "quantity", ACT["fact_carts"]),
+        numbers_of("dim_customer", "customer_sk", "dcust", False),
+        numbers_of("dim_product", "product_sk", "dprod", False),
+        numbers_of("dim_product", "stock_quantity", "dprod"),
+    ]) + ")", "activity_ev", "dcust", "dprod"))
+def _(spark, root):
+    """Statistics in the catalog next to the tables they were gathered from; distinct values are estimates."""
+    names, _ = warehouse(spark, root)
+    WH.refresh_statistics(spark, names, columns=True)
+    out = []
+    for table, columns in {
+        "fact_sales": ["quantity"], "fact_carts": ["quantity"], "dim_customer": ["customer_sk"],
+        "dim_product": ["product_sk", "stock_quantity"]}.items():
+        known = WH.column_statistics(spark, table, columns, names.core)
+        counts = spark.table(f"{names.core}.{table}").agg(
+            *[F.count_distinct(c).alias(c) for c in columns]).unpivot([], columns, "column_name", "_exact")
+        out.append(known.join(counts, "column_name"))
+    told, exact = F.col("distinct_count").cast("double"), F.col("_exact")
+    return reduce(DataFrame.unionByName, out).select(
+        "table_name", "column_name", F.col("num_nulls").cast("bigint").alias("num_nulls"), "min", "max", "has_histogram",
+        (F.abs(told - exact) <= 0.2 * exact).alias("distinct_close"))
+
+
 @query("ddl4_staging_repair", with_ctes(
     "SELECT CAST(event_timestamp AS DATE) AS event_date, count(*) AS n FROM activity_ev GROUP BY ALL", "activity_ev"))
 def _(spark, root):
