@@ -45,6 +45,13 @@ ALSO = [
     "dt2_parsed_times",
     "js4_bad_lines",
     "ded5_stream_repeats",
+    "mt3_latency_sketches",
+    "sa8_sketched_customers",
+    "st6_stream_sketched_windows",
+    "al5_failing_rules",
+    "tm1_column_statistics",
+    "st8_whole_job",
+    "src10_stream_of_files",
     "snk9_audited_publish",
     "snk26_incremental_mart",
     "ddl3_copartitioned_sales_delivery",
