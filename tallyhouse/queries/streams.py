@@ -13,7 +13,8 @@ from ..functions.jsontext import dump_row
 from ..operators import alerts as A
 from ..session import scratch
 from ..sources import relational as R
-from ..streaming import job, late, run, sinks, sources
+from ..sinks.rolled import RolledArchive
+from ..streaming import clocks, job, late, run, sinks, sources
 from .activity import ARRIVED, shuffled_arrivals, window_sql
 from .alerting import ALERTS
 from .base import amount, flag, query, with_ctes
@@ -194,6 +195,29 @@ def _(spark, root):
     return router.rows().select("event_id", F.col("batch").cast("long").alias("batch"), "lateness")
 
 
+BY_FEED = (
+    "max(event_timestamp) OVER (PARTITION BY event_type ORDER BY ingestion_timestamp RANGE BETWEEN UNBOUNDED PRECEDING "
+    "AND CURRENT ROW) - INTERVAL 10 SECOND")
+
+
+@query("wn14_stream_feed_clocks", with_ctes(
+    "SELECT event_id, event_type, w AS watermark, CASE WHEN event_timestamp < w - INTERVAL 10 SECOND THEN 'dropped' "
+    f"WHEN event_timestamp < w THEN 'allowed' ELSE 'on_time' END AS lateness FROM (SELECT *, {BY_FEED} AS w FROM {ARRIVED})", "activity_ev"))
+def _(spark, root):
+    """A clock per type of event, kept over three runs of a checkpoint; rows are judged at their own arrival."""
+    path, feed = scratch(spark, "clocks"), scratch(spark, "feed")
+    feeds = clocks.FeedClocks(spark, f"{path}/out", "event_type")
+    arrivals = shuffled_arrivals(spark, root)
+    moment = F.col("ingestion_timestamp")
+    for low, high in zip((None, *CUTS[1::2]), (*CUTS[1::2], None)):
+        part = arrivals if low is None else arrivals.filter(moment >= low)
+        part = part if high is None else part.filter(moment < high)
+        part.select(dump_row(part.drop("metadata")).alias("value")).write.mode("append").text(feed)
+        events = sources.parse(sources.read_lines(spark, feed))
+        finish(late.route_late_rows(events, feeds, f"{path}/checkpoint"))
+    return feeds.rows().select("event_id", "event_type", "watermark", "lateness")
+
+
 def on_one_day(df):
     """The events with the times of day they have, all on one day; each arrives as long after it as before."""
     seconds = F.unix_micros("event_timestamp") - F.unix_micros(F.date_trunc("day", "event_timestamp"))
@@ -203,6 +227,34 @@ def on_one_day(df):
         "event_timestamp": F.timestamp_micros(day + seconds), "ingestion_timestamp": F.timestamp_micros(day + seconds + delay)})
 
 
+HOUR_OF_DAY = "lpad(CAST(hour(event_timestamp) AS VARCHAR), 2, '0')"
+
+
+@query("snk25_rolled_archive", with_ctes(
+    f"SELECT {HOUR_OF_DAY} AS hour, count(*) AS events, {amount('CAST(sum(coalesce(total_cents, 0)) AS BIGINT)')} AS amount, "
+    "CAST(0 AS BIGINT) AS too_large, CAST(1 AS BIGINT) AS few_files, CAST(1 AS BIGINT) AS logged FROM activity_ev GROUP BY ALL", "activity_ev"))
+def _(spark, root):
+    """The feed on one day, in two micro-batches of the stream, with files of at most 128 KiB."""
+    path, limit = scratch(spark, "rolled"), 128 * 1024
+    archive = RolledArchive(spark, f"{path}/out", limit)
+    lines = sources.read_lines(
+        spark, json_folder(spark, root, 2, lambda s, r: on_one_day(R.activity_events(s, r))), max_files_per_trigger=1)
+    finish(sinks.start_rolled(sources.parse(lines), archive, "event_timestamp", f"{path}/checkpoint", availableNow=True))
+    size = (F.octet_length("value") + 1).alias("size")
+    money = F.get_json_object("value", "$.total_amount").cast("decimal(14,2)")
+    files = archive.read().select("*", size, money.alias("money")).groupBy("run", "batch", "hora", "file").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("money").alias("money"), F.sum("size").alias("bytes"))
+    told = archive.log().select("run", "batch", "hora", "file", F.col("bytes").alias("told"))
+    files = files.join(told, ["run", "batch", "hora", "file"], "full")
+    # every file of a batch and hour but the last is nearly full
+    enough = F.ceil(F.sum("bytes") / (limit * 0.75)) + F.count_distinct("run", "batch")
+    return files.groupBy(F.col("hora").alias("hour")).agg(
+        F.sum("events").alias("events"), F.coalesce(F.sum("money"), F.lit(0)).cast("double").alias("amount"),
+        F.sum((F.col("bytes") > limit).cast("long")).alias("too_large"),
+        (F.count(F.lit(1)) <= enough).cast("int").alias("few_files"),
+        F.min(F.col("bytes").eqNullSafe(F.col("told")).cast("int")).alias("logged"))
+
+
 def shouted_folder(spark, root, moved=lambda df: df):
     """All kinds of events as a producer sends them: upper-case types and statuses, some blank customers."""
     path = scratch(spark, "feed")

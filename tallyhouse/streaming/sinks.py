@@ -15,6 +15,7 @@ from ..operators import alerts as A
 from ..schemas import struct
 from ..sinks.files import SINK_PARTITIONS, archive_rows
 from ..sinks.keyed import KeyedTable
+from ..sinks.rolled import RolledArchive
 
 # --- fixed values ---
 WINDOW_TYPE = "WINDOW_AGGREGATION"
@@ -172,3 +173,20 @@ def start_console(frame: DataFrame, checkpoint: str, **trigger) -> StreamingQuer
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
     )
+
+
+def start_rolled(
+    frame: DataFrame, archive: RolledArchive, moment: Column | str, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """JSONL archive by hour whose files are closed at each micro-batch or at the archive's limit."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        archive.write(batch, batch_id, run_of(batch))
+
+    return (
+        archive_rows(frame, moment)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "60 seconds"}))
+        .start()
+    )

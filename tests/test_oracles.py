@@ -35,6 +35,8 @@ ALSO = [
     "mt5_latest_metrics",
     "st6_stream_overall_windows",
     "wn14_stream_lateness",
+    "wn14_stream_feed_clocks",
+    "snk25_rolled_archive",
     "st8_stream_alerts_upper",
     "st8_stream_quarantine",
     "snk19_alert_archive",
