@@ -12,6 +12,7 @@ Rows that are equal in doc_id and text share a slot. An empty table gives an emp
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +78,28 @@ class SlotMap:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or scratch(spark, "slot-map")
-        self.version = 0
+        # a map that was stored before goes on from its newest version
+        self.version = self._newest() if path else 0
+
+    def _newest(self) -> int:
+        try:
+            return self.history().agg(F.max("version")).first()[0] or 0
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0
+
+    def history(self) -> DataFrame:
+        """virtual_slot, shard and version of all versions."""
+        return self.spark.read.schema("virtual_slot long, shard int, version int").parquet(self.path)
+
+    def since(self, version: int) -> DataFrame:
+        """The map of a version, with the version at which each slot came to its shard (``version``)."""
+        order = Window.partitionBy("virtual_slot").orderBy("version")
+        came = ~F.lag("shard").over(order).eqNullSafe(F.col("shard"))
+        steps = self.history().where(F.col("version") <= version).withColumn("came", came).where("came")
+        return steps.groupBy("virtual_slot").agg(
+            F.max_by("shard", "version").alias("shard"), F.max("version").alias("version"))
 
     def _store(self, rows: DataFrame) -> DataFrame:
         self.version += 1
@@ -120,3 +142,66 @@ def sharded(docs: DataFrame, n_shards: int = 24, slots: int = SLOTS) -> DataFram
     placed = rows.join(F.broadcast(starts), "virtual_slot")
     inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     return placed.withColumn("slot", F.col("start") + F.row_number().over(inside) - 1).drop("start")
+
+
+class ShardStore:
+    """Whole records in the folders of their shards, under a stored slot map.
+
+    A record lies in ``rows/version=v/shard=k``, where ``v`` is the version at which its slot came to the shard.
+    Rebalancing stores the next map and writes only the records of slots that move; the others stay where they
+    are. A version counts for readers once its records are there, and a store that is opened after a
+    crash finishes its move. All input columns are in ``row``, so no name clashes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, slots: int = SLOTS):
+        self.spark, self.path, self.slots = spark, path.rstrip("/"), slots
+        self.map = SlotMap(spark, f"{self.path}/map")
+        self._moved = SlotMap(spark, f"{self.path}/moved")
+        self._finish()
+
+    def _finish(self) -> None:
+        while self._moved.version < self.map.version:
+            version = self._moved.version + 1
+            if version > 1:
+                coming = self.map.since(version).where(F.col("version") == version).drop("version")
+                rows = self.rows().drop("shard").join(F.broadcast(coming), "virtual_slot")
+                self._write(rows, version, "overwrite")
+            self._moved._store(self.map.read(version))
+
+    def _write(self, rows: DataFrame, version: int, mode: str) -> None:
+        # a hot shard is split over tasks, small ones share a task
+        rows.hint("rebalance", F.col("shard")).write.mode(mode).partitionBy("shard").parquet(
+            f"{self.path}/rows/version={version}")
+
+    def add(self, docs: DataFrame, n_shards: int = 24) -> None:
+        """Append documents; the first batch lays the map out, later ones go where their slots are."""
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        text = F.coalesce(F.col("text"), F.lit(""))
+        rows = docs.select(
+            F.struct(*names).alias("row"), "doc_id", (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+        ).withColumn("virtual_slot", slot_of(self.slots))
+        if self.map.version == 0:
+            # every slot is laid out, so later records find their shard
+            every = self.spark.range(self.slots).select(F.col("id").alias("virtual_slot"))
+            sums = every.join(slot_sums(rows), "virtual_slot", "left").fillna(0)
+            self.map.lay_out(written(sums, "slot-sums"), n_shards)
+            self._finish()
+        # one row per slot; a slot's records lie at the version at which it came to its shard
+        homes = F.broadcast(self.map.since(self.map.version))
+        placed = rows.join(homes, "virtual_slot").select("row", "size", "virtual_slot", "shard", "version")
+        placed.hint("rebalance", F.col("version"), F.col("shard")).write.mode("append").partitionBy(
+            "version", "shard").parquet(f"{self.path}/rows")
+
+    def rows(self) -> DataFrame:
+        """row, size, virtual_slot and shard of every record."""
+        schema = self.spark.read.parquet(f"{self.path}/rows").schema
+        stored = self.spark.read.schema(schema).parquet(f"{self.path}/rows")
+        homes = F.broadcast(self.map.since(self._moved.version))
+        return stored.join(homes, ["virtual_slot", "shard", "version"], "left_semi").drop("version")
+
+    def rebalance(self, n_shards: int) -> None:
+        sums = self.rows().groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+        every = self.map.read().select("virtual_slot")
+        self.map.rebalance(written(every.join(sums, "virtual_slot", "left").fillna(0), "slot-sums"), n_shards)
+        self._finish()

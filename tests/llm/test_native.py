@@ -13,6 +13,7 @@ from compare import compare, connect
 from conftest import ODD_TEXTS
 from pyspark.sql import functions as F
 
+from tallyhouse.session import scratch
 from tallyhouse.llm import licences, line_dedup, quality_rules, sharding, url_filters
 from tallyhouse.llm.queries import ORACLES, QUERIES
 
@@ -189,6 +190,27 @@ def test_sharding_of_nothing(make_docs):
     assert sharding.sharded(make_docs([]).where("doc_id < 0")).count() == 0
 
 
+def test_documents_lie_in_shards_and_move(spark, make_docs):
+    path = scratch(spark, "store")
+    odd = make_docs([*ODD_TEXTS, *[f"text {k} " * 250 for k in range(200)]]).withColumn("shard", F.lit("clash")).withColumn("version", F.lit(None).cast("int"))
+    key = lambda df: Counter((r["doc_id"], r["text"], r["shard"]) for r in df.collect())
+    sharding.ShardStore(spark, path, slots=64).add(odd, n_shards=3)
+    store = sharding.ShardStore(spark, path, slots=64)  # opened again
+    assert store.map.version == 1 and key(store.rows().select("row.*")) == key(odd)
+    before = {r["virtual_slot"]: r["shard"] for r in store.rows().select("virtual_slot", "shard").collect()}
+    store.rebalance(4)
+    store.add(odd)
+    after = {r["virtual_slot"]: r["shard"] for r in store.rows().select("virtual_slot", "shard").collect()}
+    assert key(store.rows().select("row.*")) == key(odd.union(odd)) and set(after.values()) == set(range(4))
+    assert 0 < sum(before[s] != after[s] for s in before) < len(before) // 2
+    # a map that was stored before a crash: the move is made at the next opening
+    sums = store.rows().groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    store.map.rebalance(sums, 5)
+    again = sharding.ShardStore(spark, path, slots=64)
+    assert key(again.rows().select("row.*")) == key(odd.union(odd))
+    assert again.rows().select("shard").distinct().count() == 5
+
+
 # ---- licences ------------------------------------------------------------------------------
 def test_licences_in_equivalent_forms(spark, make_docs):
     mit = licences.TEXTS["MIT"][0]
