@@ -6,8 +6,8 @@ by the largest cell, so no file passes it. A cell above half the limit holds lin
 often; its lines are counted, and the copies are dealt over files by their place. Nothing depends on tasks or
 on the order of rows, so a replayed batch makes the same files.
 
-Defined cases. A null line is left out, an empty one is a byte. A line longer than the limit has a
-file of its own, since lines are not cut. Lines without a time share the folder of null. An empty batch is logged without files.
+Defined cases. A null line is left out, an empty one is a byte. Lines are not cut: one longer than the limit
+has a file of its own. Lines without a time share the folder of null. An empty batch is logged without files.
 """
 
 from __future__ import annotations
@@ -52,24 +52,28 @@ class RolledArchive:
     def _repeats(self, lines: DataFrame, heavy: DataFrame) -> DataFrame:
         """Lines of heavy cells, one row per line and file with the number of copies there."""
         counted = (
-            lines.join(heavy.select("hour", "cell", "longest"), ["hour", "cell"])
-            .groupBy(*HOUR, "hour", "cell", "longest", "value", "size")
+            lines.join(heavy.select("hour", "cell"), ["hour", "cell"])
+            .groupBy(*HOUR, "hour", "cell", "value", "size")
             .agg(F.count(F.lit(1)).alias("n"))
+            # a line above half the limit has a file of its own: it is one step long, as is its stretch
+            .withColumn("own", F.col("size") > self.limit // 2)
+            .withColumn("step", F.when(F.col("own"), F.lit(1)).otherwise(F.col("size")))
         )
-        before = Window.partitionBy("hour", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        group = Window.partitionBy("hour", "cell", "own")
+        before = group.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
         counted = counted.withColumns({
-            "start": F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0)),
+            "start": F.coalesce(F.sum(F.col("n") * F.col("step")).over(before), F.lit(0)),
             # without the longest line there is room for the one that begins last in the stretch
-            "stretch": F.greatest(self.limit - F.col("longest") + 1, F.lit(1)),
+            "stretch": F.when(F.col("own"), F.lit(1)).otherwise(self.limit - F.max("step").over(group) + 1),
         })
         first = F.expr("start DIV stretch")
-        last = F.expr("(start + (n - 1) * size) DIV stretch")
-        # a line above its stretch skips stretches, which then hold none of its copies
+        last = F.expr("(start + (n - 1) * step) DIV stretch")
         spread = counted.withColumn("k", F.explode(F.sequence(first, last)))
         reach = lambda k: F.least(
-            F.greatest(F.ceil((k * F.col("stretch") - F.col("start")) / F.col("size")), F.lit(0)), F.col("n"))
+            F.greatest(F.ceil((k * F.col("stretch") - F.col("start")) / F.col("step")), F.lit(0)), F.col("n"))
         spread = spread.withColumn("copies", reach(F.col("k") + 1) - reach(F.col("k"))).filter("copies > 0")
-        return spread.withColumn("file", F.format_string("c%04d-%06d", "cell", "k"))
+        return spread.withColumn("file", F.concat(
+            F.when(F.col("own"), "l").otherwise("c"), F.format_string("%04d-%06d", "cell", "k")))
 
     def write(self, rows: DataFrame, version: int, run: str = "batch") -> None:
         """``rows`` has ``value`` and the folder columns; a version that is written again replaces itself."""
