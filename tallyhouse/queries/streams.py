@@ -256,12 +256,15 @@ def _(spark, root):
 
 
 def shouted_folder(spark, root, moved=lambda df: df):
-    """All kinds of events as a producer sends them: upper-case types and statuses, some blank customers."""
+    """All kinds of events as a producer sends them: upper-case types and statuses, some blank customers.
+
+    The files are compressed, as plain lines are several times the tables they come from.
+    """
     path = scratch(spark, "feed")
     df = moved(R.all_events(spark, root).drop("metadata")).withColumns({
         "event_type": F.upper("event_type"), "status": F.upper("status"),
         "customer_id": F.when(F.col("quantity") == 13, " ").otherwise(F.concat(F.lit(" "), "customer_id"))})
-    df.select(dump_row(df).alias("value")).write.text(path)
+    df.select(dump_row(df).alias("value")).write.option("compression", "gzip").text(path)
     return path
 
 
