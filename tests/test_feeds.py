@@ -6,7 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tallyhouse.queries import streams
+from tallyhouse.queries import QUERIES, streams
+from tallyhouse.session import scratch as real
 from tallyhouse.sources import relational as R
 
 
@@ -23,3 +24,11 @@ def test_the_feed_of_all_kinds_is_whole_and_compressed(spark, root):
     lines = spark.read.text(path)
     assert lines.count() == R.all_events(spark, root).count()
     assert on_disk(path) < plain_bytes(lines) / 4
+
+
+def test_quarantine_leaves_less_on_disk_than_its_lines(spark, root, monkeypatch):
+    used = []
+    monkeypatch.setattr(streams, "scratch", lambda s, name: used.append(real(s, name)) or used[-1])
+    rows = QUERIES["st8_stream_quarantine"](spark, root).count()
+    assert rows == R.all_events(spark, root).filter("quantity = 13").count()
+    assert sum(map(on_disk, used)) < plain_bytes(spark.read.text(used[0])) / 4
