@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyhouse.queries import QUERIES, streams
 from tallyhouse.session import scratch as real
 from tallyhouse.sources import relational as R
+from tallyhouse.streaming import sinks
 
 
 def on_disk(path, name="part-*"):
@@ -32,3 +33,19 @@ def test_quarantine_leaves_less_on_disk_than_its_lines(spark, root, monkeypatch)
     rows = QUERIES["st8_stream_quarantine"](spark, root).count()
     assert rows == R.all_events(spark, root).filter("quantity = 13").count()
     assert sum(map(on_disk, used)) < plain_bytes(spark.read.text(used[0])) / 4
+
+
+def test_stream_archive_is_whole_and_compressed(spark, root):
+    path = real(spark, "archive")
+    events = R.activity_stream(spark, root)
+    streams.finish(sinks.start_archive(events, f"{path}/out", "event_timestamp", f"{path}/checkpoint", availableNow=True))
+    lines = spark.read.text(f"{path}/out")
+    assert lines.count() == R.activity_events(spark, root).count()
+    assert all(f.name.endswith(".txt.gz") for f in Path(f"{path}/out").rglob("part-*"))
+    plain = real(spark, "archive")
+    batch = R.activity_events(spark, root)
+    sinks.archive_writer(f"{plain}/out", "event_timestamp", "none")(batch, 0)
+    sinks.archive_writer(f"{path}/batch", "event_timestamp")(batch, 0)
+    same = spark.read.text(f"{path}/batch").select("value")
+    assert same.exceptAll(spark.read.text(f"{plain}/out").select("value")).isEmpty() and same.count() == lines.count()
+    assert on_disk(f"{path}/batch") < on_disk(f"{plain}/out")
