@@ -171,7 +171,9 @@ def contract_lines(spark, root):
     return df.select(value.alias("value"))
 
 
-CONTRACT_OK = "WHERE NOT (event_type = 'cart' AND quantity > 8)"
+#: The contract's least amount is a cent; an unknown one does not keep it.
+PRICED = "(event_type <> 'order' OR coalesce(unit_cents >= 1 AND total_cents >= 1, false))"
+CONTRACT_OK = f"WHERE NOT (event_type = 'cart' AND quantity > 8) AND {PRICED}"
 
 
 @query("src13_validated_events", with_ctes(f"SELECT {CORE_SQL} FROM activity_ev {CONTRACT_OK}", "activity_ev"))

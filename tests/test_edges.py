@@ -24,7 +24,10 @@ def free_purchases(tmp_path_factory, root):
     return str(out)
 
 
-ZERO = ["qc22_order_entity_rules"]
+ZERO = [
+    "qc22_order_entity_rules",
+    "src13_validated_events",
+]
 
 
 @pytest.mark.parametrize("name", ZERO)
