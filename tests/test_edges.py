@@ -28,6 +28,7 @@ ZERO = [
     "qc22_order_entity_rules",
     "src13_validated_events",
     "qc9_canonical_json",
+    "src15_event_count",
 ]
 
 
