@@ -2,7 +2,8 @@
 
 Lines are dealt into cells by their hash, bytes are summed per hour and cell, and the cells of an hour are
 laid end to end: a file takes the cells that begin in its stretch. A stretch is shorter than the limit
-by the largest cell, so no file passes it. A cell above half the limit holds lines that repeat
+by the largest cell, so no file passes it. An hour whose cells are not small against the limit is dealt into more
+cells, by a second pass over the batch. A cell above half the limit holds lines that repeat
 often; its lines are counted, and the copies are dealt over files by their place. Nothing depends on tasks or
 on the order of rows, so a replayed batch makes the same files.
 
@@ -19,8 +20,11 @@ from ..schemas import struct
 from .files import SINK_PARTITIONS
 
 LIMIT_BYTES = 128 * 1024 * 1024
-#: Cells of an hour: more of them fill files better, and an hour's layout has this many rows at most.
+#: Cells of an hour: more of them fill files better, and the layout of an hour has this many rows at most, or
+#: FINE rows per file where that is more.
 CELLS = 4096
+#: Cells that a file takes at least on average; with fewer, the stretch is cut short by the largest of them.
+FINE = 32
 HOUR = list(SINK_PARTITIONS)
 FOLDERS = ", ".join(f"{c} STRING" for c in HOUR)
 LOG = struct(f"{FOLDERS}, file STRING, lines BIGINT, bytes BIGINT, run STRING, batch BIGINT")
@@ -75,16 +79,26 @@ class RolledArchive:
         return spread.withColumn("file", F.concat(
             F.when(F.col("own"), "l").otherwise("c"), F.format_string("%04d-%06d", "cell", "k")))
 
+    def _stored(self, made: DataFrame, path: str) -> DataFrame:
+        made.write.mode("overwrite").parquet(f"{self.path}/{path}")
+        return self.spark.read.schema(made.schema).parquet(f"{self.path}/{path}")
+
     def write(self, rows: DataFrame, version: int, run: str = "batch") -> None:
         """``rows`` has ``value`` and the folder columns; a version that is written again replaces itself."""
         at = f"run={run}/batch={version}"
         lines = rows.filter(F.col("value").isNotNull()).select(
             "value", *HOUR, F.concat_ws("/", *HOUR).alias("hour"),
-            F.pmod(F.xxhash64("value"), F.lit(self.cells)).alias("cell"),
+            F.xxhash64("value").alias("hash"),
             (F.octet_length("value") + 1).cast("long").alias("size"))
-        made = self._cells(lines)
-        made.write.mode("overwrite").parquet(f"{self.path}/layout/{at}")
-        cells = self.spark.read.schema(made.schema).parquet(f"{self.path}/layout/{at}")
+        dealt = lines.withColumn("cell", F.pmod("hash", F.lit(self.cells)))
+        cells = self._stored(self._cells(dealt), f"layout/{at}")
+        times = F.ceil(F.sum("bytes") * (FINE / (self.limit * self.cells))).alias("times")
+        large = self._stored(cells.groupBy("hour").agg(times).filter("times > 1"), f"large/{at}")
+        if not large.isEmpty():
+            dealt = lines.join(large, "hour", "left").withColumn(
+                "cell", F.pmod("hash", self.cells * F.coalesce("times", F.lit(1)))).drop("times")
+            cells = self._stored(self._cells(dealt), f"fine_layout/{at}")
+        lines = dealt
         light, heavy = cells.filter(~F.col("heavy")), cells.filter("heavy")
         out = lines.join(light.select("hour", "cell", "file"), ["hour", "cell"]).select("value", *HOUR, "file")
         out = out.repartition("file", *HOUR)

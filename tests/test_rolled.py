@@ -114,3 +114,14 @@ def test_feeds_have_clocks_of_their_own(spark):
     assert clock.filter("batch = 0").drop("batch").exceptAll(clock.filter("batch = 1").drop("batch")).isEmpty()
     lowest = clocks.lowest_watermark(out.filter("feed IS NOT NULL"), "feed").select(F.unix_timestamp("watermark").alias("w")).first().w
     assert lowest == out.filter("event_id = 'a'").select(F.unix_timestamp("event_timestamp").alias("t")).first().t - 10
+
+
+def test_an_hour_of_many_files_has_cells_that_are_small_against_the_limit(spark):
+    values = [f"{i:06d}" + "x" * 94 for i in range(40_000)]
+    archive = RolledArchive(spark, scratch(spark, "rolled"), limit_bytes=16 * 1024, cells=512)
+    archive.write(lines(spark, values), 0)
+    assert read_back(archive) == Counter(values)
+    sizes = [r["bytes"] for r in archive.log().collect()]
+    assert max(sizes) <= 16 * 1024
+    # files are filled to three quarters at least
+    assert len(sizes) <= sum(sizes) / (0.75 * 16 * 1024) + 1
