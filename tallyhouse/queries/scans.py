@@ -63,6 +63,15 @@ def event_lines(spark, root):
     return good.unionByName(noise)
 
 
+#: Rows of the activity feed that one task sorts for a file of lines in order.
+FILE_ROWS = 100_000
+
+
+def files_for(spark, root, parts):
+    """Files for each of ``parts`` parts of the activity feed, so that a file stays small however long the feed is."""
+    return max(1, -(-R.table(spark, root, "events").count() // (parts * FILE_ROWS)))
+
+
 def written_lines(spark, root, lines=event_lines):
     path = scratch(spark, "lines")
     lines(spark, root).write.text(path)

@@ -18,7 +18,7 @@ from ..streaming import clocks, job, late, run, sinks, sources
 from .activity import ARRIVED, shuffled_arrivals, window_sql
 from .alerting import ALERTS
 from .base import amount, flag, query, with_ctes
-from .scans import CONTRACT_OK, CORE_SQL, core
+from .scans import CONTRACT_OK, CORE_SQL, core, files_for
 
 CLOSED = "window_end <= (SELECT max(event_timestamp) - INTERVAL 10 SECOND FROM activity_ev)"
 
@@ -37,17 +37,23 @@ def to_parquet(spark, frame, name):
 
 
 def json_folder(spark, root, files=4, source=R.activity_events):
-    """The feed as JSON lines in several files, in arrival order."""
-    path = scratch(spark, "feed")
+    """The feed as JSON lines in several parts of as many files as the rows ask for, in arrival order.
+
+    Returns the folder and the number of files of a part.
+    """
+    path, each = scratch(spark, "feed"), files_for(spark, root, files)
     df = source(spark, root)
-    ordered = df.repartitionByRange(files, "ingestion_timestamp").sortWithinPartitions("ingestion_timestamp")
+    # rows without an arrival stand at their event time, and not all in one file
+    arrival = F.coalesce("ingestion_timestamp", "event_timestamp")
+    ordered = df.repartitionByRange(files * each, arrival).sortWithinPartitions(arrival)
     ordered.select(dump_row(df.drop("metadata")).alias("value")).write.text(path)
-    return path
+    return path, each
 
 
 @query("st1_stream_parsed_lines", with_ctes(f"SELECT {CORE_SQL} FROM activity_ev", "activity_ev"))
 def _(spark, root):
-    lines = sources.read_lines(spark, json_folder(spark, root), max_files_per_trigger=2)
+    feed, each = json_folder(spark, root)
+    lines = sources.read_lines(spark, feed, max_files_per_trigger=2 * each)
     return to_parquet(spark, core(sources.parse(lines)), "parsed")
 
 
@@ -74,7 +80,8 @@ def carts_without_arrival(spark, root):
 def _(spark, root):
     """A row without an ingestion time gets that of its micro-batch, after the query began; others keep theirs."""
     began = F.lit(datetime.now(timezone.utc) - timedelta(seconds=5))
-    events = sources.read_stream(spark, json_folder(spark, root, source=carts_without_arrival), max_files_per_trigger=1)
+    feed, each = json_folder(spark, root, source=carts_without_arrival)
+    events = sources.read_stream(spark, feed, max_files_per_trigger=each)
     stamped = F.col("ingestion_timestamp") >= began
     out = to_parquet(spark, core(sources.stamp_ingestion(events)), "files").withColumn(
         "stamped", F.when(stamped, 1).otherwise(0))
@@ -236,8 +243,8 @@ def _(spark, root):
     """The feed on one day, in two micro-batches of the stream, with files of at most 128 KiB."""
     path, limit = scratch(spark, "rolled"), 128 * 1024
     archive = RolledArchive(spark, f"{path}/out", limit)
-    lines = sources.read_lines(
-        spark, json_folder(spark, root, 2, lambda s, r: on_one_day(R.activity_events(s, r))), max_files_per_trigger=1)
+    feed, each = json_folder(spark, root, 2, lambda s, r: on_one_day(R.activity_events(s, r)))
+    lines = sources.read_lines(spark, feed, max_files_per_trigger=each)
     finish(sinks.start_rolled(sources.parse(lines), archive, "event_timestamp", f"{path}/checkpoint", availableNow=True))
     size = (F.octet_length("value") + 1).alias("size")
     money = F.get_json_object("value", "$.total_amount").cast("decimal(14,2)")

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tallyhouse.queries import QUERIES, streams
+from tallyhouse.queries import QUERIES, scans, streams
 from tallyhouse.session import scratch as real
 from tallyhouse.sources import relational as R
 from tallyhouse.streaming import sinks
@@ -49,3 +49,11 @@ def test_stream_archive_is_whole_and_compressed(spark, root):
     same = spark.read.text(f"{path}/batch").select("value")
     assert same.exceptAll(spark.read.text(f"{plain}/out").select("value")).isEmpty() and same.count() == lines.count()
     assert on_disk(f"{path}/batch") < on_disk(f"{plain}/out")
+
+
+def test_more_rows_make_more_files_and_no_larger_tasks(spark, root, monkeypatch):
+    rows = R.activity_events(spark, root).count()
+    monkeypatch.setattr(scans, "FILE_ROWS", rows // 8)
+    path, each = streams.json_folder(spark, root)
+    sizes = [r["n"] for r in spark.read.text(path).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == rows and each >= 2 and len(sizes) >= 8 and max(sizes) < rows / 4
