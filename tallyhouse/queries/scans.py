@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import jsontext
@@ -301,8 +302,11 @@ def _(spark, root):
 
 
 def folder_with_bad_lines(spark, root):
-    """Four files of JSON lines in order of their ids; some lines are broken, no object, or blank."""
-    path = scratch(spark, "jsonl")
+    """Four folders of JSON lines in order of their ids; some lines are broken, no object, or blank.
+
+    A folder has as many files as its rows ask for, named in order, so that no task sorts a whole folder.
+    """
+    path, tasks = scratch(spark, "jsonl"), 4 * files_for(spark, root, 4)
     df = R.activity_events(spark, root)
     number = F.substring("event_id", 3, 20).cast("long")
     line = (
@@ -312,7 +316,8 @@ def folder_with_bad_lines(spark, root):
         .otherwise(dump_row(df))
     )
     rows = df.select((number % 4).alias("part"), number.alias("id"), line.alias("value"))
-    rows.repartition(4, "part").sortWithinPartitions("part", "id").drop("id").write.partitionBy("part").text(path)
+    ordered = rows.repartitionByRange(tasks, "part", "id").sortWithinPartitions("part", "id")
+    ordered.drop("id").write.partitionBy("part").text(path)
     return path
 
 
@@ -321,6 +326,11 @@ def folder_with_bad_lines(spark, root):
     "SELECT *, id % 4 AS part, row_number() OVER (PARTITION BY id % 4 ORDER BY id) AS line_number "
     "FROM (SELECT *, CAST(substr(event_id, 3) AS BIGINT) AS id FROM activity_ev)) WHERE quantity IN (6, 9)", "activity_ev"))
 def _(spark, root):
-    bad = readers.bad_lines(spark, folder_with_bad_lines(spark, root))
-    part = F.regexp_extract("file", r"part=(\d)", 1).cast("long")
-    return bad.select(part.alias("part"), "line_number", F.col("value").alias("line"))
+    path = folder_with_bad_lines(spark, root)
+    part = F.regexp_extract("file", r"part=(\d)", 1).cast("long").alias("part")
+    # the lines of a folder are numbered through: those of its files before come first
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(part).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    bad = readers.bad_lines(spark, path).join(before, "file")
+    return bad.select(part, (F.col("before") + F.col("line_number")).alias("line_number"), F.col("value").alias("line"))

@@ -6,7 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tallyhouse.queries import QUERIES, scans, streams
+from compare import compare, connect
+from tallyhouse.queries import ORACLES, QUERIES, scans, streams
 from tallyhouse.session import scratch as real
 from tallyhouse.sources import relational as R
 from tallyhouse.streaming import sinks
@@ -57,3 +58,12 @@ def test_more_rows_make_more_files_and_no_larger_tasks(spark, root, monkeypatch)
     path, each = streams.json_folder(spark, root)
     sizes = [r["n"] for r in spark.read.text(path).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == rows and each >= 2 and len(sizes) >= 8 and max(sizes) < rows / 4
+
+
+def test_bad_lines_of_folders_in_many_files(spark, root, monkeypatch):
+    monkeypatch.setattr(scans, "FILE_ROWS", R.activity_events(spark, root).count() // 16)
+    path = scans.folder_with_bad_lines(spark, root)
+    files = spark.read.text(path).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) >= 16 and max(f["n"] for f in files) < sum(f["n"] for f in files) / 8
+    verdict, detail = compare(spark, connect(root), root, "js4_bad_lines", QUERIES["js4_bad_lines"], ORACLES["js4_bad_lines"])
+    assert verdict == "ok", detail
