@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import pin_utc
+from ..session import pin_utc, size_shuffles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,7 +55,7 @@ def query(name: str, sql: str | None = None):
 
         @wraps(fn)
         def run(spark: SparkSession, root: str) -> DataFrame:
-            return plain(fn(pin_utc(spark), root))
+            return plain(fn(size_shuffles(pin_utc(spark), root), root))
 
         QUERIES[name] = run
         if sql is not None:
