@@ -32,3 +32,14 @@ def test_larger_inputs_start_from_more_shuffle_partitions(spark, root, monkeypat
     session.size_shuffles(spark, f"{root}/no_such_folder")
     assert int(spark.conf.get(COALESCED)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_valid_and_quarantined_rows_are_counted_in_one_pass(spark, root):
+    spoiled = quality.spoiled(spark, root)
+    valid, bad = rules.split(rules.judge(spoiled))
+    counted = rules.split_counts(spoiled, "event_type")
+    told = {(r["event_type"], r["valid"]): r["n"] for r in counted.collect()}
+    for side, frame in ((True, valid), (False, bad)):
+        assert {k[0]: n for k, n in told.items() if k[1] is side} == Counter(r[0] for r in frame.select("event_type").collect())
+    assert plan(QUERIES["qc3_valid_and_quarantined"](spark, root)).count("lineitem.parquet") <= 1
+    assert plan(QUERIES["qc3_valid_and_quarantined"](spark, root)).count("Join") == 1
