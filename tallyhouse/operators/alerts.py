@@ -219,6 +219,23 @@ def failures(df: DataFrame, rules: Sequence[AlertRule], *keys: str) -> DataFrame
     return failed.filter(F.size("_failed") > 0).select(*keys, F.inline("_failed"))
 
 
+def outcomes(df: DataFrame, rules: Sequence[AlertRule], *keys: str) -> DataFrame:
+    """``keys``, alert_type, alert_id and error: what :func:`detect` and :func:`failures` find, from one pass over the rows.
+
+    An alert has its id and no error, a failure has its error and no id.
+    """
+    none = F.lit(None).cast("string")
+    found = []
+    for r in rules:
+        kind = F.lit(r.alert_type).alias("alert_type")
+        alert = guard(r.columns["alert_id"]).value.cast("string")
+        found.append(F.when(r.fired(), F.struct(kind, alert.alias("alert_id"), none.alias("error"))))
+        if any(isinstance(c, Guarded) for c in (r.fires, *r.columns.values())):
+            why = r.failure()
+            found.append(F.when(why.isNotNull(), F.struct(kind, none.alias("alert_id"), why.alias("error"))))
+    return df.select(*keys, F.inline(F.array_compact(F.array(*found))))
+
+
 detect_batch = detect
 
 

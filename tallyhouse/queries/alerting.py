@@ -117,10 +117,8 @@ DEAR = "CAST(total_cents AS DOUBLE) / 100 / nullif(quantity - 13, 0) > 5000"
     f"UNION ALL SELECT event_id, 'LINE', 'no item 3' FROM all_ev WHERE quantity >= 5 AND NOT ({ORDER_LINE})", "all_ev"))
 def _(spark, root):
     """Alerts of all rules, and the rows on which a rule failed: the other alerts of these rows stand."""
-    events, rules = R.all_events(spark, root), fragile_rules()
-    found = A.detect(events, rules).select("alert_id", "alert_type", F.lit(None).cast("string").alias("error"))
-    failed = A.failures(events, rules, "event_id")
-    return found.unionByName(failed.withColumnRenamed("event_id", "alert_id"))
+    found = A.outcomes(R.all_events(spark, root), fragile_rules(), "event_id")
+    return found.select(F.coalesce("alert_id", "event_id").alias("alert_id"), "alert_type", "error")
 
 
 @query("al8_has_alerts", with_ctes(

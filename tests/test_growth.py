@@ -43,3 +43,13 @@ def test_valid_and_quarantined_rows_are_counted_in_one_pass(spark, root):
         assert {k[0]: n for k, n in told.items() if k[1] is side} == Counter(r[0] for r in frame.select("event_type").collect())
     assert plan(QUERIES["qc3_valid_and_quarantined"](spark, root)).count("lineitem.parquet") <= 1
     assert plan(QUERIES["qc3_valid_and_quarantined"](spark, root)).count("Join") == 1
+
+
+def test_alerts_and_failures_come_from_one_pass(spark, root):
+    events, wanted = R.all_events(spark, root), alerting.fragile_rules()
+    out = A.outcomes(events, wanted, "event_id")
+    alerts = out.filter("error is null").select("alert_id", "alert_type")
+    failed = out.filter("error is not null").select("event_id", "alert_type", "error")
+    for mine, other in ((alerts, A.detect(events, wanted).select("alert_id", "alert_type")), (failed, A.failures(events, wanted, "event_id"))):
+        assert mine.exceptAll(other).isEmpty() and mine.count() == other.count() > 0
+    assert plan(QUERIES["al5_failing_rules"](spark, root)).count("Join") == 1
