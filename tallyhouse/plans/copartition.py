@@ -20,6 +20,8 @@ from ..operators.skew import HeavyKeys, balanced_join
 from ..sinks.catalog import qualified
 
 HEAVY = "_heavy"
+#: Rows of the larger table that one bucket holds; a task sorts and joins a bucket.
+BUCKET_ROWS = 500_000
 #: Null keys never meet in an equi-join, and one bucket would hold all of them.
 NULLS_APART = HeavyKeys((), True)
 
@@ -38,6 +40,11 @@ class Layout:
         return F.coalesce(listed, F.lit(False)) | column.isNull()
 
 
+def buckets_for(rows: int, least: int = 8) -> int:
+    """Buckets for tables of so many rows, so that a bucket stays small however many they are."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def store(df: DataFrame, layout: Layout, table: str, database: str | None = None, path: str | None = None) -> None:
     """Write both parts of a table; ``path`` is the folder for external tables.
 

@@ -128,10 +128,14 @@ def dropped(spark, names):
         copartition.drop(spark, name)
 
 
+def line_buckets(spark, root):
+    return copartition.buckets_for(R.table(spark, root, "lineitem").count())
+
+
 def sales_and_deliveries(spark, root, how="left"):
     sales = R.order_events(spark, root).select("order_id", "event_id", "product_id", "total_amount")
     moved = R.delivery_events(spark, root).filter("status <> 'pending'").select("order_id", "delivery_id", "carrier")
-    layout = Layout("order_id", 8, find_heavy_keys(sales, "order_id"))
+    layout = Layout("order_id", line_buckets(spark, root), find_heavy_keys(sales, "order_id"))
     names = stored(spark, scratch(spark, "by_order"), layout, sales=sales, moved=moved)
     out = copartition.join(spark, names["sales"], names["moved"], layout, how)
     dropped(spark, names)
@@ -149,7 +153,7 @@ def _(spark, root):
 def customers_and_sales(spark, root):
     """Sales per customer next to the customer: both steps stay inside the buckets of the customer."""
     sales = R.order_events(spark, root).select("customer_id", "order_id", "quantity", "total_amount")
-    layout = Layout("customer_id", 8, find_heavy_keys(sales, "customer_id"))
+    layout = Layout("customer_id", line_buckets(spark, root), find_heavy_keys(sales, "customer_id"))
     people = R.dim_customer(spark, root).select("customer_id", "name", "segment")
     names = stored(spark, scratch(spark, "by_customer"), layout, people=people, sales=sales)
     joined = copartition.join(spark, names["people"], names["sales"], layout, "left")

@@ -53,3 +53,13 @@ def test_alerts_and_failures_come_from_one_pass(spark, root):
     for mine, other in ((alerts, A.detect(events, wanted).select("alert_id", "alert_type")), (failed, A.failures(events, wanted, "event_id"))):
         assert mine.exceptAll(other).isEmpty() and mine.count() == other.count() > 0
     assert plan(QUERIES["al5_failing_rules"](spark, root)).count("Join") == 1
+
+
+def test_buckets_grow_with_the_rows(spark, root, monkeypatch):
+    assert copartition.buckets_for(0) == 8 and copartition.buckets_for(10 * copartition.BUCKET_ROWS + 1) == 11
+    lines = R.table(spark, root, "lineitem").count()
+    monkeypatch.setattr(copartition, "BUCKET_ROWS", lines // 20)
+    made, real = [], copartition.store
+    monkeypatch.setattr(copartition, "store", lambda df, layout, *a, **k: made.append(layout.buckets) or real(df, layout, *a, **k))
+    joined = loads.sales_and_deliveries(spark, root)
+    assert min(made) >= 20 and joined.count() > lines
