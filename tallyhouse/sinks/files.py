@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from ..functions.jsontext import ISO_FORMAT, dump_row
 from ..functions.timestamps import sink_partitions
 
 SINK_PARTITIONS = ("ano", "mes", "dia", "hora")
+#: Columns with a handful of values: a task writes few files for them, so their rows stay where they are.
+FEW_VALUES = ("event_type", "status")
+#: Files of such values that a task holds open at once; it sorts its rows only beyond that.
+OPEN_FILES = 8
 
 
 def _target(path: str | None) -> str:
@@ -30,9 +35,24 @@ def gather_by_partition(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Without this each of thousands of tasks would write a small file into every
     date. The rebalance is adaptive: tiny values share a task and a hot value is
-    split over several, so no date is written by one task alone.
+    split over several, so no date is written by one task alone. Columns of a
+    few values alone are left as they are: their rows need not move.
     """
-    return df.hint("rebalance", *[F.col(c) for c in columns]) if columns else df
+    return df.hint("rebalance", *[F.col(c) for c in columns]) if set(columns) - set(FEW_VALUES) else df
+
+
+@contextmanager
+def _open_files(spark, number: int | None):
+    """A write inside keeps so many files open per task, so that rows need no sort by partition."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    if number is not None:
+        spark.conf.set(name, str(number))
+    try:
+        yield
+    finally:
+        if number is not None:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def write_layer(
@@ -41,13 +61,18 @@ def write_layer(
     fmt: str = "parquet",
     mode: str = "overwrite",
     partition_by: Sequence[str] | None = None,
+    gather: bool = True,
 ) -> None:
-    """One layer in its format; only partition columns that exist are used."""
+    """One layer in its format; only partition columns that exist are used.
+
+    ``gather=False`` is for rows that were brought together before.
+    """
     columns = existing_partitions(df, partition_by)
-    writer = gather_by_partition(df, columns).write.mode(mode).format(fmt)
+    writer = (gather_by_partition(df, columns) if gather else df).write.mode(mode).format(fmt)
     if columns:
         writer = writer.partitionBy(*columns)
-    writer.save(_target(path))
+    with _open_files(df.sparkSession, OPEN_FILES if columns and set(columns) <= set(FEW_VALUES) else None):
+        writer.save(_target(path))
 
 
 def write_parquet(
@@ -73,9 +98,9 @@ def write_mart(df: DataFrame, path: str, partition_by=("event_date",), fmt="parq
 
 
 def write_features(
-    df: DataFrame, path: str, partition_by=("event_year", "event_month"), fmt="parquet", mode="overwrite"
+    df: DataFrame, path: str, partition_by=("event_year", "event_month"), fmt="parquet", mode="overwrite", gather=True
 ) -> None:
-    write_layer(df, path, fmt, mode, partition_by)
+    write_layer(df, path, fmt, mode, partition_by, gather)
 
 
 def write_jsonl(

@@ -34,6 +34,17 @@ def test_larger_inputs_start_from_more_shuffle_partitions(spark, root, monkeypat
     spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
+def test_a_write_by_event_type_moves_and_sorts_no_rows(spark, root):
+    events = R.activity_events(spark, root)
+    assert files.gather_by_partition(events, ["event_type"]) is events
+    assert "rebalance" in plan(files.gather_by_partition(events, ["event_type", "customer_id"])).lower()
+    path = scratch(spark, "types")
+    files.write_clean(events, path, ["event_type"])
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    back = spark.read.parquet(path).select(*events.columns)
+    assert back.drop("metadata").exceptAll(events.drop("metadata")).isEmpty() and back.count() == events.count()
+
+
 def test_valid_and_quarantined_rows_are_counted_in_one_pass(spark, root):
     spoiled = quality.spoiled(spark, root)
     valid, bad = rules.split(rules.judge(spoiled))
