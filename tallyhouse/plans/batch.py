@@ -155,7 +155,12 @@ def daily_marts(spark: SparkSession, input_path: str, output_path: str) -> dict[
 
 
 def curated_to_features(spark: SparkSession, input_path: str, output_path: str) -> DataFrame:
-    files.write_features(features.build_features(readers.read_curated(spark, input_path)), output_path)
+    """Features by month. Rows are brought together before they get their feature columns, which need not travel."""
+    curated, month = readers.read_curated(spark, input_path), ("event_year", "event_month")
+    if "event_timestamp" in curated.columns:
+        curated = curated.withColumns({"event_year": F.year("event_timestamp"), "event_month": F.month("event_timestamp")})
+    gathered = files.gather_by_partition(curated, files.existing_partitions(curated, month))
+    files.write_features(features.build_features(gathered), output_path, month, gather=False)
     return readers.read_parquet(spark, output_path)
 
 

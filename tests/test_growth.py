@@ -45,6 +45,18 @@ def test_a_write_by_event_type_moves_and_sorts_no_rows(spark, root):
     assert back.drop("metadata").exceptAll(events.drop("metadata")).isEmpty() and back.count() == events.count()
 
 
+def test_features_get_their_columns_after_their_rows_have_moved(spark, root, monkeypatch):
+    seen = []
+    monkeypatch.setattr(files, "gather_by_partition", lambda df, c, real=files.gather_by_partition: seen.append((df, c)) or real(df, c))
+    curated, out = scratch(spark, "curated"), scratch(spark, "features")
+    files.write_curated(curate.curate(R.order_events(spark, root)), curated)
+    seen.clear()
+    stored = batch.curated_to_features(spark, curated, out)
+    (rows, columns), = seen
+    assert list(columns) == ["event_year", "event_month"] and "high_value_order" not in rows.columns
+    assert stored.count() == rows.count() and "quantity_log" in stored.columns
+
+
 def test_valid_and_quarantined_rows_are_counted_in_one_pass(spark, root):
     spoiled = quality.spoiled(spark, root)
     valid, bad = rules.split(rules.judge(spoiled))
