@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basics import flag, seconds_between
+from ..functions.basics import flag, present, seconds_between
 from ..schemas import DELIVERY_STATUSES
 from . import typed
 
@@ -110,9 +110,13 @@ def transform(df: DataFrame, config: DeliveryConfig = DEFAULT) -> DataFrame:
 
 
 def create_summary(df: DataFrame, config: DeliveryConfig = DEFAULT) -> DataFrame:
-    return typed.grouped(
-        transform(df, config),
-        ["event_date", "carrier", "status", "delivery_stage", "delivery_delay_category"],
+    """Per day, carrier, status, stage and delay class. The stage follows from the status, so it is added to the groups."""
+    keys = ["event_date", "carrier", "status", "delivery_stage", "delivery_delay_category"]
+    rows = transform(df, config)
+    known = "status" in rows.columns
+    summary = typed.grouped(
+        rows,
+        [k for k in keys if not (known and k == "delivery_stage")],
         [
             typed.rows("delivery_event_count"),
             typed.distinct("order_id", "unique_orders"),
@@ -122,3 +126,6 @@ def create_summary(df: DataFrame, config: DeliveryConfig = DEFAULT) -> DataFrame
             ),
         ],
     )
+    out = classify_delivery_status(summary)
+    keys = present(out, keys)
+    return out.select(*keys, *[c for c in summary.columns if c not in keys])

@@ -86,3 +86,10 @@ def test_buckets_grow_with_the_rows(spark, root, monkeypatch):
     monkeypatch.setattr(copartition, "store", lambda df, layout, *a, **k: made.append(layout.buckets) or real(df, layout, *a, **k))
     joined = loads.sales_and_deliveries(spark, root)
     assert min(made) >= 20 and joined.count() > lines
+
+
+def test_the_stage_of_a_summary_is_no_key_of_its_groups(spark, root):
+    summary = deliveries.create_summary(R.delivery_events(spark, root))
+    assert summary.columns[:4] == ["carrier", "status", "delivery_stage", "delivery_delay_category"]
+    grouping = [line for line in plan(summary).splitlines() if "Aggregate [" in line][0]
+    assert "delivery_stage" not in grouping.split("]")[0]
