@@ -70,7 +70,7 @@ FILE_ROWS = 100_000
 
 def files_for(spark, root, parts):
     """Files for each of ``parts`` parts of the activity feed, so that a file stays small however long the feed is."""
-    return max(1, -(-R.table(spark, root, "events").count() // (parts * FILE_ROWS)))
+    return max(1, int(-(-R.table(spark, root, "events").count() // (parts * FILE_ROWS))))
 
 
 def written_lines(spark, root, lines=event_lines):

@@ -324,9 +324,13 @@ def _(spark, root):
 
 
 def repeating_folder(spark, root):
-    """The activity feed in five files in event order. Each file delivers its events twice and, once more, those
-    of the last hours of the file before it: repeats inside a micro-batch, across micro-batches, and behind the watermark."""
+    """The activity feed in five parts in event order. Each part delivers its events twice and, once more, those
+    of the last hours of the part before it: repeats inside a micro-batch, across micro-batches, and behind the watermark.
+
+    A part has as many compressed files as its rows ask for. Returns the folder and the number of files of a part.
+    """
     path, events = scratch(spark, "feed"), R.activity_events(spark, root).drop("metadata")
+    each = files_for(spark, root, (len(CUTS) + 1) / 2)
     moment = F.col("event_timestamp")
     for low, high in zip((None, *CUTS), (*CUTS, None)):
         part = events if low is None else events.filter(moment >= low)
@@ -335,13 +339,16 @@ def repeating_folder(spark, root):
         if low is not None:
             recent = F.lit(low).cast("timestamp") - F.expr("INTERVAL 6 HOURS")
             fed = fed.unionByName(events.filter((moment >= recent) & (moment < low)))
-        fed.select(dump_row(fed).alias("value")).coalesce(1).write.mode("append").text(path)
-    return path
+        lines = fed.select(dump_row(fed).alias("value"))
+        lines = lines.coalesce(1) if each == 1 else lines.repartition(each)
+        lines.write.mode("append").option("compression", "gzip").text(path)
+    return path, each
 
 
 @query("ded5_stream_repeats", SLIDING.replace(
     "SELECT * EXCLUDE (kind, types), kind AS event_type FROM", "SELECT window_start, window_end, key AS customer_id, event_count, "
     "unique_customers, total_quantity, total_amount, types AS event_types FROM") + f" WHERE {CLOSED}")
 def _(spark, root):
-    lines = sources.read_lines(spark, repeating_folder(spark, root), max_files_per_trigger=1)
+    feed, each = repeating_folder(spark, root)
+    lines = sources.read_lines(spark, feed, max_files_per_trigger=each)
     return to_parquet(spark, job.customer_windows(sources.parse(lines), job.JOB), "repeats")

@@ -93,3 +93,11 @@ def test_the_stage_of_a_summary_is_no_key_of_its_groups(spark, root):
     assert summary.columns[:4] == ["carrier", "status", "delivery_stage", "delivery_delay_category"]
     grouping = [line for line in plan(summary).splitlines() if "Aggregate [" in line][0]
     assert "delivery_stage" not in grouping.split("]")[0]
+
+
+def test_repeating_feed_is_dealt_over_files_of_few_rows(spark, root, monkeypatch):
+    monkeypatch.setattr(scans, "FILE_ROWS", R.activity_events(spark, root).count() // 10)
+    feed, each = streams.repeating_folder(spark, root)
+    lines = spark.read.text(feed)
+    sizes = [r["n"] for r in lines.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert each >= 4 and len(sizes) == 5 * each and max(sizes) < sum(sizes) / 8
