@@ -101,3 +101,13 @@ def test_repeating_feed_is_dealt_over_files_of_few_rows(spark, root, monkeypatch
     lines = spark.read.text(feed)
     sizes = [r["n"] for r in lines.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert each >= 4 and len(sizes) == 5 * each and max(sizes) < sum(sizes) / 8
+
+
+def test_the_dedupe_of_a_larger_input_has_more_and_smaller_sorts(spark, root, monkeypatch):
+    monkeypatch.setattr(session, "SHUFFLE_BYTES", 8192)
+    monkeypatch.setattr(session, "TASK_BYTES", 16384)
+    records = QUERIES["rdd5_distinct_records"](spark, root)
+    assert records.count() == R.all_events(spark, root).select("event_id").distinct().count()
+    assert int(spark.conf.get(COALESCED)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("16384", "16384b")
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
