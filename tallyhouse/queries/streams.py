@@ -261,35 +261,63 @@ def _(spark, root):
         F.min(F.col("bytes").eqNullSafe(F.col("told")).cast("int")).alias("logged"))
 
 
-def shouted_folder(spark, root, moved=lambda df: df):
-    """All kinds of events as a producer sends them: upper-case types and statuses, some blank customers.
+def write_shouted(df, path):
+    """Events as a producer sends them: upper-case types and statuses, some blank customers.
 
     The files are compressed, as plain lines are several times the tables they come from.
     """
-    path = scratch(spark, "feed")
-    df = moved(R.all_events(spark, root).drop("metadata")).withColumns({
+    df = df.drop("metadata").withColumns({
         "event_type": F.upper("event_type"), "status": F.upper("status"),
         "customer_id": F.when(F.col("quantity") == 13, " ").otherwise(F.concat(F.lit(" "), "customer_id"))})
-    df.select(dump_row(df).alias("value")).write.option("compression", "gzip").text(path)
+    df.select(dump_row(df).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def shouted_folder(spark, root, moved=lambda df: df):
+    """All kinds of events as a producer sends them."""
+    path = scratch(spark, "feed")
+    write_shouted(moved(R.all_events(spark, root)), path)
     return path
 
 
+#: Lines whose events one part of a feed holds, and the most parts; each part reads the tables once.
+PART_LINES, MOST_PARTS = 3_000_000, 8
+
+
+def shouted_parts(spark, root, path):
+    """The feed of :func:`shouted_folder` in parts that lie in the folder one after the other; yields the folder for each.
+
+    A stream that keeps its checkpoint takes each part before the next one replaces it, so that never more
+    than a part lies on disk. Events of an order are in the same part, whose join has the lines and orders of the part alone.
+    """
+    lines = R.table(spark, root, "lineitem").count()
+    parts = max(1, min(MOST_PARTS, -(-lines // PART_LINES)))
+    for part in range(parts):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)) == part  # noqa: B023, E731
+        of_lines = R.line_events(spark, root).filter(mine("order_id"))
+        write_shouted(of_lines.unionByName(R.activity_events(spark, root).filter(mine("event_id"))), path)
+        yield path
+
+
 @query("st8_stream_alerts_upper", with_ctes(
     "SELECT DISTINCT alert_id, alert_type, customer_id FROM "
     + ALERTS.replace("FROM all_ev WHERE", "FROM all_ev WHERE quantity IS DISTINCT FROM 13 AND"), "all_ev"))
 def _(spark, root):
-    path = scratch(spark, "shouted")
-    good, _bad = run.prepared(spark, shouted_folder(spark, root))
+    feed, path = scratch(spark, "feed"), scratch(spark, "shouted")
     table = sinks.alert_table(spark, f"{path}/alerts")
-    finish(sinks.start_keyed(A.detect(good), table, A.serialize, f"{path}/checkpoint"))
+    for _ in shouted_parts(spark, root, feed):
+        good, _bad = run.prepared(spark, feed)
+        finish(sinks.start_keyed(A.detect(good), table, A.serialize, f"{path}/checkpoint"))
     return table.read().select("alert_id", "alert_type", "customer_id").distinct()
 
 
 @query("st8_stream_quarantine", with_ctes(
     "SELECT event_id, 'customer_id' AS missing FROM all_ev WHERE quantity = 13", "all_ev"))
 def _(spark, root):
-    _good, bad = run.prepared(spark, shouted_folder(spark, root))
-    return to_parquet(spark, bad, "quarantine").select("event_id", "missing")
+    feed, path = scratch(spark, "feed"), scratch(spark, "quarantine")
+    for _ in shouted_parts(spark, root, feed):
+        _good, bad = run.prepared(spark, feed)
+        finish(sinks.start_parquet(bad, f"{path}/out", f"{path}/checkpoint"))
+    return spark.read.schema(bad.schema).parquet(f"{path}/out").select("event_id", "missing")
 
 
 USABLE = "FROM all_ev WHERE quantity IS DISTINCT FROM 13"

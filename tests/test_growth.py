@@ -111,3 +111,19 @@ def test_the_dedupe_of_a_larger_input_has_more_and_smaller_sorts(spark, root, mo
     assert int(spark.conf.get(COALESCED)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("16384", "16384b")
     spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_a_feed_in_parts_lies_on_disk_part_by_part(spark, root, monkeypatch):
+    lines = R.table(spark, root, "lineitem").count()
+    monkeypatch.setattr(streams, "PART_LINES", lines // 3)
+    ids, seen = lambda df: Counter(r[0] for r in df.select("event_id").collect()), []
+    for feed in streams.shouted_parts(spark, root, scratch(spark, "feed")):
+        text = spark.read.text(feed).select(F.get_json_object("value", "$.event_id").alias("event_id"))
+        seen.append(ids(text))
+    assert len(seen) >= 3 and sum(seen, Counter()) == ids(R.all_events(spark, root))
+    assert max(sum(s.values()) for s in seen) < 0.5 * sum(sum(s.values()) for s in seen)
+    rows = QUERIES["st8_stream_quarantine"](spark, root)
+    assert ids(rows) == ids(R.order_events(spark, root).filter("quantity = 13"))
+    table = QUERIES["st8_stream_alerts_upper"](spark, root)
+    events = R.all_events(spark, root).filter("quantity is null or quantity <> 13")
+    assert table.count() == A.detect(events).select("alert_id", "alert_type", "customer_id").distinct().count()
