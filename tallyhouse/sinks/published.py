@@ -108,9 +108,12 @@ class Published:
 
     # ---- loads -------------------------------------------------------------
     def stage(
-        self, table: str, rows: DataFrame, by: str | None = None, rules: dict[str, Column] | None = None
+        self, table: str, rows: DataFrame, by: str | None = None, rules: dict[str, Column] | None = None, gather: bool = True
     ) -> Staged:
-        """Write a load to a folder of its own and count, in the same pass, the rows that break a rule."""
+        """Write a load to a folder of its own and count, in the same pass, the rows that break a rule.
+
+        ``gather=False`` leaves the rows of a partition in the tasks where they are, each of which writes a file of it.
+        """
         load = f"load{uuid.uuid4().hex}"
         seen = Observation()
         names = list(rules or {})
@@ -119,7 +122,7 @@ class Published:
         watched = rows.observe(seen, *counted)
         target = f"{self.path}/{table}/load={load}"
         if by:
-            gather_by_partition(watched, [by]).write.partitionBy(by).parquet(target)
+            (gather_by_partition(watched, [by]) if gather else watched).write.partitionBy(by).parquet(target)
         else:
             watched.write.parquet(target)
         try:

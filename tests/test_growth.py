@@ -13,7 +13,8 @@ from tallyhouse.operators import curate, deliveries
 from tallyhouse.plans import batch, copartition
 from tallyhouse.queries import QUERIES, alerting, loads, quality, scans, streams
 from tallyhouse.session import scratch
-from tallyhouse.sinks import files
+from tallyhouse.sinks import files, published
+from tallyhouse.sinks.published import Published
 from tallyhouse.sources import relational as R
 
 COALESCED = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
@@ -127,3 +128,17 @@ def test_a_feed_in_parts_lies_on_disk_part_by_part(spark, root, monkeypatch):
     table = QUERIES["st8_stream_alerts_upper"](spark, root)
     events = R.all_events(spark, root).filter("quantity is null or quantity <> 13")
     assert table.count() == A.detect(events).select("alert_id", "alert_type", "customer_id").distinct().count()
+
+
+def test_a_load_of_a_mart_joins_nothing_again_and_moves_no_row(spark, root, monkeypatch):
+    staged, real = [], Published.stage
+    monkeypatch.setattr(Published, "stage", lambda self, table, rows, *a: staged.append((table, rows)) or real(self, table, rows, *a))
+    mart = loads.loaded_mart(spark, root)
+    assert {table for table, _ in staged} == {"product_sales_rows", "product_sales_changes"} and len(staged) == 8
+    for _, rows in staged:
+        executed = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in executed and "Join" not in executed
+    gathered = []
+    monkeypatch.setattr(published, "gather_by_partition", lambda df, by: gathered.append(by) or df)
+    mart.apply(loads.orders(spark, root).select(*loads.SOLD).limit(3))
+    assert gathered == [["month"]]  # other loads still bring the rows of a partition together
