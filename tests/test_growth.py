@@ -14,6 +14,7 @@ from tallyhouse.plans import batch, copartition
 from tallyhouse.queries import QUERIES, alerting, loads, quality, scans, streams
 from tallyhouse.session import scratch
 from tallyhouse.sinks import files, published
+from tallyhouse.sinks.keyed import KeyedTable
 from tallyhouse.sinks.published import Published
 from tallyhouse.sources import relational as R
 
@@ -142,3 +143,11 @@ def test_a_load_of_a_mart_joins_nothing_again_and_moves_no_row(spark, root, monk
     monkeypatch.setattr(published, "gather_by_partition", lambda df, by: gathered.append(by) or df)
     mart.apply(loads.orders(spark, root).select(*loads.SOLD).limit(3))
     assert gathered == [["month"]]  # other loads still bring the rows of a partition together
+
+
+def test_windows_are_stored_by_key_without_being_ranked(spark, root, monkeypatch):
+    plans, real = [], KeyedTable._write
+    monkeypatch.setattr(KeyedTable, "_write", lambda self, rows, *a: plans.append(plan(rows)) or real(self, rows, *a))
+    stored = QUERIES["snk14_stream_keyed_windows"](spark, root)
+    assert plans and not any("row_number" in p for p in plans)
+    assert stored.count() == stored.select("row_key").distinct().count() > 0
