@@ -18,6 +18,7 @@ from tallyhouse.sinks import files, published
 from tallyhouse.sinks.keyed import KeyedTable
 from tallyhouse.sinks.published import Published
 from tallyhouse.sources import relational as R
+from tallyhouse.streaming import run, sinks
 
 COALESCED = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
@@ -169,3 +170,28 @@ def test_windows_are_stored_by_key_without_being_ranked(spark, root, monkeypatch
     stored = QUERIES["snk14_stream_keyed_windows"](spark, root)
     assert plans and not any("row_number" in p for p in plans)
     assert stored.count() == stored.select("row_key").distinct().count() > 0
+
+
+def test_the_whole_job_parses_a_feed_once_and_keeps_one_version_of_its_state(spark, root, monkeypatch):
+    feed, out, kept = scratch(spark, "feed"), scratch(spark, "job"), "spark.sql.streaming.maxBatchesToRetainInMemory"
+    streams.write_shouted(R.activity_events(spark, root), feed)
+    spark.range(1).selectExpr("'no event' AS value").write.mode("append").text(feed)
+    before, told, running = spark.conf.get(kept), [], []
+    monkeypatch.setattr(run, "read_lines", lambda *a, real=run.read_lines, **k: told.append("parsed") or real(*a, **k))
+
+    def start_keyed(*a, real=sinks.start_keyed, **k):
+        told.append(spark.conf.get(kept))
+        running.append([q.lastProgress is None or q.isActive for q in spark.streams.active if q.id == windows[0].id])
+        return real(*a, **k)
+
+    windows, real = [], sinks.start_both
+    monkeypatch.setattr(sinks, "start_both", lambda *a, **k: windows.append(real(*a, **k)) or windows[0])
+    monkeypatch.setattr(sinks, "start_keyed", start_keyed)
+    run.run_available(spark, feed, out, f"{out}/checkpoint")
+    assert told == ["parsed", "1", "1"] and spark.conf.get(kept) == before
+    assert running[-1] == []  # the windows have ended where their alerts begin
+    landed = spark.read.parquet(f"{out}/landed")
+    assert landed.count() == spark.read.text(feed).count()
+    assert {r["line"] for r in landed.filter("event_id is null").collect()} == {"no event"}
+    assert landed.filter("line is not null").count() == spark.read.parquet(f"{out}/quarantine").count() >= 1
+    assert spark.read.text(f"{out}/events").count() == landed.filter("line is null").count()
