@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsontext import dump_row
 from ..operators import alerts as A
-from ..session import scratch
+from ..session import ONE_VERSION, scratch, settings
 from ..sources import relational as R
 from ..sinks.rolled import RolledArchive
 from ..streaming import clocks, job, late, run, sinks, sources
@@ -131,6 +131,30 @@ def _(spark, root):
     return to_parquet(spark, windows, "by_type")
 
 
+#: Events of one part of the activity feed; its panes and windows are the state of a stream at any time.
+PART_EVENTS = 2_000_000
+
+
+def timed_parts(spark, root, path):
+    """The activity table in parts of increasing event time that lie in a folder one after the other; yields a stream of the folder for each.
+
+    A stream that keeps its checkpoint takes each part before the next one replaces it. No row of a part is older than
+    those of the parts before, so none is late and the windows that a part has closed leave the state with it.
+    Rows without a time are in the first part.
+    """
+    events = R.table(spark, root, "events")
+    moment, parts = F.unix_micros(F.col("ts").cast("timestamp")), -(-events.count() // PART_EVENTS)
+    at = [F.percentile_approx(moment, [i / parts for i in range(1, parts)], 10_000)] if parts > 1 else []
+    cuts = sorted(set((events.agg(*at).first()[0] or []) if at else []))
+    for low, high in zip((None, *cuts), (*cuts, None)):
+        # cuts as literals of the column's type, so that they reach the scan
+        cut = lambda us: F.timestamp_micros(F.lit(us)).cast(events.schema["ts"].dataType)
+        part = events if low is None else events.filter(F.col("ts") >= cut(low))
+        part = part if high is None else part.filter((F.col("ts") < cut(high)) | (F.col("ts").isNull() if low is None else F.lit(False)))
+        part.write.mode("overwrite").parquet(path)
+        yield R.activity_from(spark.readStream.schema(events.schema).parquet(path))
+
+
 @query("snk14_stream_keyed_windows", SLIDING.replace(
     "SELECT * EXCLUDE (kind, types), kind AS event_type FROM", "SELECT 'window#' || (epoch_us(window_start) // 1000000) || '.000000#' || kind "
     "|| '#' || key AS row_key, 'WINDOW_AGGREGATION' AS alert_type, 'INFO' AS severity, kind AS event_type, "
@@ -139,11 +163,14 @@ def _(spark, root):
 def _(spark, root):
     path = scratch(spark, "keyed_windows")
     table = sinks.alert_table(spark, f"{path}/table")
-    windows = job.as_window_result(job.customer_windows(R.activity_stream(spark, root)), F.col("customer_id"))
-    finish(sinks.start_keyed(windows, table, sinks.window_rows, f"{path}/checkpoint", unique=True))
+    for events in timed_parts(spark, root, scratch(spark, "feed")):
+        windows = job.as_window_result(job.customer_windows(events), F.col("customer_id"))
+        with settings(spark, ONE_VERSION):
+            finish(sinks.start_keyed(windows, table, sinks.window_rows, f"{path}/checkpoint", unique=True))
     stored = F.from_json("metrics", "event_count BIGINT, unique_customers BIGINT, total_quantity BIGINT, "
                          "total_amount STRING, metadata MAP<STRING, STRING>")
-    rows = table.read().withColumn("_m", stored)
+    # a stream in append mode writes each window once, when it is closed
+    rows = table.read(unique=True).withColumn("_m", stored)
     types = F.from_json(F.col("_m.metadata")["event_types"], "ARRAY<STRING>")
     return rows.select(
         "row_key", "alert_type", "severity", "event_type", F.substring("event_timestamp", 1, 19).alias("ends"),

@@ -176,8 +176,14 @@ class KeyedTable:
             stored = reader.option("basePath", self.path).parquet(*[self._folder(n) for n in names if n >= base])
         return stored if where is None else stored.filter(where)
 
-    def read(self, where: Column | None = None) -> DataFrame:
-        """Current rows; ``where`` may only use the key and is applied at the scan."""
+    def read(self, where: Column | None = None, unique: bool = False) -> DataFrame:
+        """Current rows; ``where`` may only use the key and is applied at the scan.
+
+        ``unique`` is for a table that no key was written to twice, such as the closed windows of one checkpoint: its rows are
+        not ranked, and stay in their tasks.
+        """
+        if unique:
+            return self.log(where).filter(~F.col(DELETED)).select(*self.schema.fieldNames())
         newest = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(VERSION)))
         return (
             self.log(where)

@@ -195,3 +195,15 @@ def test_the_whole_job_parses_a_feed_once_and_keeps_one_version_of_its_state(spa
     assert {r["line"] for r in landed.filter("event_id is null").collect()} == {"no event"}
     assert landed.filter("line is not null").count() == spark.read.parquet(f"{out}/quarantine").count() >= 1
     assert spark.read.text(f"{out}/events").count() == landed.filter("line is null").count()
+
+
+def test_keyed_windows_are_closed_part_by_part(spark, root, monkeypatch):
+    wanted = QUERIES["snk14_stream_keyed_windows"](spark, root).collect()
+    rows, batches, real = R.table(spark, root, "events").count(), [], KeyedTable._write
+    monkeypatch.setattr(streams, "PART_EVENTS", rows // 3)
+    monkeypatch.setattr(KeyedTable, "_write", lambda self, df, *a: real(self, df, *a) or batches.append(a[0]))
+    found = QUERIES["snk14_stream_keyed_windows"](spark, root)
+    assert len(batches) >= 6 and "Window" not in plan(found)
+    assert Counter(map(str, found.collect())) == Counter(map(str, wanted)) and wanted
+    sizes = [df.isStreaming and spark.read.parquet(feed).count() for feed in [scratch(spark, "feed")] for df in streams.timed_parts(spark, root, feed)]
+    assert len(sizes) >= 3 and sum(sizes) == rows and max(sizes) < 0.5 * rows
