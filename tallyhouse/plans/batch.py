@@ -16,6 +16,7 @@ from ..functions.basics import MONEY, PRICE, count_when
 from ..operators import carts, clicks, curate, deliveries, features, refine, sales
 from ..operators.aggregates import daily
 from ..schemas import EVENT_TYPES
+from ..session import FREE_SHUFFLES, settings, stored_bytes
 from ..sinks import catalog, files
 from ..sources import readers
 
@@ -34,6 +35,9 @@ MARTS = {
     "deliveries": daily.aggregate_deliveries_by_day,
 }
 
+#: Stored bytes of a curated layer whose features are built at a time, and the most parts; each part reads the layer once.
+PART_BYTES, MOST_PARTS = 512 * 2**20, 8
+
 # --- fixed values: catalog table per processed frame ---
 TABLE_OF = {
     "sales": "sales_events",
@@ -155,12 +159,20 @@ def daily_marts(spark: SparkSession, input_path: str, output_path: str) -> dict[
 
 
 def curated_to_features(spark: SparkSession, input_path: str, output_path: str) -> DataFrame:
-    """Features by month. Rows are brought together before they get their feature columns, which need not travel."""
+    """Features by month. Rows are brought together before they get their feature columns, which need not travel.
+
+    A larger layer is taken in parts of whole months, one after the other, and the shuffle files of a part go with it.
+    """
     curated, month = readers.read_curated(spark, input_path), ("event_year", "event_month")
     if "event_timestamp" in curated.columns:
         curated = curated.withColumns({"event_year": F.year("event_timestamp"), "event_month": F.month("event_timestamp")})
-    gathered = files.gather_by_partition(curated, files.existing_partitions(curated, month))
-    files.write_features(features.build_features(gathered), output_path, month, gather=False)
+    columns = files.existing_partitions(curated, month)
+    parts = min(MOST_PARTS, -(-stored_bytes(spark, input_path) // PART_BYTES)) if columns else 1
+    with settings(spark, FREE_SHUFFLES):
+        for part in range(max(1, parts)):
+            mine = curated if parts <= 1 else curated.filter(F.pmod(F.xxhash64(*columns), F.lit(parts)) == part)
+            built = features.build_features(files.gather_by_partition(mine, columns))
+            files.write_features(built, output_path, month, gather=False, mode="append" if part else "overwrite")
     return readers.read_parquet(spark, output_path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curate, features, refine
 from ..plans import batch
-from ..session import scratch
+from ..session import FREE_SHUFFLES, scratch, settings
 from ..sinks import catalog, files
 from ..sources import relational as R
 from .base import COLUMNS, amount, big, flag, mean_2, query, step, total, with_ctes
@@ -168,7 +168,8 @@ def _(spark, root):
     "FROM all_ev GROUP BY ALL", "all_ev"))
 def _(spark, root):
     curated, out = scratch(spark, "curated"), scratch(spark, "features")
-    files.write_curated(curate.curate(R.all_events(spark, root)), curated)
+    with settings(spark, FREE_SHUFFLES):
+        files.write_curated(curate.curate(R.all_events(spark, root)), curated)
     return batch.curated_to_features(spark, curated, out).groupBy("event_year", "event_month").agg(
         F.count(F.lit(1)).alias("n"), F.sum("high_value_order").alias("high_value_orders")
     )

@@ -207,3 +207,19 @@ def test_keyed_windows_are_closed_part_by_part(spark, root, monkeypatch):
     assert Counter(map(str, found.collect())) == Counter(map(str, wanted)) and wanted
     sizes = [df.isStreaming and spark.read.parquet(feed).count() for feed in [scratch(spark, "feed")] for df in streams.timed_parts(spark, root, feed)]
     assert len(sizes) >= 3 and sum(sizes) == rows and max(sizes) < 0.5 * rows
+
+
+def test_features_of_a_larger_layer_are_built_by_parts_of_months(spark, root, monkeypatch):
+    seen, free, clean = [], [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    curated, out = scratch(spark, "curated"), scratch(spark, "features")
+    files.write_curated(curate.curate(R.all_events(spark, root)).withColumn(
+        "event_timestamp", F.when(F.col("quantity") == 13, None).otherwise(F.col("event_timestamp"))), curated)
+    whole = {(r[0], r[1]): r[2] for r in batch.curated_to_features(spark, curated, out).groupBy("event_year", "event_month").count().collect()}
+    monkeypatch.setattr(batch, "PART_BYTES", session.stored_bytes(spark, curated) // 3)
+    gather = files.gather_by_partition
+    monkeypatch.setattr(files, "gather_by_partition", lambda df, c: seen.append(df) or free.append(spark.conf.get(clean)) or gather(df, c))
+    stored = batch.curated_to_features(spark, curated, out).groupBy("event_year", "event_month").count().collect()
+    assert {(r[0], r[1]): r[2] for r in stored} == whole and (None, None) in whole
+    assert len(seen) >= 3 and set(free) == {"true"} and spark.conf.get(clean) != "true"
+    months = [{tuple(r) for r in df.select("event_year", "event_month").distinct().collect()} for df in seen]
+    assert sum(map(len, months)) == len(set.union(*months)) == len(whole)
