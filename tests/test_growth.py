@@ -223,3 +223,15 @@ def test_features_of_a_larger_layer_are_built_by_parts_of_months(spark, root, mo
     assert len(seen) >= 3 and set(free) == {"true"} and spark.conf.get(clean) != "true"
     months = [{tuple(r) for r in df.select("event_year", "event_month").distinct().collect()} for df in seen]
     assert sum(map(len, months)) == len(set.union(*months)) == len(whole)
+
+
+def test_alerts_are_found_from_the_fields_of_their_rules(spark, root, monkeypatch):
+    feed, asked = scratch(spark, "feed"), []
+    streams.write_shouted(R.all_events(spark, root), feed, "lz4")
+    lines = spark.read.text(feed)
+    from_lines = lambda *fields: A.serialize(A.detect(run.split(run.parse_kept(lines, *fields))[0])).drop("detected_at")
+    few, whole = from_lines(A.EVENT_RULE_FIELDS), from_lines()
+    assert few.exceptAll(whole).isEmpty() and few.count() == whole.count() > 0
+    monkeypatch.setattr(run, "parse_kept", lambda df, fields, real=run.parse_kept: asked.append(set(fields)) or real(df, fields))
+    QUERIES["st8_stream_alerts_upper"](spark, root)
+    assert asked == [set(A.EVENT_RULE_FIELDS)]
